@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,7 +68,24 @@ def release(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each Spark context."""
+    context, home = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_quarry_shipped", False) or not os.path.isdir(home):
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="quarry-"), "quarry_package.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(home):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, home)))
+    context.addPyFile(at)
+    context._quarry_shipped = True
+
+
 def small_batches(spark: SparkSession, rows: int = 1000, bytes_: str = "16m") -> None:
-    """Bound the Arrow batches that Python workers get, for tables with very long texts."""
+    """Bound the Arrow batches that Python workers get, for tables with very long texts; and ship the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", bytes_)
