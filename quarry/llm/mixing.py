@@ -105,7 +105,7 @@ def plan(docs: DataFrame, target: Target) -> DataFrame:
     leaves = each.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     settled = budgets(leaves, target).where("tokens > 0")
     settled = settled.withColumn("full", F.least(F.floor((F.col("budget") + _EPS) / F.col("tokens")), F.lit(target.epochs)))
-    settled = stage(settled.withColumn("left", F.when(F.col("full") < target.epochs, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(0.0)), "leaves")
+    settled = stage(settled.withColumn("left", F.when(F.col("full") < target.epochs, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(-1.0)), "leaves")
     most = settled.agg(F.max("n")).first()[0] or 0
     digits = max(1, min(8, (max(1, most // 20_000)).bit_length() // 4 + 1))  # about 20,000 rows of the largest leaf in a range
     keyed = each.join(settled.drop("tokens"), list(LEVELS)).withColumn("_key", _key(target, F.col("full")))
@@ -143,3 +143,54 @@ def mix(docs: DataFrame, target: Target = Target(), domain: Column | None = None
     rows = rows.withColumn("_taken", taken).where("_taken > 0")
     rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken").cast("int") - 1)))
     return rows.select(*docs.columns, "_domain", "_epoch")
+
+
+def oracle(target: Target = Target()) -> str:
+    """The registered query's result by DuckDB SQL, with one running sum for each leaf in place of hash ranges."""
+
+    def weight(level: int) -> str:
+        whens = " ".join(f"when {LEVELS[level]} = '{k}' then {v!r}::double" for k, v in getattr(target, LEVELS[level]).items())
+        return f"case {whens} else {target.rest[level]!r}::double end" if whens else f"{target.rest[level]!r}::double"
+
+    steps, parent = [], []
+    for level, child in enumerate(LEVELS):
+        keys = [*LEVELS[: level + 1]]
+        given = "(select given from total)" if level == 0 else "max(p.budget)"
+        source = "caps c" if level == 0 else f"caps c join share{level - 1} p using ({', '.join(parent)})"
+        part = f"partition by {', '.join(parent)}" if parent else ""
+        order = f"{part} order by cap / w, {child}"
+        steps.append(f"""
+    node{level} as (select {', '.join(keys)}, sum(c.cap) as cap, {weight(level)} as w, {given} as given from {source} group by {', '.join(keys)}),
+    run{level} as (
+      select *, coalesce(sum(cap) over ({order} rows between unbounded preceding and 1 preceding), 0) as c0,
+        coalesce(sum(w) over ({order} rows between unbounded preceding and 1 preceding), 0) as w0,
+        sum(w) over ({order} rows between unbounded preceding and unbounded following) as w1
+      from node{level} where w > 0),
+    full{level} as (select *, c0 + cap / w * (w1 - w0) <= given + {_EPS} as held from run{level}),
+    share{level} as (
+      select *, case when held then cap else greatest(0, w * (given - sum(case when held then cap else 0 end) over ({part}))
+        / nullif(sum(case when held then 0 else w end) over ({part}), 0)) end as budget
+      from full{level})""")
+        parent = keys
+    leaf = ", ".join(LEVELS)
+    return rf"""
+    with each as (
+      select doc_id, lang as lang0, source as source0, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        case when regexp_matches(source, '^src[0-4]$') then 'crawl' when regexp_matches(source, '^src[5-9]$') then 'forum' else 'library' end as domain,
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as tokens
+      from documents),
+    leaves as (select {leaf}, sum(tokens)::double as tokens from each group by {leaf}),
+    caps as (select *, tokens * {float(target.epochs)} as cap from leaves),
+    total as (select coalesce(sum(tokens), 0) * {target.fraction} as given from leaves),
+    {','.join(steps)},
+    plan as (
+      select l.*, s.budget, least(floor((s.budget + {_EPS}) / l.tokens), {target.epochs})::bigint as whole
+      from leaves l join share2 s using ({leaf}) where l.tokens > 0),
+    cut as (select * exclude (tokens), case when whole < {target.epochs} then budget - whole * tokens else -1 end as rest from plan),
+    run as (
+      select e.*, c.whole, c.rest, sum(e.tokens) over (partition by {leaf}
+        order by md5('{target.seed}:' || c.whole::varchar || ':' || coalesce(e.doc_id::varchar, ''))) as upto
+      from each e join cut c using ({leaf}))
+    select doc_id, domain, lang0 as lang, source0 as source, unnest(range(0, whole + case when upto <= rest + {_EPS} then 1 else 0 end))::int as epoch
+    from run
+    """

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import mixing, packing, quality_classifier, simhash_dedup, toxicity
+from quarry.llm import ann_search, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
 from quarry.llm.labelled import held_out
 
 
@@ -14,10 +14,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_search.search(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_read(spark, sf_dir, "pages"))
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_read(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_dedup.near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash_dedup.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -48,6 +69,22 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op5_packing, op7_simhash_dedup, op8_toxicity, op9_mixing, op10_quality_classifier, pipeline)}
-
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ann_search,
+        op2_url_filter,
+        op3_quality_rules,
+        op4_sharding,
+        op5_packing,
+        op6_license_scan,
+        op7_simhash_dedup,
+        op8_toxicity,
+        op9_mixing,
+        op10_quality_classifier,
+        pipeline,
+    )
+}
+
+#: SQL for what SQL can express. Iterative, learnt, and hashed results are held against brute force in tests.
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle(), "op9_mixing": mixing.oracle()}
