@@ -135,9 +135,13 @@ def wide_parts(text: Column) -> Column:
 
 def sentence_units(text: Column) -> Column:
     """The finest of paragraphs, sentences, code blocks and wide parts, in this order, that has more than one."""
+
+    def several(units: Column, rest: Column) -> Column:
+        return let(F.struct(units.alias("u")), lambda s: F.when(F.size(s["u"]) > 1, s["u"]).otherwise(rest))
+
     out = wide_parts(text)
     for kind in (code_blocks, sentences, paragraphs):
-        out = let(F.struct(kind(text).alias("a"), F.lit(0)), lambda s, rest=out: F.when(F.size(s["a"]) > 1, s["a"]).otherwise(rest))
+        out = several(kind(text), out)
     return out
 
 
@@ -193,7 +197,7 @@ def enhance(text: Column) -> Column:
     firms = _matches(text, f"\\*\\*([^*]+)\\*\\*[{GAP}]*[^\\n]*(?:Phone|Email|Services):")
     services = F.flatten(F.transform(_matches(text, f"(?i)services?:[{GAP}]*([^\\n]+)"), lambda x: _kept(F.split(x, ","))))
     terms = F.concat(phones, emails, firms, services)
-    shown = let(F.struct(terms.alias("t"), F.lit(0)), lambda s: F.when(F.size(s["t"]) > 0, F.concat(F.array_join(s["t"], " "), F.lit(" "), plain)).otherwise(plain))
+    shown = let(F.struct(terms.alias("t")), lambda s: F.when(F.size(s["t"]) > 0, F.concat(F.array_join(s["t"], " "), F.lit(" "), plain)).otherwise(plain))
     return F.when(marked, shown).otherwise(text)
 
 
