@@ -58,8 +58,8 @@ class Corpus:
     def table(self, name: str) -> DataFrame:
         at = self.manifest()["tables"].get(name)
         if at is None:
-            return self.spark.createDataFrame([], schemas.TABLES[name])
-        return self.spark.read.schema(schemas.TABLES[name]).parquet(f"{self.path}/{at}")
+            return self.spark.createDataFrame([], schemas.ddl(name))
+        return self.spark.read.schema(schemas.ddl(name)).parquet(f"{self.path}/{at}")
 
     def commit(self, **tables: DataFrame) -> int:
         """Write the tables given and make them, with all others as they were, the current version."""
@@ -67,7 +67,7 @@ class Corpus:
         version, known = now["version"] + 1, dict(now["tables"])
         for name, df in tables.items():
             known[name] = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
-            columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schemas.TABLES[name].fields]
+            columns = [F.col(c).cast(kind).alias(c) for c, kind in schemas.TABLES[name].items()]
             df.select(columns).write.parquet(f"{self.path}/{known[name]}")
         fs, at = self._fs(f"{self.path}/CURRENT.{version}.{uuid.uuid4().hex[:8]}")
         stream = fs.create(at, False)

@@ -1,16 +1,34 @@
-"""Schemas of the stored tables."""
+"""Schemas of the stored tables, as (column, type) pairs."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+TABLES: dict[str, dict[str, str]] = {
+    "documents": {
+        "id": "string",
+        "original_text": "string",
+        "content_hash": "string",
+        "file_path": "string",
+        "source_path": "string",
+        "doc_type": "string",
+        "chunk_count": "int",
+        "created_at": "timestamp",
+        "updated_at": "timestamp",
+    },
+    "chunks": {
+        "chunk_id": "string",
+        "document_id": "string",
+        "chunk_index": "int",
+        "chunk_text": "string",
+        "start_pos": "int",
+        "end_pos": "int",
+        "token_count": "int",
+        "page_number": "int",
+        "chunk_type": "string",
+        "created_at": "timestamp",
+    },
+    "embeddings": {"chunk_id": "string", "document_id": "string", "embedding": "array<float>"},
+}
 
-DOCUMENTS = StructType.fromDDL(
-    "id string, original_text string, content_hash string, file_path string, source_path string, doc_type string, "
-    "chunk_count int, created_at timestamp, updated_at timestamp"
-)
-CHUNKS = StructType.fromDDL(
-    "chunk_id string, document_id string, chunk_index int, chunk_text string, start_pos int, end_pos int, token_count int, "
-    "page_number int, chunk_type string, created_at timestamp"
-)
-EMBEDDINGS = StructType.fromDDL("chunk_id string, document_id string, embedding array<float>")
-TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "embeddings": EMBEDDINGS}
+
+def ddl(table: str) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in TABLES[table].items())
