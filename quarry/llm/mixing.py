@@ -129,20 +129,22 @@ def plan(docs: DataFrame, target: Target) -> DataFrame:
 def mix(docs: DataFrame, target: Target = Target(), domain: Column | None = None) -> DataFrame:
     """The rows of ``docs`` that the target takes, once for each ``epoch`` (from 0) that takes them.
 
-    The columns of ``docs`` come back as they are, with ``_domain`` and ``_epoch`` added.
+    The columns of ``docs`` come back as they are, with ``_domain`` and ``_epoch`` added (or in place of its own of these names).
     """
     domain = domain_of(F.col("source")) if domain is None else domain
+    docs = docs.drop("_domain", "_epoch")
     leaf = {"domain": F.coalesce(domain, F.lit("")), "lang": F.coalesce("lang", F.lit("")), "source": F.coalesce("source", F.lit(""))}
     slim = docs.select("doc_id", "text", *[v.alias(k) for k, v in leaf.items()])
-    chosen = plan(slim, target).select(*[F.col(k).alias(f"_{k}") for k in LEVELS], F.col("full").alias("_full"), F.col("last").alias("_last"))
-    rows = docs.withColumns({f"_leaf_{k}": v for k, v in leaf.items()})
-    on = [F.col(f"_leaf_{k}") == F.col(f"_{k}") for k in LEVELS]
+    own = "__mix_"  # begins the names of columns that stand beside the input's own
+    chosen = plan(slim, target)
+    chosen = chosen.select(*[F.col(c).alias(own + c) for c in chosen.columns])
+    rows = docs.withColumns({f"{own}own_{k}": v for k, v in leaf.items()})
+    on = [F.col(f"{own}own_{k}") == F.col(own + k) for k in LEVELS]
     rows = rows.join(chosen, on[0] & on[1] & on[2])
-    partly = F.col("_last").isNotNull() & (_key(target, F.col("_full")) <= F.col("_last"))
-    taken = F.col("_full") + F.when(partly, 1).otherwise(0)
-    rows = rows.withColumn("_taken", taken).where("_taken > 0")
-    rows = rows.withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_taken").cast("int") - 1)))
-    return rows.select(*docs.columns, "_domain", "_epoch")
+    partly = F.col(own + "last").isNotNull() & (_key(target, F.col(own + "full")) <= F.col(own + "last"))
+    rows = rows.withColumn(own + "taken", (F.col(own + "full") + F.when(partly, 1).otherwise(0)).cast("int")).where(F.col(own + "taken") > 0)
+    epochs = F.explode(F.sequence(F.lit(0), F.col(own + "taken") - 1))
+    return rows.select(*docs.columns, F.col(own + "domain").alias("_domain"), epochs.alias("_epoch"))
 
 
 def oracle(target: Target = Target()) -> str:
@@ -177,7 +179,8 @@ def oracle(target: Target = Target()) -> str:
     with each as (
       select doc_id, lang as lang0, source as source0, coalesce(lang, '') as lang, coalesce(source, '') as source,
         case when regexp_matches(source, '^src[0-4]$') then 'crawl' when regexp_matches(source, '^src[5-9]$') then 'forum' else 'library' end as domain,
-        len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) as tokens
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) as tokens
       from documents),
     leaves as (select {leaf}, sum(tokens)::double as tokens from each group by {leaf}),
     caps as (select *, tokens * {float(target.epochs)} as cap from leaves),

@@ -36,6 +36,7 @@ from quarry.session import small_batches, stage
 
 MOST = 2
 _SEED = 42
+_OWN = "__simhash_"  # begins the names of columns that stand beside the input's own
 
 
 def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
@@ -144,14 +145,14 @@ def representatives(docs: DataFrame, crowd: int = 16) -> DataFrame:
     odd = found.agg(
         F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), (F.count("doc_id") - F.count_distinct("doc_id")).alias("again")
     ).first()
-    heads = found.where("component_id = doc_id").select(F.col("component_id").alias("_head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col("_head"), "left_semi")
+    heads = found.where("component_id = doc_id").select(F.col("component_id").alias(_OWN + "head")).distinct()
+    kept = docs.join(heads, F.col("doc_id") == F.col(_OWN + "head"), "left_semi")
     if odd.again:
         kept = kept.dropDuplicates(["doc_id"])
     if odd.nulls:
-        orphans = found.where("component_id is null").select(F.col("fp").alias("_key"), F.col("root").alias("_root")).distinct()
-        nameless = docs.where("doc_id is null").withColumn("_fp", fingerprint(F.col("text"), docs.sparkSession))
-        nameless = nameless.join(orphans, F.col("_fp") == F.col("_key")).dropDuplicates(["_root"])
+        orphans = found.where("component_id is null").select(F.col("fp").alias(_OWN + "key"), F.col("root").alias(_OWN + "root")).distinct()
+        nameless = docs.where("doc_id is null").withColumn(_OWN + "fp", fingerprint(F.col("text"), docs.sparkSession))
+        nameless = nameless.join(orphans, F.col(_OWN + "fp") == F.col(_OWN + "key")).dropDuplicates([_OWN + "root"])
         kept = kept.unionByName(nameless.select(docs.columns))
     return kept
 
