@@ -37,10 +37,10 @@ from quarry.session import ship
 @dataclass(frozen=True)
 class Settings:
     k: int = 20
-    projections: int = 64
+    projections: int = 48
     threshold: float = 0.6  # of the projections
     widen: float = 1.08
-    block: int = 8192  # vectors of one sorted array
+    block: int = 16_384  # vectors of one sorted array
     query_block: int = 512
     seed: int = 5
 
@@ -49,63 +49,66 @@ class Index:
     """The sorted projections of one block of vectors."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, largest: float, s: Settings):
-        self.s, self.ids, self.vectors = s, ids, vectors
+        self.s, self.ids, self.vectors, self.largest = s, ids, vectors, largest
         scaled = vectors / largest
         rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", scaled, scaled), 0))
         self.points = np.hstack([scaled, rest[:, None]])
         self.lines = np.random.default_rng(s.seed).standard_normal((self.points.shape[1], s.projections))
-        at = self.points @ self.lines
-        self.order = np.ascontiguousarray(np.argsort(at, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.sort(at, axis=0).T)
+        at = (self.points @ self.lines).T
+        order = np.argsort(at, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(at, order, axis=1)
+        # the place of each vector in each sorted array; a window holds a run of places
+        self.place = np.empty(order.shape, dtype=np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], axis=1)
+
+    def windows(self, centre: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and size of each query's window in each array."""
+        lo = np.stack([np.searchsorted(x, c - radius, side="left") for x, c in zip(self.sorted, centre.T)], axis=1)
+        hi = np.stack([np.searchsorted(x, c + radius, side="right") for x, c in zip(self.sorted, centre.T)], axis=1)
+        return lo, hi - lo
+
+    def collisions(self, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many windows each vector is."""
+        kind = self.place.dtype
+        # places before the window wrap around to large numbers; a window of everything may not fit the type
+        inside = (self.place - lo.astype(kind)[:, None]) < np.minimum(size, np.iinfo(kind).max).astype(kind)[:, None]
+        return np.add.reduce(inside, axis=0, dtype=np.uint16)
 
     def search(self, qids: np.ndarray, queries: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the places and inner products of its best, nearest first."""
         s, n = self.s, len(self.ids)
-        unit = queries / np.linalg.norm(queries, axis=1)[:, None]
+        length = np.linalg.norm(queries, axis=1)
+        unit = queries / length[:, None]
         centre = unit @ self.lines[:-1]
         step = max(1, n // 256)
         # the nearest of a few vectors tells from which radius on windows are worth counting
         near = 2 - 2 * (unit @ self.points[::step, :-1].T).max(axis=1)
         radius = np.maximum(0.85 * np.sqrt(np.maximum(near, 0)), 0.05)
-        lo = np.empty((len(qids), s.projections), dtype=np.int64)
-        hi = np.empty_like(lo)
-        counts: list[np.ndarray | None] = [None] * len(qids)
-        old: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(qids)
-        known: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
+        verified = [np.empty(0, np.int64)] * len(qids)
+        scores = [np.empty(0)] * len(qids)
         need = int(np.ceil(s.threshold * s.projections))
         active = np.arange(len(qids))
         while len(active):
-            for p in range(s.projections):
-                lo[active, p] = np.searchsorted(self.sorted[p], centre[active, p] - radius[active], side="left")
-                hi[active, p] = np.searchsorted(self.sorted[p], centre[active, p] + radius[active], side="right")
+            lo, size = self.windows(centre[active], radius[active])
             going = []
-            for q in active.tolist():
-                a, b = lo[q].tolist(), hi[q].tolist()
-                if old[q] is None:
-                    parts = [o[x:y] for o, x, y in zip(self.order, a, b)]
-                    counts[q] = np.bincount(np.concatenate(parts), minlength=n)
-                else:
-                    parts = [o[x:y] for o, x, y in zip(self.order, a, old[q][0])] + [o[x:y] for o, x, y in zip(self.order, old[q][1], b)]
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n)
-                old[q] = a, b
-                all_in = max(a) == 0 and min(b) == n
-                found = np.flatnonzero(counts[q] >= (0 if all_in else need))
-                new = np.setdiff1d(found, known[q][0], assume_unique=True)
+            for q, first, many in zip(active.tolist(), lo, size):
+                everything = many.min() == n
+                hit = np.ones(n, bool) if everything else self.collisions(first, many) >= need
+                hit[verified[q]] = False
+                new = np.flatnonzero(hit)
                 new = new[self.ids[new] != qids[q]]
-                score = self.vectors[new] @ queries[q]
-                places, scores = np.concatenate([known[q][0], new]), np.concatenate([known[q][1], score])
-                known[q] = places, scores
-                distance = np.sqrt(np.maximum(2 - 2 * (self.points[places, :-1] @ unit[q]), 0))
-                if all_in or np.count_nonzero(distance <= radius[q]) >= s.k:
-                    counts[q] = old[q] = None
-                else:
+                verified[q] = np.concatenate([verified[q], new])
+                scores[q] = np.concatenate([scores[q], np.take(self.vectors, new, axis=0) @ queries[q]])
+                # inner products that are this large are within the radius on the unit sphere
+                least = (1 - radius[q] ** 2 / 2) * length[q] * self.largest
+                if not everything and np.count_nonzero(scores[q] >= least) < s.k:
                     going.append(q)
             active = np.array(going, dtype=np.int64)
             radius[active] *= s.widen
         out = []
-        for places, scores in known:
-            best = np.lexsort((self.ids[places], -scores))[: s.k]
-            out.append((places[best], scores[best]))
+        for places, score in zip(verified, scores):
+            best = np.lexsort((self.ids[places], -score))[: s.k]
+            out.append((places[best], score[best]))
         return out
 
 
