@@ -41,7 +41,9 @@ class Settings:
     threshold: float = 0.6  # of the projections
     widen: float = 1.08
     block: int = 16_384  # vectors of one sorted array
-    query_block: int = 512
+    query_block: int = 16_384  # queries of one task, at most
+    least_queries: int = 64  # and at least, where smaller blocks would only make more than ``tasks`` tasks
+    tasks: int = 24
     seed: int = 5
 
 
@@ -137,7 +139,9 @@ def search(vectors: DataFrame, is_query: Column, settings: Settings = Settings()
         none = vectors.sparkSession.createDataFrame([], schema)
         return none.select("query_id", F.lit(0).alias("rank"), "vec_id", "score")
     rows, largest = rows.where(F.col("d") == shape.d), float(shape.norm)
-    blocks, query_blocks = -(-shape.n // s.block), -(-shape.nq // s.query_block)
+    blocks = -(-shape.n // s.block)
+    # few and large blocks of queries, since each is sent every vector; more only to keep some tasks busy
+    query_blocks = max(-(-shape.nq // s.query_block), min(-(-shape.nq // s.least_queries), -(-s.tasks // blocks)))
 
     def deal(df: DataFrame, own: int, other: int, first: bool) -> DataFrame:
         mine = F.pmod(F.xxhash64("vec_id", F.lit(s.seed)), F.lit(own))
