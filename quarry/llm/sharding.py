@@ -4,8 +4,8 @@ Equal texts form a group that stays together. Groups are weighed in all three
 dimensions against an equal share of a shard. A group over a ``1 / parcels`` part
 of a shard in any dimension is placed by itself (there are at most three times
 ``shards * parcels`` such groups, since their parts sum to the whole); the others
-are gathered into ``shards * parcels`` parcels by their hash. A group over an
-eighth of a shard is split evenly over several pieces. Largest first, each unit
+are gathered into ``shards * parcels`` parcels by their hash. Only a group that is
+too large for a shard is split, evenly into pieces of half a shard at most. Largest first, each unit
 goes to the shard whose residual capacity has the highest dot product with the
 unit's weights, then single moves even the bytes out. So the driver holds a table
 whose size depends on the number of shards alone.
@@ -33,7 +33,7 @@ from quarry.session import stage
 class Settings:
     shards: int = 24
     parcels: int = 256
-    split: int = 8  # a piece of a group has at most this part of a shard
+    pieces: int = 2  # to a shard, of a group that exceeds one
     overhead: int = 8  # bytes of a row besides its text
     bucket_rows: int = 20_000
 
@@ -94,7 +94,7 @@ def assign(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     large = rows.groupBy("group").agg(*_sums()).withColumn("part", part).where(F.col("part") > 1 / s.parcels).select("group", "part").collect()
     table, base = [], n_parcels
     for r in sorted(large, key=lambda r: (-r.part, r.group)):
-        pieces = max(1, int(np.ceil(r.part * s.split))) if r.part > 1 / s.split else 1
+        pieces = int(np.ceil(r.part * s.pieces)) if r.part > 1 else 1
         table.append((r.group, base, pieces))
         base += pieces
     alone = F.broadcast(spark.createDataFrame(table, "_group long, _base long, _pieces long"))
