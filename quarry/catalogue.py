@@ -431,14 +431,10 @@ def update_chunks(spark, sf_dir):
     return catalog.update_chunks(chunks, edits).select("chunk_id", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "token_count", "end_pos")
 
 
-@query(f"select id, updated_at, row_number() over (order by updated_at desc, id)::int as position from ({_STORED}) order by position limit 100")
-def list_documents_page(spark, sf_dir):
-    """The newest hundred, as a listing's first page."""
-    from pyspark.sql import Window
-
+@query(f"select id, updated_at, false as is_image from ({_STORED})")
+def list_documents(spark, sf_dir):
     listed = _stored(spark, sf_dir).withColumn("doc_type", F.lit("txt"))
-    page = catalog.list_documents(listed).limit(100)
-    return page.withColumn("position", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("updated_at"), "id"))).select("id", "updated_at", "position")
+    return catalog.list_documents(listed).select("id", "updated_at", "is_image")
 
 
 @query(f"select id, md5(original_text) as text_md5 from ({_STORED}) where id = '17'")

@@ -147,9 +147,11 @@ class HttpEmbedder:
 def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFrame:
     """``(chunk_id, document_id, embedding)``; each distinct processed text is embedded once."""
     small_batches(chunks.sparkSession, rows=500)
-    ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t"))
-    each = ready.select("_t").where("_t <> ''").distinct().select("_t", embedder.column(F.col("_t")).alias("embedding"))
-    return ready.join(each, "_t").select("chunk_id", "document_id", "embedding")
+    ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t")).where("_t <> ''")
+    keyed = ready.withColumn("_key", F.sha2("_t", 256))
+    # texts are shuffled once, to find the distinct ones; vectors go back to their chunks by digest
+    each = keyed.groupBy("_key").agg(F.first("_t").alias("_t")).select("_key", embedder.column(F.col("_t")).alias("embedding"))
+    return keyed.select("chunk_id", "document_id", "_key").join(each, "_key").select("chunk_id", "document_id", "embedding")
 
 
 def embed_query(spark, embedder: Embedder, query: str) -> list[float]:

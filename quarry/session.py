@@ -55,17 +55,29 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
+    spark.sparkContext.__dict__.setdefault("_quarry_staged", []).append(at)
     return out
 
 
+def clear_stages(spark: SparkSession) -> int:
+    """Delete what this session has staged; for the end of a job, when nothing is left to read."""
+    staged = spark.sparkContext.__dict__.pop("_quarry_staged", [])
+    for at in staged:
+        _delete(spark, at)
+    return len(staged)
+
+
+def _delete(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from ``stage`` that nothing will read again."""
     at = getattr(df, "_staged_at", None)
     if at is None:
         return
-    jvm = df.sparkSession._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    _delete(df.sparkSession, at)
 
 
 def ship(spark: SparkSession) -> None:

@@ -270,6 +270,14 @@ def page_chunks(pages: list[Page]) -> list[tuple[Chunk, int]]:
     return done
 
 
+def page_overview(chunks: DataFrame, most: int = 1000) -> DataFrame:
+    """``(document_id, text)``: the beginning of each page's chunks, marked with the page's number."""
+    mark = F.concat(F.lit("[Page "), F.coalesce(F.col("page_number"), F.lit(1)).cast("string"), F.lit("] "))
+    parts = chunks.select("document_id", F.struct("chunk_index", F.concat(mark, T.cut_bytes(F.col("chunk_text"), most)).alias("t")).alias("p"))
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["t"]), "\n\n")
+    return parts.groupBy("document_id").agg(joined.alias("text"))
+
+
 def pdftotext(data: bytes) -> list[Page]:
     """Pages by the command-line tool, where it is installed."""
     with tempfile.NamedTemporaryFile(suffix=".pdf") as f:

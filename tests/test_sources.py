@@ -4,6 +4,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.sources import files as S
 from quarry.sources import html as H
@@ -141,3 +142,35 @@ def test_render_rows(spark):
     table = spark.range(0, 50, 1, 3).selectExpr("id", "id * 2 as d")
     got = S.render_rows(table, "id", ["id", "d"]).orderBy("row_number").collect()
     assert [r.row_text for r in got] == [f"Row {i + 1}: id: {i} | d: {2 * i}\n" for i in range(50)]
+
+
+def test_page_overview(spark):
+    rows = spark.createDataFrame([("d", 1, 2, "second"), ("d", 0, 1, "first page"), ("e", 0, None, "only")], "document_id string, chunk_index int, page_number int, chunk_text string")
+    got = {r.document_id: r.text for r in S.page_overview(rows, 5).collect()}
+    assert got == {"d": "[Page 1] first\n\n[Page 2] secon", "e": "[Page 1] only"}
+
+
+def test_fit_image(spark):
+    sizes = [(800, 600), (2240, 1120), (100, 2000), (1500, 1500)]
+    got = spark.createDataFrame(sizes, "w int, h int").select(S.fit_image(F.col("w"), F.col("h")).alias("s")).collect()
+    assert [tuple(r.s) for r in got] == [(800, 600), (1120, 560), (56, 1120), (1120, 1120)]
+
+
+def test_gzip(spark):
+    from quarry.functions.compression import compress, decompress
+
+    rows = spark.createDataFrame([("some text " * 50,), ("é",), ("",), (None,)], "t string").withColumn("z", compress(F.col("t"), spark))
+    got = rows.select("t", "z", decompress(F.col("z"), spark).alias("u")).collect()
+    assert all(r.u == (r.t or "") and (r.z is None) == (not r.t) for r in got) and len(got[0].z) < 100
+    with pytest.raises(Exception):
+        spark.createDataFrame([(b"junk",)], "z binary").select(decompress(F.col("z"), spark)).collect()
+
+
+def test_stages_can_be_cleared(spark):
+    from quarry.session import clear_stages, stage
+
+    clear_stages(spark)
+    staged = stage(spark.range(3))
+    assert staged.count() == 3 and clear_stages(spark) == 1 and clear_stages(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(staged._staged_at)
