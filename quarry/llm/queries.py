@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from quarry.llm import ann_search, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
 from quarry.llm.labelled import held_out
+from quarry.session import spread
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def op1_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,8 +88,11 @@ def first_rule(rules: Sequence[Rule], value) -> Column:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """``(src, dst, n)``: links between different hosts, by absolute or protocol-relative addresses."""
-    found = F.regexp_extract_all(F.col("html"), F.lit(r"""(?i)\shref\s*=\s*["']?(?:https?:)?//([^/?#"'\s>]+)"""), F.lit(1))
-    rows = pages.where(F.contains("html", F.lit("//"))).select(host_of(F.col("url")).alias("src"), F.explode(found).alias("dst"))
+    # cut at each attribute and looked at from there, which takes one pass however many links there are
+    pieces = F.split("html", r"""(?i)\shref\s*=\s*["']?""")
+    starts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces), F.lit(1))), lambda x: F.regexp_extract(x, r"""(?i)^(?:https?:)?//([^/?#"'\s>]+)""", 1))
+    found = F.filter(starts, lambda x: x != "")
+    rows = pages.where(F.contains("html", F.lit("//"))).select(host_of(F.col("url")).alias("src"), F.explode_outer(found).alias("dst"))
     rows = rows.select("src", F.translate("dst", _UPPER, _LOWER).alias("dst")).where("src <> '' and src <> dst")
     return rows.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
