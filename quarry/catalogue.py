@@ -13,7 +13,7 @@ from quarry.functions import text as T
 from quarry.operators import catalog, metrics, search
 from quarry.operators.chunking import chunk_documents, pack_table, packed_counts, word_windows
 from quarry.plans import chat
-from quarry.session import small_batches
+from quarry.session import small_batches, spread
 from quarry.sources import files, html
 from quarry.streaming import ingest
 
@@ -35,7 +35,8 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if table in ("documents", "pages") else df
 
 
 def _q(s: str) -> str:
@@ -240,7 +241,7 @@ _split_query("sentence_units", T.sentence_units, _CASCADE)
     select doc_id, i::int as "window", len(w[i * 218 + 1 : i * 218 + 256]) as token_count, sha256(array_to_string(w[i * 218 + 1 : i * 218 + 256], ' ')) as text_sha256 from p"""
 )
 def word_windows_documents(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.inline(word_windows(F.col("text"))))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.inline_outer(word_windows(F.col("text")))).where("window is not null")
     return rows.select("doc_id", "window", "token_count", F.sha2("window_text", 256).alias("text_sha256"))
 
 
@@ -530,7 +531,7 @@ def fit_images(spark, sf_dir):
     select doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64) as slot, count(*) as n from w group by all"""
 )
 def hashing_slots(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(HashingEmbedder(64).slots(F.col("text"))).alias("slot"))
+    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(HashingEmbedder(64).slots(F.col("text"))).alias("slot")).where("slot is not null")
     return rows.groupBy("doc_id", "slot").agg(F.count("*").alias("n"))
 
 

@@ -45,7 +45,7 @@ class HashingEmbedder:
         self.dim = dim
 
     def slots(self, text: Column) -> Column:
-        return F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.TOKEN), F.lit(0)), lambda w: slot(w, self.dim))
+        return F.transform(T.tokens(F.lower(text)), lambda w: slot(w, self.dim))
 
     def column(self, text: Column) -> Column:
         dim = self.dim

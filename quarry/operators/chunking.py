@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.units import Chunk, Chunker, pack_rows
+from quarry.operators.units import Chunk, Chunker, fields, pack_rows, tokens, trim
 from quarry.session import small_batches
 
 CHUNK = "array<struct<chunk_index:int,chunk_text:string,start_pos:int,end_pos:int,token_count:int,chunk_type:string>>"
@@ -32,47 +32,32 @@ def as_rows(chunks: list[Chunk], kind: str | None = None) -> list[dict]:
     ]
 
 
-def chunks_of(text: Column, max_tokens: int = 256, overlap: int = 38) -> Column:
-    """The chunks of a text as an array, by one Arrow pass; no shuffle."""
+def chunks_of(text: Column, max_tokens: int = 256, overlap: int = 38, keep_short: bool = True) -> Column:
+    """The chunks of a text as an array, by one Arrow pass; no shuffle.
+
+    With ``keep_short`` a text within ``max_tokens`` is its own only chunk,
+    untouched and of type ``text``. Null and blank texts have no chunks.
+    """
     chunker = Chunker(max_tokens, overlap)
 
+    def chunked(t: str | None) -> list[Chunk]:
+        if keep_short and t and tokens(t) <= max_tokens:
+            return [Chunk(t, len(fields(t)), "text")] if trim(t) else []
+        return chunker.chunk(t)
+
     @F.arrow_udf(CHUNK)
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([as_rows(chunker.chunk(t)) for t in texts.to_pylist()], type=_ARROW)
+        return pa.array([as_rows(chunked(t)) for t in texts.to_pylist()], type=_ARROW)
 
     return split(text)
 
 
-def whole(text: Column) -> Column:
-    """A short text as its only chunk, untouched."""
-    return F.array(
-        F.struct(
-            F.lit(0).alias("chunk_index"),
-            text.alias("chunk_text"),
-            F.lit(0).alias("start_pos"),
-            F.octet_length(text).cast("int").alias("end_pos"),
-            F.size(T.fields(text)).alias("token_count"),
-            F.lit("text").alias("chunk_type"),
-        )
-    ).cast(CHUNK)
-
-
 def chunk_documents(docs: DataFrame, text: str = "text", id_: str = "doc_id", max_tokens: int = 256, overlap: int = 38, keep_short: bool = True) -> DataFrame:
-    """A row for each chunk of each document.
-
-    With ``keep_short``, texts within ``max_tokens`` stay whole inside the JVM
-    and only longer ones reach Python. Null and blank texts have no chunks.
-    """
+    """A row for each chunk of each document; see ``chunks_of``."""
     small_batches(docs.sparkSession)
-    split = chunks_of(F.col(text), max_tokens, overlap)
-    slim = docs.select(F.col(id_).alias("document_id"), F.col(text))
-    if keep_short:
-        long = T.is_long(F.col(text), max_tokens)
-        short = slim.where(~long & (T.trim(F.col(text)) != "")).select("document_id", whole(F.col(text)).alias("c"))
-        parts = short.unionByName(slim.where(long).select("document_id", split.alias("c")))
-    else:
-        parts = slim.where(F.col(text).isNotNull()).select("document_id", split.alias("c"))
-    rows = parts.select("document_id", F.explode("c").alias("c")).select("document_id", "c.*")
+    slim = docs.select(F.col(id_).alias("document_id"), chunks_of(F.col(text), max_tokens, overlap, keep_short).alias("c"))
+    # the outer form, since a filter for empty arrays would be put below and compute them twice
+    rows = slim.select("document_id", F.explode_outer("c").alias("c")).where("c is not null").select("document_id", "c.*")
     return rows.select(T.chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "*")
 
 

@@ -26,7 +26,7 @@ def _python(pattern: str) -> str:
 
 _TOKEN = re.compile(_python(T.TOKEN))
 _FIELD = re.compile(_python(T.FIELD))
-_EDGES = re.compile(_python(f"^[{T.SPACE}]+|[{T.SPACE}]+\\z"))
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if re.match(_python(f"[{T.SPACE}]"), c))
 _END = re.compile(_python(T.SENTENCE_END))
 _BREAK = re.compile(T.CODE_BREAK)
 _WIDE = re.compile(_python(T.WIDE_GAP))
@@ -38,11 +38,11 @@ SMALL_TEXT = 100  # up to so many tokens a text is one chunk
 
 
 def trim(text: str) -> str:
-    return _EDGES.sub("", text)
+    return text.strip(_SPACES)
 
 
 def tokens(text: str) -> int:
-    return sum(1 for _ in _TOKEN.finditer(text))
+    return len(_TOKEN.findall(text))
 
 
 def fields(text: str) -> list[str]:

@@ -72,6 +72,20 @@ def _delete(spark: SparkSession, at: str) -> None:
     path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def spread(df: DataFrame, least: int = 4 << 20, most: int = 64 << 20) -> DataFrame:
+    """``df`` dealt over all cores where it comes in fewer files than there are cores.
+
+    A file may be a single row group, which one task reads whatever it costs.
+    Only for tables of ``least`` bytes, and of at most ``most`` for each core:
+    larger ones come in enough files, and are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if least <= size <= most * cores and len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from ``stage`` that nothing will read again."""
     at = getattr(df, "_staged_at", None)
