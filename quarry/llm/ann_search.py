@@ -38,7 +38,7 @@ from quarry.session import ship
 class Settings:
     k: int = 20
     projections: int = 48
-    threshold: float = 0.6  # of the projections
+    threshold: float = 0.56  # of the projections
     widen: float = 1.08
     block: int = 16_384  # vectors of one sorted array
     query_block: int = 16_384  # queries of one task, at most
