@@ -84,12 +84,12 @@ def _share(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 def budgets(leaves: DataFrame, target: Target) -> DataFrame:
     """``(domain, lang, source, tokens, budget)`` from ``leaves(domain, lang, source, tokens)``."""
     out = leaves.withColumn("cap", F.col("tokens") * F.lit(float(target.epochs)))
-    total = leaves.agg((F.coalesce(F.sum("tokens"), F.lit(0)) * F.lit(target.fraction)).alias("given"))
-    given, parent = total, []
+    total = leaves.agg(F.sum("tokens")).first()[0] or 0
+    given, parent = None, []
     for level, child in enumerate(LEVELS):
         keys = [*LEVELS[: level + 1]]
         nodes = out.groupBy(*keys).agg(F.sum("cap").alias("cap")).withColumn("w", target.weight(level))
-        nodes = nodes.crossJoin(given) if level == 0 else nodes.join(given, parent)  # one row of the total
+        nodes = nodes.join(given, parent) if parent else nodes.withColumn("given", F.lit(total * target.fraction))
         shared = _share(nodes, parent, child)
         given, parent = shared.select(*keys, F.col("budget").alias("given")), keys
     return out.drop("cap").join(given.withColumnRenamed("given", "budget"), list(LEVELS))

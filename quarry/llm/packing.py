@@ -152,6 +152,8 @@ class Packer:
         while len(piece.ids) >= self.capacity:
             whole, piece = piece.cut(self.capacity)
             done.append([whole])
+        if done:
+            piece.ids = piece.ids.copy()  # an open window must not hold the whole of a long document
         size = len(piece.ids)
         if size:
             at = self.level_for(size)

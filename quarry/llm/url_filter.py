@@ -105,8 +105,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings(
     for side, a, b, c in sides:
         way = edges.select(F.lit(side).alias("side"), F.col(a).alias("a"), F.col(b).alias("b"), "n")
         way = way.join(way.groupBy("a").agg(F.sum("n").alias("_out")), "a").select("side", "a", "b", (F.col("n") / F.col("_out")).alias("w"))
-        own = seeds.where(F.col(c) > 0)
-        own = own.crossJoin(own.agg(F.sum(c).alias("_all"))).select(F.lit(side).alias("side"), "host", (F.col(c) / F.col("_all")).alias("p"))  # one row of the sum
+        total = seeds.agg(F.sum(c)).first()[0] or 1
+        own = seeds.where(F.col(c) > 0).select(F.lit(side).alias("side"), "host", (F.col(c) / F.lit(float(total))).alias("p"))
         both, start = (way, own) if both is None else (both.unionByName(way), start.unionByName(own))
     both, start = stage(both, "edges"), stage(start, "seeds")
     rank = start.withColumnRenamed("p", "r")
