@@ -371,7 +371,13 @@ def clean_page_text(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_page(F.col("text")).cast("binary")).alias("cleaned_md5"))
 
 
-@query()
+@query(
+    f"""with w as (select doc_id, text, {_fields("text")} as w from documents)
+    select doc_id, len(regexp_extract_all(text, '\\b[a-zA-Z] [a-zA-Z] [a-zA-Z]\\b')) > length(text) * 0.05 as spaced_letters,
+      len(list_filter(w, lambda x: regexp_matches(x, '^[a-zA-Z]\\z'))) > len(w) * 0.1 as single_letters,
+      len(list_filter(w, lambda x: regexp_matches(x, '[a-z][A-Z]') and length(x) > 15)) > 5 as joined_words,
+      len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) > 10 as control_characters from w"""
+)
 def extraction_artifacts(spark, sf_dir):
     return _read(spark, sf_dir, "documents").select("doc_id", T.artifacts(F.col("text")).alias("a")).select("doc_id", "a.*")
 

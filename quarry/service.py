@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import tempfile
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -15,6 +16,9 @@ from quarry.ids import readable_id
 from quarry.operators.search import limit_of
 
 
+MOST_BYTES = 50 << 20  # of a request
+
+
 class Missing(Exception):
     """An argument that a verb needs is not there."""
 
@@ -42,6 +46,16 @@ class Verbs:
         self.corpus.index_files(path)
         return {"status": "indexed", "id": os.path.splitext(os.path.basename(path))[0]}
 
+    def upload(self, args: dict) -> dict:
+        """A file's bytes, parsed by its name's extension."""
+        name, data = self.need(args, "name", "data")
+        name = os.path.basename(name)
+        with tempfile.TemporaryDirectory() as folder:
+            with open(os.path.join(folder, name), "wb") as f:
+                f.write(data)
+            self.corpus.index_files(folder)
+        return {"status": "indexed", "id": os.path.splitext(name)[0]}
+
     def search(self, args: dict, most: int | None = None) -> dict:
         (query,) = self.need(args, "query")
         rows = self.corpus.search(query, limit_of(int(args.get("limit") or 0), most)).collect()
@@ -85,6 +99,7 @@ def routes(verbs: Verbs) -> list[tuple[str, str, Callable[[dict], dict]]]:
     """(method, path, verb); a part in braces is an argument."""
     return [
         ("POST", "/api/index", verbs.index),
+        ("PUT", "/api/files/{name}", verbs.upload),
         ("GET", "/api/search", verbs.search),
         ("POST", "/api/search", verbs.search),
         ("POST", "/api/chat", verbs.chat),
@@ -132,7 +147,13 @@ def serve(corpus, port: int = 8080, model=None) -> ThreadingHTTPServer:
                     continue
                 try:
                     size = int(self.headers.get("Content-Length") or 0)
-                    given = json.loads(self.rfile.read(size)) if size else {k: v[0] for k, v in parse_qs(url.query).items()}
+                    if size > MOST_BYTES:
+                        raise ValueError("too large")
+                    body = self.rfile.read(size)
+                    if "name" in found:
+                        given = {"data": body}
+                    else:
+                        given = json.loads(body) if size else {k: v[0] for k, v in parse_qs(url.query).items()}
                     status, body = 200, verb({**given, **found})
                 except (Missing, ValueError) as e:
                     status, body = 400, {"error": str(e)}

@@ -112,3 +112,14 @@ def test_pack_table(spark):
     got = pack_table(rows, "t", "o", "r", 7).orderBy("table_id", "chunk_index").collect()
     assert [(r.table_id, r.chunk_index, r.token_count) for r in got] == [("a", 0, 6), ("a", 1, 6), ("a", 2, 3), ("b", 0, 9)]
     assert got[0].chunk_text == "r0 x y\nr1 x y\n"
+
+
+def test_table_functions_in_sql(spark):
+    from quarry.functions.registry import register
+
+    register(spark)
+    spark.createDataFrame([(1, "a b"), (2, None), (3, "x. " * 300)], "id int, t string").createOrReplaceTempView("some_docs")
+    got = spark.sql("select id, c.* from some_docs, lateral chunk_text(t, 50, 5) c").collect()
+    assert {r.id for r in got} == {1, 3}
+    assert [(r.chunk_text, r.token_count) for r in got if r.id == 3] == [(c.text, c.token_count) for c in Chunker(50, 5).chunk("x. " * 300)]
+    assert spark.sql("select section_text from html_sections('<h1>a</h1><p>b</p>')").first()[0] == "## a\n\nb\n\n"

@@ -48,10 +48,13 @@ def test_http(corpus):
         assert ask("PUT", "/api/chunks/c%20d", {"text": "new words"})[0] == 200
         assert ask("GET", "/api/chunks/c%20d")[1]["chunk_text"] == "new words"
         assert ask("DELETE", "/api/documents/c%20d")[0] == 200 and ask("DELETE", "/api/documents/c%20d")[0] == 404
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/files/t.csv", b"k,v\nx,1\n", method="PUT")
+        assert json.load(urllib.request.urlopen(request)) == {"status": "indexed", "id": "t"}
+        assert ask("GET", "/api/documents/t/chunks")[1]["chunks"][1]["chunk_type"] == "csv_rows" and ask("DELETE", "/api/documents/t")[0] == 200
         assert {d["id"] for d in ask("GET", "/api/documents")[1]["documents"]} == {"a", "b"}
         assert ask("GET", "/api/health")[1]["documents"] == 2
         assert ask("GET", "/api/none")[0] == 404 and ask("DELETE", "/api/index")[0] == 405 and ask("POST", "/api/chat", {"message": "x"})[0] == 400
-        assert {"route": "/api/health", "status": 200} .items() <= next(r for r in ask("GET", "/api/metrics")[1]["requests"] if r["route"] == "/api/health").items()
+        assert {"route": "/api/health", "status": 200}.items() <= next(r for r in ask("GET", "/api/metrics")[1]["requests"] if r["route"] == "/api/health").items()
     finally:
         server.shutdown()
 
