@@ -155,15 +155,14 @@ def merge(vector_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order)).withColumn("fallback_search", F.col("source") == 1).drop("source")
 
 
-def hybrid_search(vectors: DataFrame, docs: DataFrame, query: str, embedding: Sequence[float], limit: int | None = None, strict_limit: bool = False) -> DataFrame:
-    """Vector search, with keyword search added for queries that call for exact words.
+def with_keywords(hits: DataFrame, docs: DataFrame, query: str, limit: int | None = None, strict_limit: bool = False) -> DataFrame:
+    """Vector hits, and keyword hits after them for queries that call for exact words.
 
     Up to twice the limit may come back, unless ``strict_limit``.
     """
     if not query:
         raise ValueError("the query is empty")
     n = limit_of(limit)
-    hits = search_vectors(vectors, embedding, n)
     words = keyword_search(docs, query, n)
     if not docs.sparkSession.range(1).select(F.coalesce(T.needs_keywords(F.lit(query)), F.lit(False))).first()[0]:
         words = words.limit(0)
@@ -171,6 +170,11 @@ def hybrid_search(vectors: DataFrame, docs: DataFrame, query: str, embedding: Se
     return out.where(F.col("rank") <= n) if strict_limit else out
 
 
+def hybrid_search(vectors: DataFrame, docs: DataFrame, query: str, embedding: Sequence[float], limit: int | None = None, strict_limit: bool = False) -> DataFrame:
+    """Vector search, with keyword search added where the query calls for it."""
+    return with_keywords(search_vectors(vectors, embedding, limit), docs, query, limit, strict_limit)
+
+
 def shaped(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
     """Results as an API returns them: ``id``, whole ``text``, ``score`` and ``metadata``."""
     found = hits.join(chunks.drop("document_id"), "chunk_id").join(docs.withColumnRenamed("id", "document_id"), "document_id")

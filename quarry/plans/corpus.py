@@ -199,8 +199,9 @@ class Corpus:
         vector = checked(vector if vector is not None else embed_query(self.spark, self.embedder, query), None)
         docs, chunks = self.table("documents"), self.table("chunks")
         texts = docs.select(F.col("id").alias("doc_id"), F.col("original_text").alias("text"))
-        hits = search.search_vectors(self.table("embeddings"), vector, limit)
-        full = search.hybrid_search(self.table("embeddings"), texts, query, vector, limit)
+        top = search.search_vectors(self.table("embeddings"), vector, limit)
+        hits = self.spark.createDataFrame(top.collect(), top.schema)  # at most the limit's rows, searched once for both uses
+        full = search.with_keywords(hits, texts, query, limit)
         shaped = search.shaped(hits, chunks, docs).select("id", "metadata")
         found = full.join(docs.select(F.col("id").alias("document_id"), F.col("original_text").alias("text")), "document_id")
         found = found.join(shaped.withColumnRenamed("id", "document_id"), "document_id", "left")
