@@ -504,3 +504,17 @@ def test_licences(spark, small):
 def test_texts_are_normal():
     for _, t in TEXTS:
         assert unicodedata.is_normalized("NFC", t)
+
+
+@pytest.mark.parametrize("name, module", [("op2_url_filter", url_filter), ("op3_quality_rules", quality_rules), ("op9_mixing", mixing)])
+def test_native_operators_run_no_python(spark, small, monkeypatch, name, module):
+    plans, stage = [], module.stage
+
+    def watched(df, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, *rest)
+
+    monkeypatch.setattr(module, "stage", watched)
+    out = QUERIES[name](spark, small)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 2 and not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
