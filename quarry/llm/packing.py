@@ -36,6 +36,9 @@ from quarry.session import small_batches
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+LONG = 64  # words of so many bytes are not kept in the caches
+
+
 class _Cores(dict):
     """Ids of a lower-cased run of letters, by the tokenizer's own model."""
 
@@ -52,7 +55,9 @@ class _Cores(dict):
         if len(self) >= self.most:
             self.clear()
         plain = core if core.isascii() else "".join(map(self._letter, core))
-        v = self[core] = np.array([t.id for t in self.split(plain)], dtype="<u4").tobytes()
+        v = np.array([t.id for t in self.split(plain)], dtype="<u4").tobytes()
+        if len(core) < LONG:
+            self[core] = v
         return v
 
 
@@ -92,7 +97,7 @@ class Encoder(dict):
             v = self.cores[m[1].lower()] + tail
         else:
             v = self._whole(text)
-        if len(word) < 64:
+        if len(word) < LONG:
             self[word] = v
         return v
 
