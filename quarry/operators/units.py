@@ -181,7 +181,7 @@ class Chunker:
             held, lines = groups[-1]
             lines.append(line)
             groups[-1] = held + n, lines
-        return [Chunk(trim("\n".join(lines)), held, "code", 0, 0) for held, lines in groups if "\n".join(lines)]
+        return [Chunk(trim("\n".join(lines)), held, "code", 0, 0) for held, lines in groups if trim("\n".join(lines))]
 
     def by_words(self, chunk: Chunk) -> list[Chunk]:
         words = fields(chunk.text)
