@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import Words, chunks, mix
-from quarry.llm.labelled import training_rows
+from quarry.llm.labelled import give_back, training_rows
 from quarry.session import small_batches
 
 
 @dataclass(frozen=True)
 class Settings:
     bits: int = 18
-    train_rows: int = 16_000
+    train_rows: int = 8_000
     epochs: int = 6
     rate: float = 0.5
     l2: float = 1e-5
@@ -121,11 +121,11 @@ def train(texts: list[str], ratings: list[int], s: Settings) -> Model:
     if not grades:
         return Model(s.bits, (), np.zeros(0), np.zeros(WIDTH(s.bits)))
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, words in chunks(texts):
+    for _, words in chunks(texts):  # narrow types: the sample's rows are all held at once
         r, c, v = matrix(words, s.bits)
         order = np.argsort(r, kind="stable")
         cut = np.searchsorted(r[order], np.arange(words.n_docs + 1))
-        rows += [(c[order[a:b]], v[order[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
+        rows += [(c[order[a:b]].astype(np.int32), v[order[a:b]].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:])]
     y = [grades.index(x) for x in ratings]
     k = len(grades) - 1
     share = np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / len(y)
@@ -169,6 +169,8 @@ def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality", settings: S
             ys += b.column("y").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
         m = train([texts[i] for i in order], [ys[i] for i in order], settings)
+        del texts
+        give_back()
         at = np.flatnonzero(m.weight)
         for kind, k, v in (("g", np.arange(len(m.grades)), np.array(m.grades, float)), ("t", np.arange(len(m.theta)), m.theta), ("w", at, m.weight[at])):
             yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(k), pa.string()), "k": pa.array(k, pa.int64()), "v": pa.array(v, pa.float64())})

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.hashing import Words, chunks, mix
-from quarry.llm.labelled import training_rows
+from quarry.llm.labelled import give_back, training_rows
 from quarry.session import small_batches
 
 _PAIR = [(np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F + 2 * k), 1 + k) for k in range(3)]
@@ -57,13 +57,13 @@ def slots(words: Words, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def features(texts: list[str | None], bits: int) -> list[np.ndarray]:
     """The distinct slots of each text."""
-    out: list[np.ndarray] = [np.empty(0, np.int64)] * len(texts)
+    out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
     for first, words in chunks(texts):
         doc, slot = slots(words, bits)
         keys = np.unique((doc.astype(np.int64) << bits) | slot)
         cut = np.searchsorted(keys, np.arange(words.n_docs + 1, dtype=np.int64) << bits)
         for i in range(words.n_docs):
-            out[first + i] = keys[cut[i] : cut[i + 1]] & ((1 << bits) - 1)
+            out[first + i] = (keys[cut[i] : cut[i + 1]] & ((1 << bits) - 1)).astype(np.int32)
     return out
 
 
@@ -72,7 +72,9 @@ def recurring(rows: list[np.ndarray], bits: int) -> list[np.ndarray]:
     seen = np.zeros(1 << bits, dtype=np.int64)
     for r in rows:
         seen[r] += 1
-    return [r[seen[r] > 1] for r in rows]
+    for i, r in enumerate(rows):  # in place, so that the two are never held side by side
+        rows[i] = r[seen[r] > 1]
+    return rows
 
 
 class FTRL:
@@ -136,10 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
             ys += b.column("y").to_pylist()
         order = sorted(range(len(ids)), key=ids.__getitem__)
         rows = recurring(features([texts[i] for i in order], settings.bits), settings.bits)
+        del texts
         learner = FTRL(settings).fit(rows, [int(ys[i] > 0) for i in order])
         every = np.arange((1 << settings.bits) + 1)
         w = learner.weights(every)
         keep = every[(w != 0) | (every == 1 << settings.bits)]
+        del rows, learner
+        give_back()
         yield pa.RecordBatch.from_pydict({"slot": pa.array(keep, pa.int64()), "weight": pa.array(w[keep], pa.float64())})
 
     small_batches(docs.sparkSession)
