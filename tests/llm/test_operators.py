@@ -55,7 +55,7 @@ def odd_texts():
 
 @pytest.fixture(scope="module")
 def docs(spark, small):
-    return spark.read.parquet(f"{small}/documents.parquet").cache()
+    return spark.read.parquet(f"{small}/documents.parquet")
 
 
 # 7
