@@ -35,8 +35,12 @@ def query(sql: str | None = None):
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
-    return spread(df) if table in ("documents", "pages") else df
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What most text queries use of ``documents``, over all cores; columns are picked first, for a shuffle keeps all that it gets."""
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _q(s: str) -> str:
@@ -136,13 +140,13 @@ _WORD_HITS = f"select doc_id as document_id, {_SCORE} as s from documents where
 
 @query(f"select doc_id, round({_SCORE}, 6) as score from documents")
 def keyword_score(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     return docs.select("doc_id", F.round(T.keyword_score(F.col("text"), F.lit(_PHRASE)), 6).alias("score"))
 
 
 @query(f"select document_id, round(s, 6) as score from ({_WORD_HITS})")
 def keyword_search(spark, sf_dir):
-    return search.keyword_search(_read(spark, sf_dir, "documents"), _PHRASE, 10).withColumn("score", F.round("score", 6))
+    return search.keyword_search(_texts(spark, sf_dir), _PHRASE, 10).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -151,7 +155,7 @@ def keyword_search(spark, sf_dir):
     select document_id, round(s, 6) as score, row_number() over (order by k, s desc, document_id)::int as rank, k = 1 as fallback_search from m"""
 )
 def hybrid_search(spark, sf_dir):
-    found = search.hybrid_search(_vectors(spark, sf_dir), _read(spark, sf_dir, "documents"), _PHRASE, _first_vector(spark, sf_dir), 10)
+    found = search.hybrid_search(_vectors(spark, sf_dir), _texts(spark, sf_dir), _PHRASE, _first_vector(spark, sf_dir), 10)
     return found.withColumn("score", F.round("score", 6))
 
 
@@ -179,7 +183,7 @@ _KIND = f"""case when {_any("text", T.CODE_MARKS)} then 'code' when {_MARKS} > 2
 )
 def text_profile(spark, sf_dir):
     t = F.col("text")
-    return _read(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         "doc_id",
         T.token_count(t).alias("tokens"),
         T.is_long(t, 256).alias("is_long"),
@@ -221,7 +225,7 @@ _SPLIT_SQL = """select doc_id, len(u) as n_units, md5(array_to_string(u, '|')) a
 
 def _split_query(name: str, function, sql: str) -> None:
     def run(spark, sf_dir):
-        units = _read(spark, sf_dir, "documents").select("doc_id", function(F.col("text")).alias("u"))
+        units = _texts(spark, sf_dir).select("doc_id", function(F.col("text")).alias("u"))
         return units.select("doc_id", F.size("u").alias("n_units"), F.md5(F.array_join("u", "|").cast("binary")).alias("units_md5"))
 
     run.__name__ = f"split_{name}"
@@ -241,7 +245,7 @@ _split_query("sentence_units", T.sentence_units, _CASCADE)
     select doc_id, i::int as "window", len(w[i * 218 + 1 : i * 218 + 256]) as token_count, sha256(array_to_string(w[i * 218 + 1 : i * 218 + 256], ' ')) as text_sha256 from p"""
 )
 def word_windows_documents(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.inline_outer(word_windows(F.col("text")))).where("window is not null")
+    rows = _texts(spark, sf_dir).select("doc_id", F.inline_outer(word_windows(F.col("text")))).where("window is not null")
     return rows.select("doc_id", "window", "token_count", F.sha2("window_text", 256).alias("text_sha256"))
 
 
@@ -258,19 +262,19 @@ def word_windows_documents(spark, sf_dir):
     select doc_id, len(list_append(r.done, r.cur)) as n_chunks, array_to_string(list_append(r.done, r.cur), ',') as token_counts from f"""
 )
 def packed_chunk_counts(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").where("text <> ''").select("doc_id", packed_counts(F.col("text")).alias("c"))
+    rows = _texts(spark, sf_dir).where("text <> ''").select("doc_id", packed_counts(F.col("text")).alias("c"))
     return rows.select("doc_id", F.size("c").alias("n_chunks"), F.array_join(F.transform("c", lambda x: x.cast("string")), ",").alias("token_counts"))
 
 
 @query()
 def chunk_all_documents(spark, sf_dir):
     """Held against a plain chunker in tests; whole texts through the Arrow pass."""
-    return chunk_documents(_read(spark, sf_dir, "documents"))
+    return chunk_documents(_texts(spark, sf_dir))
 
 
 @query("select doc_id, case when i = 0 then doc_id::varchar else doc_id::varchar || '_chunk_' || i::varchar end as chunk_id from documents, range(0, 3) r(i)")
 def chunk_ids(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("i"))
     return rows.select("doc_id", T.chunk_id(F.col("doc_id"), F.col("i")).alias("chunk_id"))
 
 
@@ -302,7 +306,7 @@ _TIDY = f"select doc_id, {_trim(_collapse('e'))} as t from (select doc_id, {_enh
     select doc_id, sha256(case when strlen(t) <= 8192 then t when contains(s, ' ') and strlen(back) > 4096 then back else s end) as processed_sha256 from b"""
 )
 def preprocess_text(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", T.preprocess(F.col("text")).alias("t"))
+    rows = _texts(spark, sf_dir).select("doc_id", T.preprocess(F.col("text")).alias("t"))
     return rows.select("doc_id", F.sha2("t", 256).alias("processed_sha256"))
 
 
@@ -321,12 +325,12 @@ def preprocess_query(spark, sf_dir):
 
 @query(f"select doc_id, {_cut('text', 200)} || case when strlen(text) > 200 then '...' else '' end as short from documents")
 def truncate_text(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", T.truncate(F.col("text"), 200).alias("short"))
+    return _texts(spark, sf_dir).select("doc_id", T.truncate(F.col("text"), 200).alias("short"))
 
 
 @query("select sha256(text) as content_hash, min(doc_id) as id, count(*) as copies from documents group by 1")
 def exact_duplicates(spark, sf_dir):
-    return catalog.drop_exact_duplicates(_read(spark, sf_dir, "documents"))
+    return catalog.drop_exact_duplicates(_texts(spark, sf_dir))
 
 
 def _occurrences(t: str, mark: str) -> str:
@@ -347,7 +351,7 @@ _HEADER = f"""(strlen(x) >= 3 and (starts_with(x, '#') or (len({_fields("x")}) b
 def word_processor_text(spark, sf_dir):
     t = F.col("text")
     lines = F.filter(F.split(t, "\n"), lambda x: T.trim(x) != "")
-    return _read(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         "doc_id",
         F.md5(T.clean_lines(t).cast("binary")).alias("cleaned_md5"),
         T.word_content_type(t).alias("content_type"),
@@ -362,13 +366,13 @@ def word_processor_text(spark, sf_dir):
     select doc_id, md5(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g')) as cleaned_md5 from c"""
 )
 def clean_layout_text(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_layout(F.col("text")).cast("binary")).alias("cleaned_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.clean_layout(F.col("text")).cast("binary")).alias("cleaned_md5"))
 
 
 @query()
 def clean_page_text(spark, sf_dir):
     """SQL's patterns cannot look behind; golden cases are in tests."""
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_page(F.col("text")).cast("binary")).alias("cleaned_md5"))
+    return _texts(spark, sf_dir).select("doc_id", F.md5(T.clean_page(F.col("text")).cast("binary")).alias("cleaned_md5"))
 
 
 @query(
@@ -379,13 +383,13 @@ def clean_page_text(spark, sf_dir):
       len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) > 10 as control_characters from w"""
 )
 def extraction_artifacts(spark, sf_dir):
-    return _read(spark, sf_dir, "documents").select("doc_id", T.artifacts(F.col("text")).alias("a")).select("doc_id", "a.*")
+    return _texts(spark, sf_dir).select("doc_id", T.artifacts(F.col("text")).alias("a")).select("doc_id", "a.*")
 
 
 @query("select doc_id, [doc_id::varchar, 'x-' || doc_id::varchar] as cited from documents")
 def citations(spark, sf_dir):
     reply = F.format_string("As in [%d] and [x-%d], not [in a b] but [%d].", "doc_id", "doc_id", "doc_id")
-    return _read(spark, sf_dir, "documents").select("doc_id", T.citations(reply).alias("cited"))
+    return _texts(spark, sf_dir).select("doc_id", T.citations(reply).alias("cited"))
 
 
 # stored tables
@@ -397,7 +401,7 @@ _STORED = f"select doc_id::varchar as id, text as original_text, {_OLD} as creat
 
 def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = F.expr(_OLD)
-    return _read(spark, sf_dir, "documents").select(
+    return _texts(spark, sf_dir).select(
         F.col("doc_id").cast("string").alias("id"),
         F.col("text").alias("original_text"),
         old.alias("created_at"),
@@ -432,7 +436,7 @@ def delete_documents(spark, sf_dir):
     strlen(case when doc_id % 5 = 0 then 'edited text ' || doc_id::varchar else text end) as end_pos from documents"""
 )
 def update_chunks(spark, sf_dir):
-    docs = _read(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir)
     chunks = docs.select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("text").alias("chunk_text"), T.token_count(F.col("text")).alias("token_count"), F.octet_length("text").alias("end_pos"))
     edits = docs.where("doc_id % 5 = 0").select(F.col("doc_id").cast("string").alias("chunk_id"), F.format_string("edited text %d", "doc_id").alias("chunk_text"))
     return catalog.update_chunks(chunks, edits).select("chunk_id", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "token_count", "end_pos")
@@ -471,7 +475,7 @@ def html_title(spark, sf_dir):
 @query()
 def html_chunks(spark, sf_dir):
     """Titles, sections and their chunks by the HTML parser; golden cases are in tests."""
-    pages = _read(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    pages = spread(_read(spark, sf_dir, "pages").select("page_id", "html")).select(F.concat("page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     parsed = files.parse_files(pages)
     return parsed.select("path", F.explode("chunks").alias("c")).select("path", "c.chunk_index", "c.chunk_type", "c.token_count", "c.chunk_text")
 
@@ -484,7 +488,7 @@ def html_text(spark, sf_dir):
     def text(pages: pa.Array) -> pa.Array:
         return pa.array([html.to_text(p) if p is not None else None for p in pages.to_pylist()], pa.string())
 
-    return _read(spark, sf_dir, "pages").select("page_id", text("html").alias("text"))
+    return spread(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", text("html").alias("text"))
 
 
 _NATION = "'n_nationkey: ' || n_nationkey || ' | n_name: ' || n_name || ' | n_regionkey: ' || n_regionkey"
@@ -537,7 +541,7 @@ def fit_images(spark, sf_dir):
     select doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64) as slot, count(*) as n from w group by all"""
 )
 def hashing_slots(spark, sf_dir):
-    rows = _read(spark, sf_dir, "documents").select("doc_id", F.explode_outer(HashingEmbedder(64).slots(F.col("text"))).alias("slot")).where("slot is not null")
+    rows = _texts(spark, sf_dir).select("doc_id", F.explode_outer(HashingEmbedder(64).slots(F.col("text"))).alias("slot")).where("slot is not null")
     return rows.groupBy("doc_id", "slot").agg(F.count("*").alias("n"))
 
 
@@ -548,7 +552,7 @@ def hashing_slots(spark, sf_dir):
 )
 def hashing_embedding(spark, sf_dir):
     small_batches(spark)
-    vectors = _read(spark, sf_dir, "documents").select("doc_id", HashingEmbedder(64).column(F.col("text")).alias("v"))
+    vectors = _texts(spark, sf_dir).select("doc_id", HashingEmbedder(64).column(F.col("text")).alias("v"))
     return vectors.select("doc_id", F.round(F.array_max("v").cast("double"), 4).alias("largest"))
 
 
@@ -561,14 +565,14 @@ def _keyword_part(k: int) -> str:
 
 @query(f"select doc_id, {', '.join(_keyword_part(k) for k in range(3))} from documents")
 def keyword_embedding(spark, sf_dir):
-    vectors = _read(spark, sf_dir, "documents").select("doc_id", KeywordEmbedder().column(F.col("text")).alias("v"))
+    vectors = _texts(spark, sf_dir).select("doc_id", KeywordEmbedder().column(F.col("text")).alias("v"))
     return vectors.select("doc_id", *[F.round(F.get("v", k).cast("double"), 4).alias(f"e{k}") for k in range(3)])
 
 
 @query("select count(*) as chunks, count(distinct text) as texts from documents where trim(text) <> ''")
 def embed_distinct(spark, sf_dir):
     """Every chunk gets its vector, though each distinct text is embedded once."""
-    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("chunk_text"))
+    docs = _texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("chunk_text"))
     vectors = embed_chunks(docs, HashingEmbedder(64)).where("size(embedding) = 64")
     joined = vectors.join(docs, "chunk_id")
     return joined.agg(F.count("*").alias("chunks"), F.count_distinct("chunk_text").alias("texts"))
@@ -631,7 +635,7 @@ def token_usage(spark, sf_dir):
 
 @query("select count(*) as requests, count(distinct text) as entries, round((count(*) - count(distinct text)) / count(*), 6) as hit_rate from documents")
 def cache_hit_rate(spark, sf_dir):
-    return metrics.cache_hit_rate(_read(spark, sf_dir, "documents"), F.col("text")).withColumn("hit_rate", F.round("hit_rate", 6))
+    return metrics.cache_hit_rate(_texts(spark, sf_dir), F.col("text")).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 # event streams
