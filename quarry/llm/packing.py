@@ -39,11 +39,33 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 LONG = 64  # words of so many bytes are not kept in the caches
 
 
-class _Cores(dict):
+class _Bounded(dict):
+    """A cache of two generations: a full one becomes the old one, and what is asked for again moves up."""
+
+    def __init__(self, most: int):
+        self.most, self.old = most, {}
+
+    def find(self, key):
+        v = self.old.get(key)
+        return self.keep(key, self.made(key) if v is None else v)
+
+    __missing__ = find
+
+    def keep(self, key, value: bytes) -> bytes:
+        if len(key) < LONG:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
+class _Cores(_Bounded):
     """Ids of a lower-cased run of letters, by the tokenizer's own model."""
 
     def __init__(self, tokenizer, most: int):
-        self.split, self.pre, self.most, self.letters = tokenizer.model.tokenize, tokenizer.pre_tokenizer, most, {}
+        super().__init__(most)
+        self.split, self.pre, self.letters = tokenizer.model.tokenize, tokenizer.pre_tokenizer, {}
 
     def _letter(self, c: str) -> str:
         v = self.letters.get(c)
@@ -51,17 +73,12 @@ class _Cores(dict):
             v = self.letters[c] = self.pre.pre_tokenize_str(c)[0][0]
         return v
 
-    def __missing__(self, core: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    def made(self, core: str) -> bytes:
         plain = core if core.isascii() else "".join(map(self._letter, core))
-        v = np.array([t.id for t in self.split(plain)], dtype="<u4").tobytes()
-        if len(core) < LONG:
-            self[core] = v
-        return v
+        return np.array([t.id for t in self.split(plain)], dtype="<u4").tobytes()
 
 
-class Encoder(dict):
+class Encoder(_Bounded):
     """Ids of a whole text, word by word through bounded caches.
 
     The tokenizer lower-cases, drops white space and never joins across it, so
@@ -73,33 +90,28 @@ class Encoder(dict):
     #: Letters whose lower case and class do not depend on the Unicode version, then ASCII punctuation.
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__(most)
         self.tokenizer = Tokenizer.from_file(path)
-        self.cores, self.most, self.after = _Cores(self.tokenizer, most), most, {"": b""}
+        self.cores, self.after = _Cores(self.tokenizer, most), {"": b""}
 
     def _whole(self, word: str) -> bytes:
         return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
+    def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
         m = self.SIMPLE.fullmatch(text)
-        if m:
-            tail = self.after.get(m[2])
-            if tail is None:
-                tail = self._whole(m[2])
-                if len(self.after) < 10_000:
-                    self.after[m[2]] = tail
-            v = self.cores[m[1].lower()] + tail
-        else:
-            v = self._whole(text)
-        if len(word) < LONG:
-            self[word] = v
-        return v
+        if not m:
+            return self._whole(text)
+        tail = self.after.get(m[2])
+        if tail is None:
+            tail = self._whole(m[2])
+            if len(self.after) < 10_000:
+                self.after[m[2]] = tail
+        return self.cores[m[1].lower()] + tail
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())), dtype="<u4")
