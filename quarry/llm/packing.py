@@ -22,6 +22,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -45,19 +46,16 @@ class _Bounded(dict):
     def __init__(self, most: int):
         self.most, self.old = most, {}
 
-    def find(self, key):
+    def __missing__(self, key):
         v = self.old.get(key)
-        return self.keep(key, self.made(key) if v is None else v)
-
-    __missing__ = find
-
-    def keep(self, key, value: bytes) -> bytes:
+        if v is None:
+            v = self.made(key)
         if len(key) < LONG:
             if len(self) >= self.most:
                 self.old = dict(self)
                 self.clear()
-            self[key] = value
-        return value
+            self[key] = v
+        return v
 
 
 class _Cores(_Bounded):
@@ -75,7 +73,7 @@ class _Cores(_Bounded):
 
     def made(self, core: str) -> bytes:
         plain = core if core.isascii() else "".join(map(self._letter, core))
-        return np.array([t.id for t in self.split(plain)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.split(plain)]).tobytes()
 
 
 class Encoder(_Bounded):
@@ -99,7 +97,7 @@ class Encoder(_Bounded):
         self.cores, self.after = _Cores(self.tokenizer, most), {"": b""}
 
     def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def made(self, word: bytes) -> bytes:
         text = word.decode("utf-8")
