@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, limit: int, se
 
 
 def give_back() -> None:
-    """Hand freed memory back to the system: Python workers live on after a training task."""
+    """Hand freed memory back to the system: Python workers live on after a task."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

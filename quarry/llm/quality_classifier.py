@@ -193,6 +193,7 @@ def grade(text: Column, model: Model, cut: int, spark) -> Column:
     @F.arrow_udf("expected_grade double, tail_prob double")
     def graded(texts: pa.Array) -> pa.Array:
         mean, tail = held.value.judge(texts.to_pylist(), cut)
+        give_back()
         return pa.StructArray.from_arrays([pa.array(mean), pa.array(tail)], names=["expected_grade", "tail_prob"])
 
     return graded(text)

@@ -141,7 +141,12 @@ def representatives(docs: DataFrame, crowd: int = 16) -> DataFrame:
     Of rows that share this id one stays. Rows without an id stay only where
     their component has no id at all, and then one of them does.
     """
-    found = stage(near_duplicates(docs, crowd), "components")
+    return heads_of(docs, near_duplicates(docs, crowd), lambda text: fingerprint(text, docs.sparkSession))
+
+
+def heads_of(docs: DataFrame, found: DataFrame, key) -> DataFrame:
+    """What ``representatives`` returns, for components as from ``near_duplicates`` and ``key(text)``, which gives their ``fp``."""
+    found = stage(found, "components")
     odd = found.agg(
         F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), (F.count("doc_id") - F.count_distinct("doc_id")).alias("again")
     ).first()
@@ -151,7 +156,7 @@ def representatives(docs: DataFrame, crowd: int = 16) -> DataFrame:
         kept = kept.dropDuplicates(["doc_id"])
     if odd.nulls:
         orphans = found.where("component_id is null").select(F.col("fp").alias(_OWN + "key"), F.col("root").alias(_OWN + "root")).distinct()
-        nameless = docs.where("doc_id is null").withColumn(_OWN + "fp", fingerprint(F.col("text"), docs.sparkSession))
+        nameless = docs.where("doc_id is null").withColumn(_OWN + "fp", key(F.col("text")))
         nameless = nameless.join(orphans, F.col(_OWN + "fp") == F.col(_OWN + "key")).dropDuplicates([_OWN + "root"])
         kept = kept.unionByName(nameless.select(docs.columns))
     return kept

@@ -163,6 +163,8 @@ def score(text: Column, model: Model, spark) -> Column:
 
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
-        return pa.array(held.value.scores(texts.to_pylist()), pa.float64())
+        out = pa.array(held.value.scores(texts.to_pylist()), pa.float64())
+        give_back()
+        return out
 
     return scored(text)
