@@ -8,7 +8,7 @@ a bounded sample of labelled rows in one task; what L1 leaves is a few thousand
 weights at most ``2**bits``, which are broadcast for scoring.
 
 Cases: a null text scores as an empty one, which gets the bias alone; without
-any usable label every score is 0.5 and ``predicted`` is 1; repeated rows each
+any usable label every score is 0.5, ``predicted`` is 1, and the model is not ``trained``; repeated rows each
 get their row; other columns of the input pass through ``score`` untouched.
 """
 
@@ -106,12 +106,13 @@ class FTRL:
 
 @dataclass(frozen=True)
 class Model:
-    """Slots with a weight other than zero, their weights, and the bias."""
+    """Slots with a weight other than zero, their weights, the bias, and whether there was a row to learn from."""
 
     bits: int
     slot: np.ndarray
     weight: np.ndarray
     bias: float
+    trained: bool = True
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
@@ -136,6 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
             ids += b.column("_order").to_pylist()
             texts += b.column("text").to_pylist()
             ys += b.column("y").to_pylist()
+        if not ids:
+            return
         order = sorted(range(len(ids)), key=ids.__getitem__)
         rows = recurring(features([texts[i] for i in order], settings.bits), settings.bits)
         del texts
@@ -153,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     found = {r.slot: r.weight for r in got}
     bias = found.pop(1 << settings.bits, 0.0)
     slot = np.array(sorted(found), dtype=np.int64)
-    return Model(settings.bits, slot, np.array([found[k] for k in slot.tolist()], dtype=np.float64), bias)
+    return Model(settings.bits, slot, np.array([found[k] for k in slot.tolist()], dtype=np.float64), bias, bool(got))
 
 
 def score(text: Column, model: Model, spark) -> Column:
