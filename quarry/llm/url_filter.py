@@ -9,8 +9,9 @@ ones. A host is blocked where distrust makes up at least ``threshold`` of both.
 
 Edges are aggregated by pair of hosts before anything is joined. Each round is
 one join and one aggregation of both directions together, written to the shared
-folder; rounds end when no more than ``tolerance`` of the rank moves. Everything
-is DataFrame operations.
+folder; rounds end when less than ``tolerance`` of the rank moves (about 60 of them
+at most by default), and ``most_rounds`` without that is an error, or the number
+of rounds where the tolerance is 0. Everything is DataFrame operations.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule,
 and the verdict of the empty host (allow, as no link leads there); links to
@@ -59,7 +60,7 @@ RULES = [
 @dataclass(frozen=True)
 class Settings:
     damping: float = 0.85
-    most_rounds: int = 30
+    most_rounds: int = 300
     tolerance: float = 1e-4
     threshold: float = 0.85
 
@@ -121,6 +122,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings(
         rank = new
         if (change or 0) < s.tolerance:
             break
+    else:
+        if s.tolerance and both.head(1):
+            raise RuntimeError(f"ranks did not settle in {s.most_rounds} rounds")
     per = [F.coalesce(F.sum(F.when(F.col("side") == x, F.col("r"))), F.lit(0.0)).alias(x) for x, *_ in sides]
     return rank.groupBy("host").agg(*per)
 
