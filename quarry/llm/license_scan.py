@@ -2,8 +2,11 @@
 
 The canonical form is lower-cased, has no copyright lines, single spaces for
 whatever is neither letter nor digit, and one spelling of equivalent words; the
-digest is its SHA-256. The table of known digests is fixed and has a few dozen
-rows, so it is broadcast. A text that is not a licence as a whole may still hold
+digest is its SHA-256. The table of known digests is fixed and small, so it is
+broadcast. It knows 6 licences as whole texts: MIT, ISC, 0BSD,
+BSD-2-Clause, BSD-3-Clause, Zlib; and 8 notice lines. Whole texts of others
+(Apache, GPL, LGPL, AGPL, MPL, CC0) have no ``license``, nor do copies with other
+phrases; equivalents are single words (not "copyright owner" or "sub-license"). A text that is not a licence as a whole may still hold
 lines that are notices; lines with ``licen`` in any case, as every known notice
 has, get the same form and are looked up likewise.
 
