@@ -392,6 +392,16 @@ def citations(spark, sf_dir):
     return _texts(spark, sf_dir).select("doc_id", T.citations(reply).alias("cited"))
 
 
+@query(
+    """with m as (select doc_id, regexp_extract_all('[x-1] ' || text || ' [x-1]', '\\[([a-zA-Z0-9_-]+)\\]', 1) as m from documents)
+    select doc_id, list_filter(m, lambda x, i: list_position(m, x) = i) as cited from m"""
+)
+def citations_in_texts(spark, sf_dir):
+    """Over whole texts, each between two marks, so that there is one to find and one to leave out in every row."""
+    marked = F.concat(F.lit("[x-1] "), "text", F.lit(" [x-1]"))
+    return _texts(spark, sf_dir).select("doc_id", T.citations(marked).alias("cited"))
+
+
 # stored tables
 
 _NOW = "timestamp '2024-01-02 00:00:00'"
