@@ -14,8 +14,7 @@ LOWER[65:91] += 32
 
 _R = 0x9E3779B97F4A7C15
 _R_INV = pow(_R, -1, 1 << 64)
-_BLOCK = 1 << 20
-CHUNK_BYTES = 1 << 21
+_BLOCK = CHUNK_BYTES = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -39,7 +38,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of ``data``, by differences of one running polynomial sum.
 
-    Equal spans have equal hashes wherever they lie. Blocks of at most a million
+    Equal spans have equal hashes wherever they lie. Blocks of at most ``_BLOCK``
     bytes bound the memory; a longer span is hashed alone.
     """
     out = np.empty(len(starts), dtype=np.uint64)
@@ -76,7 +75,7 @@ class Words:
 
 
 def chunks(texts: list[str | None]) -> Iterator[tuple[int, Words]]:
-    """Texts in runs of about two megabytes, with the place of each run's first text."""
+    """Texts in runs of about a quarter of a megabyte, with the place of each run's first text."""
     run: list[bytes] = []
     first = size = 0
     for i, t in enumerate(texts):
