@@ -8,6 +8,7 @@ import uuid
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -44,14 +45,19 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().rstrip("/")
 
 
-def stage(df: DataFrame, name: str = "t") -> DataFrame:
+def stage(df: DataFrame, name: str = "t", rows: int | None = None) -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
+    ``rows`` is an upper bound of its rows, where one is known: small tables then
+    are written in few files, by as many tasks.
+
     Cuts the lineage: later jobs read files, so a lost executor costs nothing but
     its running tasks, and a table that several branches read is computed once.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, rows // 100_000))
     df.write.parquet(at)
     out = spark.read.schema(df.schema).parquet(at)
     out._staged_at = at
@@ -86,6 +92,11 @@ def spread(df: DataFrame, least: int = 4 << 20, most: int = 64 << 20) -> DataFra
     return df
 
 
+def limited(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, to be broadcast if it has at most ``rows`` rows (it is counted); else joined as the planner sees fit."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a table from ``stage`` that nothing will read again."""
     at = getattr(df, "_staged_at", None)
