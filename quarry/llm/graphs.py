@@ -38,8 +38,9 @@ def connected_components(links: DataFrame, most_rounds: int = 200) -> DataFrame:
     links = stage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
     before = _print(links)
     for _ in range(most_rounds if before[0] else 0):
-        large = stage(_stars(links, True), "large")
-        small = stage(_stars(large, False), "small")
+        rows = 2 * before[0]  # a round never has more links than there are nodes and links before it
+        large = stage(_stars(links, True), "large", rows)
+        small = stage(_stars(large, False), "small", rows)
         now = _print(small)
         release(large)
         release(links)

@@ -19,7 +19,11 @@ work grows in proportion to the number of distinct fingerprints.
 
 Cases: a null text is an empty one; rows with a null ``doc_id`` get a
 fingerprint and take their component from the others in it (null if none has an
-id); repeated rows each get their row; an empty table gives an empty result.
+id); repeated rows each get their row; an empty table gives an empty result; a
+very long text is hashed in runs, whole; ties (several rows with the smallest id)
+go to the smallest text hash; other columns are not read by
+``near_duplicates`` and pass through ``representatives``, whatever their names
+(but for those that begin with ``__simhash_``).
 """
 
 from __future__ import annotations
@@ -32,10 +36,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.graphs import connected_components
-from quarry.session import small_batches, stage
+from quarry.session import limited, small_batches, stage
 
 MOST = 2
 _SEED = 42
+_RUN = 1 << 16
 _OWN = "__simhash_"  # begins the names of columns that stand beside the input's own
 
 
@@ -50,10 +55,15 @@ def shingle_hashes(text: str | None, width: int = 3) -> np.ndarray:
     if len(words) <= width:
         return np.array([xxh64_intdigest(line, _SEED)], dtype=np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
+    del words
     ends = np.cumsum(sizes + 1) - 1
-    starts = (ends - sizes)[: len(words) - width + 1].tolist()
-    spans = [line[a:b] for a, b in zip(starts, ends[width - 1 :].tolist())]
-    return np.fromiter(map(xxh64_intdigest, spans, repeat(_SEED)), np.uint64, len(spans))
+    starts = (ends - sizes)[: len(ends) - width + 1]
+    ends = ends[width - 1 :]
+    out = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), _RUN):  # the shingles of a very long text are never all held at once
+        spans = [line[a:b] for a, b in zip(starts[at : at + _RUN].tolist(), ends[at : at + _RUN].tolist())]
+        out[at : at + len(spans)] = np.fromiter(map(xxh64_intdigest, spans, repeat(_SEED)), np.uint64, len(spans))
+    return out
 
 
 def fingerprint_of(hashes: np.ndarray) -> int:
@@ -73,9 +83,14 @@ def fingerprint(text: Column, spark) -> Column:
 
     @F.arrow_udf("long")
     def prints(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_of(shingle_hashes(t)) for t in texts.to_pylist()], pa.int64())
+        return pa.array([fingerprint_of(shingle_hashes(t.as_py())) for t in texts], pa.int64())
 
-    return prints(text)
+    return prints.asNondeterministic()(text)  # else a pushed-down filter makes Spark hash each text twice
+
+
+def text_key(text: Column) -> Column:
+    """A hash by which rows of the same text are found again."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def _count4(fp: Column) -> Column:
@@ -117,49 +132,54 @@ def links(prints: DataFrame, crowd: int = 16) -> DataFrame:
     return twos.unionByName(pairs).unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, crowd: int = 16) -> DataFrame:
-    """``(doc_id, fp, root, component_id)`` for every row of ``docs(doc_id, text)``.
+def components(docs: DataFrame, crowd: int = 16) -> DataFrame:
+    """``(doc_id, key, fp, root)`` for every row of ``docs(doc_id, text)``; ``root`` is a fingerprint that names the component."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), fingerprint(F.col("text"), docs.sparkSession).alias("fp"))
+    own = stage(own, "prints")
+    roots = connected_components(links(stage(own.select("fp").distinct(), "distinct"), crowd)).select(F.col("node").alias("_fp"), "root")
+    return own.join(roots, F.col("fp") == F.col("_fp"), "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"))
 
-    ``root`` is a fingerprint that names the component, also where no row of it has an id.
-    """
-    spark = docs.sparkSession
-    own = stage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), spark).alias("fp")), "prints")
-    prints = stage(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(prints.select("fp"), crowd))
-    linked = stage(roots.join(prints, roots.node == prints.fp).select("fp", "root", "least"), "linked")
-    heads = linked.groupBy("root").agg(F.min("least").alias("head"))
-    moved = linked.join(heads, "root").select(F.col("fp").alias("_fp"), "root", "head")
-    each = prints.join(moved, prints.fp == F.col("_fp"), "left").select(
-        F.col("fp").alias("_key"), F.coalesce("root", "fp").alias("root"), F.coalesce("head", "least").alias("component_id")
-    )
-    return own.join(each, own.fp == F.col("_key"), "left").select("doc_id", "fp", "root", "component_id")
-
-
-def representatives(docs: DataFrame, crowd: int = 16) -> DataFrame:
-    """The rows of ``docs`` with one left of each component: that with the smallest id.
-
-    Of rows that share this id one stays. Rows without an id stay only where
-    their component has no id at all, and then one of them does.
+
+def near_duplicates(docs: DataFrame, crowd: int = 16) -> DataFrame:
+    """``(doc_id, fp, component_id)`` for every row of ``docs(doc_id, text)``."""
+    found = stage(components(docs, crowd), "components")
+    # members by fingerprint before by component, so that the copies of one text collapse first
+    heads = found.groupBy("root", "fp").agg(F.min("doc_id").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    return found.join(heads, "root").select("doc_id", "fp", "component_id")
+
+
+def representatives(docs: DataFrame, width: int = 3, similar: float | None = None) -> DataFrame:
+    """The rows of ``docs`` with one left of each component: that with the smallest id (rows without an id come last).
+
+    Components are those of ``components``. With ``similar`` they are those of
+    ``jaccard_dedup.components``: all texts linked whose shingles of ``width``
+    words have at least that Jaccard similarity, since fingerprints of such texts
+    may lie further apart than any radius that a grid could serve. Of rows that share
+    id and text one stays; of rows that share an id alone each stands for its own
+    component. Other columns stay as they are.
     """
-    return heads_of(docs, near_duplicates(docs, crowd), lambda text: fingerprint(text, docs.sparkSession))
-
-
-def heads_of(docs: DataFrame, found: DataFrame, key) -> DataFrame:
-    """What ``representatives`` returns, for components as from ``near_duplicates`` and ``key(text)``, which gives their ``fp``."""
-    found = stage(found, "components")
-    odd = found.agg(
-        F.count(F.when(F.col("doc_id").isNull(), 1)).alias("nulls"), (F.count("doc_id") - F.count_distinct("doc_id")).alias("again")
-    ).first()
-    heads = found.where("component_id = doc_id").select(F.col("component_id").alias(_OWN + "head")).distinct()
-    kept = docs.join(heads, F.col("doc_id") == F.col(_OWN + "head"), "left_semi")
-    if odd.again:
-        kept = kept.dropDuplicates(["doc_id"])
-    if odd.nulls:
-        orphans = found.where("component_id is null").select(F.col("fp").alias(_OWN + "key"), F.col("root").alias(_OWN + "root")).distinct()
-        nameless = docs.where("doc_id is null").withColumn(_OWN + "fp", key(F.col("text")))
-        nameless = nameless.join(orphans, F.col(_OWN + "fp") == F.col(_OWN + "key")).dropDuplicates([_OWN + "root"])
-        kept = kept.unionByName(nameless.select(docs.columns))
-    return kept
+    from quarry.llm import jaccard_dedup
+
+    if similar is None and width != 3:
+        raise ValueError("fingerprint links are those of three words")
+    found = stage(components(docs) if similar is None else jaccard_dedup.components(docs, width, similar), "components")
+    # by fingerprint (or set) first: a component may hold a third of all rows, but few different texts
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
+    heads = found.groupBy("root", "fp").agg(F.min(order).alias("o")).groupBy("root").agg(F.min("o").alias("o"))
+    heads = heads.select(F.col("o.b").alias("_id"), F.col("o.c").alias("_key"))
+    rows = found.groupBy("doc_id", "key").agg(F.count("*").alias("n"))
+    # a text may not be in two components, so id and text tell a head
+    marked = rows.join(heads, rows.doc_id.eqNullSafe(heads._id) & (rows.key == heads._key), "left")
+    is_head = F.col("_key").isNotNull()
+    marked = stage(marked.select("doc_id", "key", (~is_head).alias("out"), (is_head & (F.col("n") > 1)).alias("again")).where("out or again"), "dropped")
+    own = {c: _OWN + c for c in ("doc_id", "key")}
+    gone, again = (limited(marked.where(c).select(*[F.col(c).alias(v) for c, v in own.items()])) for c in ("true", "again"))
+    docs_ = docs.withColumn(_OWN + "of", text_key(F.col("text")))
+    on = lambda t: docs_["doc_id"].cast("long").eqNullSafe(t[own["doc_id"]]) & (docs_[_OWN + "of"] == t[own["key"]])
+    kept = docs_.join(gone, on(gone), "left_anti")
+    if again.head(1):
+        kept = kept.unionByName(docs_.join(again, on(again), "left_semi").dropDuplicates(["doc_id", _OWN + "of"]))
+    return kept.drop(_OWN + "of")
 
 
 def hex_digits(fp: Column) -> Column:

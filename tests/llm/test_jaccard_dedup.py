@@ -7,7 +7,7 @@ import random
 import pytest
 
 import corpus_pipeline as P
-from quarry.llm import jaccard_dedup
+from quarry.llm import jaccard_dedup, simhash_dedup
 
 
 def shingles(text, width=5):
@@ -63,8 +63,30 @@ def planted():
 def test_stage_keeps_one_of_each_group_of_near_copies(spark, crowd):
     rows = planted()
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = jaccard_dedup.representatives(frame, crowd=crowd).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(heads(rows))
+    found = jaccard_dedup.components(frame, crowd=crowd).collect()
+    least = {}
+    for r in found:
+        least[r.root] = min(r.doc_id, least.get(r.root, r.doc_id))
+    assert len(found) == len(rows) and sorted(least.values()) == sorted(heads(rows))
+
+
+def test_recurring_hashes_change_the_work_and_not_the_result(spark, monkeypatch):
+    rows = planted()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jaccard_dedup.recurring(frame.select("text"), 5)) > 20
+    for most in (0, 7):
+        monkeypatch.setattr(jaccard_dedup.recurring, "__defaults__", (most,))
+        kept = simhash_dedup.representatives(frame, 5, 0.8).collect()
+        assert sorted(r.doc_id for r in kept) == sorted(heads(rows))
+
+
+def test_rows_that_share_an_id_stand_for_their_own_components(spark):
+    one, other = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, one), (1, other), (2, one + " end"), (3, other), (None, other), (1, one), (None, "alone"), (None, "alone")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as n", "2 as key", "3 as fp")
+    for kept in (simhash_dedup.representatives(frame, 5, 0.8), simhash_dedup.representatives(frame.where("text not like '% end'"))):
+        assert kept.columns == frame.columns
+        assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("1", one), ("1", other), ("None", "alone")])
 
 
 def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, small):
@@ -77,5 +99,5 @@ def test_pipeline_stage_drops_near_copies_beyond_two_bits(spark, small):
 
 def test_tables_without_rows_or_ids(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f")], "doc_id long, text string")
-    assert jaccard_dedup.representatives(frame).count() == 1
-    assert jaccard_dedup.representatives(frame.limit(0)).count() == 0
+    assert simhash_dedup.representatives(frame, 5, 0.8).count() == 1
+    assert simhash_dedup.representatives(frame.limit(0), 5, 0.8).count() == 0
