@@ -10,14 +10,18 @@ settle the tree. A leaf's capacity is its tokens times ``epochs``.
 
 A leaf then takes whole epochs while its budget lasts, and of the last one the
 longest prefix, in the order of a seeded hash of (epoch, id), whose tokens the
-budget covers. The prefix's end is found by sums over hash ranges and a running
-sum within the one range that holds it, so a leaf with a third of all rows is
-never sorted in one task. Everything is DataFrame operations.
+budget covers. The prefix's end is found digit by digit: sums over the sixteen
+hash ranges of a leaf, then over those of the one range that holds the end, until
+few rows are left there, so however many rows a leaf has, no task sorts them and
+all rounds after the first read a fifteenth of its rows. Everything is DataFrame operations.
 
 Cases: null texts have no tokens; a null language or source is the empty one; a
 null id is hashed as empty text; rows that share an id are taken or left
-together; a weight of zero gives nothing; without tokens nothing is taken; other
-columns pass through.
+together (whoever ties in the hash too); a weight of zero gives nothing, and what a
+node has under such a weight counts for no capacity; documents without tokens go with
+the leaf's prefix; without any tokens, or rows, nothing is taken; very long texts are
+only counted, without splitting them; other columns pass through, whatever their names
+(but for those that begin with ``__mix_``; ``_domain`` and ``_epoch`` are replaced).
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from quarry.session import stage
 
 LEVELS = ("domain", "lang", "source")
 _EPS = 1e-6
+_FEW = 64  # rows of a leaf that are summed up one by one
 
 
 @dataclass(frozen=True)
@@ -59,8 +64,10 @@ def domain_of(source: Column) -> Column:
 
 
 def token_count(text: Column) -> Column:
-    """Words between ASCII white space; none in a null text."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    """Words between ASCII white space; none in a null text. Counted by their first characters, without a list of them."""
+    spaced = F.concat(F.lit(" "), F.translate(text, "\t\n\x0b\x0c\r", "     "))
+    starts = F.regexp_replace(spaced, r" [^ ]", "")  # two characters less for each word
+    return F.coalesce((F.length(spaced) - F.length(starts)) / 2, F.lit(0)).cast("long")
 
 
 def _share(children: DataFrame, parent: list[str], child: str) -> DataFrame:
@@ -82,17 +89,22 @@ def _share(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 
 
 def budgets(leaves: DataFrame, target: Target) -> DataFrame:
-    """``(domain, lang, source, tokens, budget)`` from ``leaves(domain, lang, source, tokens)``."""
-    out = leaves.withColumn("cap", F.col("tokens") * F.lit(float(target.epochs)))
+    """``(domain, lang, source, tokens, budget)`` from ``leaves(domain, lang, source, tokens)``.
+
+    Leaves with a weight of zero anywhere on their path get nothing and lend their node no capacity.
+    """
+    weighed = leaves.withColumn("cap", F.col("tokens") * F.lit(float(target.epochs)))
+    for level in range(len(LEVELS)):
+        weighed = weighed.where(target.weight(level) > 0)
     total = leaves.agg(F.sum("tokens")).first()[0] or 0
     given, parent = None, []
     for level, child in enumerate(LEVELS):
         keys = [*LEVELS[: level + 1]]
-        nodes = out.groupBy(*keys).agg(F.sum("cap").alias("cap")).withColumn("w", target.weight(level))
+        nodes = weighed.groupBy(*keys).agg(F.sum("cap").alias("cap")).withColumn("w", target.weight(level))
         nodes = nodes.join(given, parent) if parent else nodes.withColumn("given", F.lit(total * target.fraction))
         shared = _share(nodes, parent, child)
         given, parent = shared.select(*keys, F.col("budget").alias("given")), keys
-    return out.drop("cap").join(given.withColumnRenamed("given", "budget"), list(LEVELS))
+    return weighed.drop("cap").join(given.withColumnRenamed("given", "budget"), list(LEVELS))
 
 
 def _key(target: Target, epoch: Column) -> Column:
@@ -107,23 +119,34 @@ def plan(docs: DataFrame, target: Target) -> DataFrame:
     settled = settled.withColumn("full", F.least(F.floor((F.col("budget") + _EPS) / F.col("tokens")), F.lit(target.epochs)))
     settled = stage(settled.withColumn("left", F.when(F.col("full") < target.epochs, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(-1.0)), "leaves")
     most = settled.agg(F.max("n")).first()[0] or 0
-    digits = max(1, min(8, (max(1, most // 20_000)).bit_length() // 4 + 1))  # about 20,000 rows of the largest leaf in a range
     keyed = each.join(settled.drop("tokens"), list(LEVELS)).withColumn("_key", _key(target, F.col("full")))
-    keyed = keyed.select(*LEVELS, "left", "tokens", "_key", F.substring("_key", 1, digits).alias("_range"))
-    ranges = keyed.groupBy(*LEVELS, "left", "_range").agg(F.sum("tokens").alias("tokens"))
-    running = Window.partitionBy(*LEVELS).orderBy("_range")
-    ranges = ranges.withColumn("upto", F.sum("tokens").over(running)).withColumn("before", F.col("upto") - F.col("tokens"))
+    rows, edge, below = keyed.select(*LEVELS, "left", "tokens", "_key"), None, None
     inside = f"before <= left + {_EPS} and upto > left + {_EPS}"
-    edge = ranges.where(inside).select(*LEVELS, "_range", "before")
-    below = ranges.where(f"upto <= left + {_EPS}").groupBy(*LEVELS).agg(F.max("_range").alias("_below"))
-    rows = keyed.join(edge, [*LEVELS, "_range"])
-    by_key = Window.partitionBy(*LEVELS).orderBy("_key")  # peers, rows that share an id, come in together
-    rows = rows.withColumn("_sum", F.col("before") + F.sum("tokens").over(by_key)).where(f"_sum <= left + {_EPS}")
-    edges = rows.groupBy(*LEVELS).agg(F.max("_key").alias("_edge"))
-    out = settled.join(below, list(LEVELS), "left").join(edges, list(LEVELS), "left")
-    # "g" sorts after every hexadecimal digit: all keys that begin with the last whole range are taken
-    last = F.greatest("_edge", F.concat("_below", F.lit("g")))
-    return stage(out.select(*LEVELS, "full", last.alias("last")), "plan")
+    digits = 0
+    while most > _FEW and digits < 32:  # each round leaves a sixteenth of the rows, those of the range that holds the edge
+        digits, most = digits + 1, most // 16
+        ranges = rows.groupBy(*LEVELS, "left", F.substring("_key", 1, digits).alias("_range")).agg(F.sum("tokens").alias("tokens"))
+        ranges = ranges.join(edge.select(*LEVELS, F.col("before").alias("_from")), list(LEVELS)) if edge is not None else ranges.withColumn("_from", F.lit(0).cast("long"))
+        running = Window.partitionBy(*LEVELS).orderBy("_range")
+        ranges = ranges.withColumn("upto", F.col("_from") + F.sum("tokens").over(running)).withColumn("before", F.col("upto") - F.col("tokens"))
+        ranges = stage(ranges, "ranges")
+        taken = ranges.where(f"upto <= left + {_EPS}").select(*LEVELS, F.concat("_range", F.lit("g")).alias("_below"))
+        below = taken if below is None else below.unionByName(taken)
+        edge = ranges.where(inside).select(*LEVELS, "_range", "before")
+        held = edge.select(*LEVELS, F.col("_range").alias("_held"))
+        rows = rows.join(held, list(LEVELS)).where(F.substring("_key", 1, digits) == F.col("_held")).drop("_held")
+        rows = stage(rows, "edge")
+    start = F.lit(0) if edge is None else F.col("before")
+    rows = rows if edge is None else rows.join(edge.select(*LEVELS, "before"), list(LEVELS))
+    # rows that share an id come in together
+    rows = rows.groupBy(*LEVELS, "left", "_key", *([] if edge is None else ["before"])).agg(F.sum("tokens").alias("tokens"))
+    by_key = Window.partitionBy(*LEVELS).orderBy("_key")
+    rows = rows.withColumn("_sum", start + F.sum("tokens").over(by_key)).where(f"_sum <= left + {_EPS}")
+    # "g" sorts after every hexadecimal digit: all keys that begin with a range that is taken whole are taken
+    last = rows.select(*LEVELS, F.col("_key").alias("_last"))
+    last = last if below is None else last.unionByName(below.withColumnRenamed("_below", "_last"))
+    out = settled.join(last.groupBy(*LEVELS).agg(F.max("_last").alias("last")), list(LEVELS), "left")
+    return stage(out.select(*LEVELS, "full", "last"), "plan")
 
 
 def mix(docs: DataFrame, target: Target = Target(), domain: Column | None = None) -> DataFrame:
@@ -183,7 +206,7 @@ def oracle(target: Target = Target()) -> str:
 ]+')) as tokens
       from documents),
     leaves as (select {leaf}, sum(tokens)::double as tokens from each group by {leaf}),
-    caps as (select *, tokens * {float(target.epochs)} as cap from leaves),
+    caps as (select *, tokens * {float(target.epochs)} as cap from leaves where {" and ".join(f"{weight(k)} > 0" for k in range(len(LEVELS)))}),
     total as (select coalesce(sum(tokens), 0) * {target.fraction} as given from leaves),
     {','.join(steps)},
     plan as (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import unicodedata
@@ -261,6 +262,84 @@ def test_budgets_fill_siblings_before_ancestors(spark):
     assert got == pytest.approx({("A", "x"): 10, ("A", "y"): 5, ("B", "x"): 985})
 
 
+def filled(leaves, target, level=0, budget=None):
+    """Budgets by plain recursion: what a child can't hold goes to its siblings, again and again."""
+    names, weights = mixing.LEVELS, target.rest
+    weight = lambda leaf, k: getattr(target, names[k]).get(leaf[k], weights[k])
+    if budget is None:
+        budget = sum(leaf[3] for leaf in leaves) * target.fraction
+        leaves = [leaf for leaf in leaves if all(weight(leaf, k) > 0 for k in range(3))]
+    if level == 3:
+        return {leaf[:3]: min(budget, leaf[3] * target.epochs) for leaf in leaves}
+    children = defaultdict(list)
+    for leaf in leaves:
+        children[leaf[level]].append(leaf)
+    holds = {c: sum(leaf[3] for leaf in own) * target.epochs for c, own in children.items()}
+    heavy = {c: weight(own[0], level) for c, own in children.items()}
+    given, open_ = dict.fromkeys(children, 0.0), set(children)
+    while open_ and budget > 1e-9:
+        share = budget / sum(heavy[c] for c in open_)
+        budget = 0.0
+        for c in sorted(open_):
+            given[c] += share * heavy[c]
+            if given[c] >= holds[c]:
+                budget += given[c] - holds[c]
+                given[c] = holds[c]
+                open_.discard(c)
+    out = {}
+    for c, own in children.items():
+        out |= filled(own, target, level + 1, given[c])
+    return out
+
+
+SHAPE = "domain string, lang string, source string, tokens long"
+
+
+def test_weights_of_zero_lend_no_capacity(spark):
+    leaves = [("A", "x", "1", 100), ("A", "z", "1", 10_000), ("B", "x", "1", 10_000)]
+    target = mixing.Target(domain={"A": 1.0, "B": 1.0}, lang={"x": 1.0, "z": 0.0}, source={}, fraction=1000 / 20_100, epochs=1)
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(spark.createDataFrame(leaves, SHAPE), target).collect()}
+    assert got == pytest.approx({("A", "x", "1"): 100, ("B", "x", "1"): 900}) and got == pytest.approx(filled(leaves, target))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_against_recursion(spark, seed):
+    rng = random.Random(seed)
+    leaves = [(d, x, s, rng.choice([0, 3, 50, 1000, 20_000])) for d in "ABC" for x in "xyz" for s in "1234" if rng.random() < 0.8]
+    weights = lambda names: {k: rng.choice([0.0, 0.5, 1.0, 3.0]) for k in names}
+    target = mixing.Target(weights("AB"), weights("xy"), weights("123"), fraction=rng.choice([0.1, 0.6, 2.0]), epochs=rng.choice([1, 2]))
+    got = {(r.domain, r.lang, r.source): r.budget for r in mixing.budgets(spark.createDataFrame(leaves, SHAPE), target).collect()}
+    assert got == pytest.approx(filled(leaves, target), abs=1e-3)
+
+
+@pytest.mark.parametrize("few", [1, 64])
+def test_prefixes_of_leaves_against_running_sums(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "_FEW", few)
+    rng = random.Random(few)
+    texts = [" ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(30))) for _ in range(700)]
+    rows = [(None if i % 90 == 0 else i // 2 if i % 50 == 0 else i, t, "en" if i % 3 else "de", f"src{min(i % 12, 1)}") for i, t in enumerate(texts)]
+    target = mixing.Target(fraction=0.55, epochs=2)
+    got = Counter((r.doc_id, r.text, r._epoch) for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), target).collect())
+    leaves = defaultdict(list)
+    for k, t, lang, source in rows:
+        leaves["crawl", lang, source].append((k, t))
+    budgets = filled([(*leaf, sum(len(t.split()) for _, t in own)) for leaf, own in leaves.items()], target)
+    want = Counter()
+    for leaf, own in leaves.items():
+        tokens = sum(len(t.split()) for _, t in own)
+        whole = min(int((budgets[leaf] + 1e-6) // tokens), target.epochs)
+        want += Counter((k, t, e) for k, t in own for e in range(whole))
+        left, keyed = budgets[leaf] - whole * tokens, defaultdict(list)
+        for k, t in own:
+            keyed[hashlib.md5(f"{target.seed}:{whole}:{'' if k is None else k}".encode()).hexdigest()].append((k, t))
+        for key in sorted(keyed) if whole < target.epochs else []:
+            left -= sum(len(t.split()) for _, t in keyed[key])
+            if left < -1e-6:
+                break
+            want += Counter((k, t, whole) for k, t in keyed[key])
+    assert got == want
+
+
 def test_mixing_of_odd_rows(spark):
     frame = table(spark, *odd_texts()).withColumn("lang", F.when(F.col("doc_id") % 3 > 0, F.col("lang"))).withColumn("source", F.when(F.col("doc_id") % 2 > 0, F.col("source")))
     target = mixing.Target(fraction=0.5, epochs=2)
