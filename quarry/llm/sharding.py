@@ -15,7 +15,8 @@ offset, rows are numbered within their bucket, and no task holds a whole shard.
 
 Cases: a null text has no bytes, and null and empty texts are one group; rows
 that repeat are rows of their own; a null id is placed like any other; an empty
-table gives an empty result; other columns are not read.
+table gives an empty result; a very long text is one row, so the shard that takes it
+may exceed the others; ties go to the smaller shard and the smaller group hash; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.mixing import token_count
 from quarry.session import stage
 
 
@@ -47,37 +49,45 @@ def facts(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         (F.octet_length(text) + settings.overhead).cast("long").alias("size"),
-        F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("tokens"),
+        token_count(text).alias("tokens"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).alias("group"),
         F.monotonically_increasing_id().alias("row"),
     )
 
 
-def place(weights: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each unit. ``weights`` are parts of one shard's share, a column for each dimension."""
+def greedy(weights: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each unit, largest first to the highest dot product with what is left (ties to the
+    smaller number), and what is left then. ``weights`` are parts of one shard's share, a column for each dimension."""
     left = np.ones((shards, weights.shape[1]))
     out = np.empty(len(weights), dtype=np.int64)
     for i in np.argsort(-weights.max(axis=1), kind="stable"):
-        s = int(np.argmax(left @ weights[i]))
+        s = int(np.argmax(np.round(left @ weights[i], 12)))  # equal ones must not differ by rounding
         out[i] = s
         left[s] -= weights[i]
-    return even_out(weights, out, left)
+    return out, left
+
+
+def place(weights: np.ndarray, shards: int) -> np.ndarray:
+    """``greedy``, then ``even_out``."""
+    return even_out(weights, *greedy(weights, shards)) if len(weights) else np.empty(0, np.int64)
+
 
+def even_out(weights: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Move single units from the shard with the most bytes to that with the fewest while the gap narrows.
 
-def even_out(weights: np.ndarray, at: np.ndarray, left: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """Move single units from the shard with the most bytes to that with the fewest while the gap narrows."""
-    for _ in range(rounds):
+    Each move lowers the sum of squares of what is left, so it ends.
+    """
+    while True:
         high, low = int(np.argmin(left[:, 0])), int(np.argmax(left[:, 0]))
         gap = left[low, 0] - left[high, 0]
-        own = np.flatnonzero((at == high) & (weights[:, 0] > 0) & (weights[:, 0] < gap))
+        own = np.flatnonzero((at == high) & (weights[:, 0] > 1e-12) & (weights[:, 0] < gap * (1 - 1e-9)))
         if not len(own):
-            break
+            return at
         i = own[np.argmin(np.abs(weights[own, 0] - gap / 2))]
         at[i] = low
         left[high] += weights[i]
         left[low] -= weights[i]
-    return at
 
 
 def _sums() -> list[Column]:
