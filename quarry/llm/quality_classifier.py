@@ -9,9 +9,13 @@ order (two make it a plain logistic regression). AdaGrad passes run over a
 bounded sample of labelled rows in one task; the weights are broadcast.
 
 Results: ``expected_grade`` is the mean grade, ``tail_prob`` the probability of
-a grade of at least ``cut``. Cases: a null text is an empty one; without usable
-ratings every text has tail probability 1 (nothing is rejected); repeated rows
-each get their row; other columns pass through untouched.
+a grade of at least ``cut``. Ratings may be fractions. Cases: a null text is an empty one; without usable
+ratings every text has tail probability 1 (nothing is rejected); a document rated
+more than once has its largest rating, and a rating that is null or NaN none;
+repeated rows each get their row (and count once in training); a tail
+probability of exactly the cut counts as reached; very long texts are judged
+whole, alone in their run, and are too long to train on beyond a sixteenth of
+``train_bytes``; an empty table gives an empty result; other columns pass through untouched.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from quarry.session import small_batches
 class Settings:
     bits: int = 18
     train_rows: int = 8_000
+    train_bytes: int = 64 << 20
     epochs: int = 6
     rate: float = 0.5
     l2: float = 1e-5
@@ -93,7 +98,7 @@ def _sigmoid(x):
 @dataclass(frozen=True)
 class Model:
     bits: int
-    grades: tuple[int, ...]
+    grades: tuple[float, ...]
     theta: np.ndarray
     weight: np.ndarray
 
@@ -104,7 +109,7 @@ class Model:
             out[first : first + words.n_docs] = np.bincount(r, weights=v * self.weight[c], minlength=words.n_docs)
         return out
 
-    def judge(self, texts: list[str | None], cut: int) -> tuple[np.ndarray, np.ndarray]:
+    def judge(self, texts: list[str | None], cut: float) -> tuple[np.ndarray, np.ndarray]:
         """(expected grade, probability of a grade of ``cut`` or more) of each text."""
         if not self.grades:
             return np.zeros(len(texts)), np.ones(len(texts))
@@ -115,18 +120,42 @@ class Model:
         return each @ grades, each[:, grades >= cut].sum(axis=1)
 
 
-def train(texts: list[str], ratings: list[int], s: Settings) -> Model:
+Row = tuple[np.ndarray, np.ndarray]
+
+
+def sparse_rows(texts: list[str | None], bits: int) -> list[Row]:
+    """(slots, values) of each text, in narrow types: the sample's rows are all held at once."""
+    rows: list[Row] = []
+    for _, words in chunks(texts):
+        r, c, v = matrix(words, bits)
+        order = np.argsort(r, kind="stable")
+        cut = np.searchsorted(r[order], np.arange(words.n_docs + 1))
+        rows += [(c[order[a:b]].astype(np.int32), v[order[a:b]].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:])]
+    return rows
+
+
+def slopes(f: float, theta: np.ndarray, y: int) -> tuple[float, float, np.ndarray]:
+    """Of one text of latent value ``f`` and grade number ``y``: its probability, and the slopes of
+    minus its log likelihood by ``f`` and by each threshold."""
+    k = len(theta)
+    hi = _sigmoid(theta[y] - f) if y < k else 1.0
+    lo = _sigmoid(theta[y - 1] - f) if y > 0 else 0.0
+    p, dh, dl = max(hi - lo, 1e-9), hi * (1 - hi), lo * (1 - lo)
+    d = np.zeros(k)
+    if y < k:
+        d[y] -= dh / p
+    if y > 0:
+        d[y - 1] += dl / p
+    return p, (dh - dl) / p, d
+
+
+def train(rows: list[Row], ratings: list[float], s: Settings) -> Model:
     """AdaGrad on the cumulative-link likelihood; gaps between thresholds stay positive by their logarithm."""
     grades = tuple(sorted(set(ratings)))
     if not grades:
         return Model(s.bits, (), np.zeros(0), np.zeros(WIDTH(s.bits)))
-    rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, words in chunks(texts):  # narrow types: the sample's rows are all held at once
-        r, c, v = matrix(words, s.bits)
-        order = np.argsort(r, kind="stable")
-        cut = np.searchsorted(r[order], np.arange(words.n_docs + 1))
-        rows += [(c[order[a:b]].astype(np.int32), v[order[a:b]].astype(np.float32)) for a, b in zip(cut[:-1], cut[1:])]
-    y = [grades.index(x) for x in ratings]
+    number = {g: i for i, g in enumerate(grades)}
+    y = [number[x] for x in ratings]
     k = len(grades) - 1
     share = np.cumsum(np.bincount(y, minlength=k + 1))[:-1] / len(y)
     theta = np.log(np.clip(share, 1e-3, 1 - 1e-3) / (1 - np.clip(share, 1e-3, 1 - 1e-3)))
@@ -138,18 +167,10 @@ def train(texts: list[str], ratings: list[int], s: Settings) -> Model:
         for i in np.random.default_rng(s.seed + epoch).permutation(len(rows)):
             c, v = rows[i]
             theta = np.concatenate([head, head + np.cumsum(np.exp(gap))])
-            f = float((w[c] * v).sum())
-            hi = _sigmoid(theta[y[i]] - f) if y[i] < k else 1.0
-            lo = _sigmoid(theta[y[i] - 1] - f) if y[i] > 0 else 0.0
-            p, dh, dl = max(hi - lo, 1e-9), hi * (1 - hi), lo * (1 - lo)
-            g = (dh - dl) / p * v + s.l2 * w[c]
+            _, df, d = slopes(float((w[c] * v).sum()), theta, y[i])
+            g = df * v + s.l2 * w[c]
             g2[c] += g * g
             w[c] -= s.rate * g / np.sqrt(g2[c])
-            d = np.zeros(k)  # of minus the log likelihood by each threshold
-            if y[i] < k:
-                d[y[i]] -= dh / p
-            if y[i] > 0:
-                d[y[i] - 1] += dl / p
             d = np.concatenate([[d.sum()], np.cumsum(d[::-1])[::-1][1:] * np.exp(gap)])
             t2 += d * d
             step = 0.3 * d / np.sqrt(t2)
@@ -162,30 +183,28 @@ def fit(docs: DataFrame, labels: DataFrame, rating: str = "quality", settings: S
     """Train on at most ``settings.train_rows`` rated rows that are not held out; at most 2**bits weights come back."""
 
     def trained(batches):
-        ids, texts, ys = [], [], []
-        for b in batches:
-            ids += b.column("_order").to_pylist()
-            texts += b.column("text").to_pylist()
-            ys += b.column("y").to_pylist()
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        m = train([texts[i] for i in order], [ys[i] for i in order], settings)
-        del texts
+        rows, ratings = [], []
+        for b in batches:  # in order; only the features of each batch are kept
+            rows += sparse_rows(b.column("text").to_pylist(), settings.bits)
+            ratings += b.column("y").to_pylist()
+        m = train(rows, ratings, settings)
+        del rows
         give_back()
         at = np.flatnonzero(m.weight)
         for kind, k, v in (("g", np.arange(len(m.grades)), np.array(m.grades, float)), ("t", np.arange(len(m.theta)), m.theta), ("w", at, m.weight[at])):
             yield pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(k), pa.string()), "k": pa.array(k, pa.int64()), "v": pa.array(v, pa.float64())})
 
     small_batches(docs.sparkSession)
-    sample = training_rows(docs, labels, rating, settings.train_rows, settings.seed).repartition(1)
+    sample = training_rows(docs, labels, rating, settings.train_rows, settings.train_bytes, settings.seed)
     got = sample.mapInArrow(trained, "kind string, k long, v double").toArrow()
     kind, k, v = (got.column(c).to_numpy() for c in ("kind", "k", "v"))
     part = lambda x: v[kind == x][np.argsort(k[kind == x])]
     weight = np.zeros(WIDTH(settings.bits))
     weight[k[kind == "w"]] = v[kind == "w"]
-    return Model(settings.bits, tuple(int(g) for g in part("g")), part("t"), weight)
+    return Model(settings.bits, tuple(float(g) for g in part("g")), part("t"), weight)
 
 
-def grade(text: Column, model: Model, cut: int, spark) -> Column:
+def grade(text: Column, model: Model, cut: float, spark) -> Column:
     """``struct<expected_grade, tail_prob>`` of a text column."""
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)

@@ -9,9 +9,11 @@ reaches the driver are at most ``features x bins`` counts, whatever the input's
 size. A rule is kept only if it is precise on both parts, so documents that look
 clean stay.
 
-Cases: a null text has no words and fails the base rules; without labels the
-list is empty and whatever passes the base rules is kept; repeated rows each get
-their row; a document labelled twice counts once, with its smaller label; other
+Cases: a null text has no words and fails the base rules; without labels (or
+rows) the list is empty and whatever passes the base rules is kept; repeated rows each get
+their row; a document labelled twice counts once, with its largest label; a null id has no
+label and is judged like others; of conditions that gain alike, the earlier feature, "above", and the
+middle threshold are taken; very long texts are read whole, as an array of their words in one task; other
 columns pass through ``stats`` only if asked for.
 """
 
@@ -189,14 +191,23 @@ def _between(cuts: list[float]) -> list[float]:
     return sorted({*cuts, *((a + b) / 2 for a, b in zip(cuts, cuts[1:]))})
 
 
+def edges_of(rows: DataFrame, s: Settings) -> list[list[float]]:
+    """The thresholds of each feature of ``rows(bad, <features>)``.
+
+    Quantiles of the bad and of all rows: features that tell the classes apart need cuts where the bad ones are.
+    """
+    names, cuts = list(FEATURES), [i / s.bins for i in range(1, s.bins)]
+    every = [F.percentile_approx(F.col(n), cuts).alias(n) for n in names]
+    bad = [F.percentile_approx(F.when(F.col("bad") == 1, F.col(n)), cuts[1::4]).alias(f"_{n}") for n in names]
+    found = rows.agg(*every, *bad).first()
+    return [_between(sorted({*(found[n] or []), *(found[f"_{n}"] or [])})) for n in names]
+
+
 def learn(labelled: DataFrame, settings: Settings = Settings()) -> list[Rule]:
     """Rules for bad rows, in order, from ``labelled(bad, key, <statistics>)``; ``key`` deals rows to the two parts."""
     s, names = settings, list(FEATURES)
     rows = labelled.select("bad", (F.pmod(F.xxhash64("key"), F.lit(3)) != 0).alias("grow"), *[F.expr(v).alias(k) for k, v in FEATURES.items()])
-    cuts = [i / s.bins for i in range(1, s.bins)]
-    # quantiles of the bad and of all rows: features that tell the classes apart need cuts where the bad ones are
-    found = rows.agg(*[F.percentile_approx(F.col(n), cuts).alias(n) for n in names], *[F.percentile_approx(F.when(F.col("bad") == 1, F.col(n)), cuts[1::4]).alias(f"_{n}") for n in names]).first()
-    edges = [_between(sorted({*(found[n] or []), *(found[f"_{n}"] or [])})) for n in names]
+    edges = edges_of(rows, s)
     s = Settings(max(map(len, edges), default=0) + 1, s.most_conditions, s.most_rules, s.precision, s.least_rows)
 
     def bin_of(name: str, cut: list[float]) -> Column:
@@ -230,7 +241,7 @@ def verdict(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``doc_id``, ``COUNTS``, ``base_failed``, ``kept``, and ``rule``, the learnt rule that matches."""
     every = stage(stats(docs.select(F.col("doc_id"), "text"), "doc_id"), "stats")
-    marked = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("_q"))
+    marked = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("_q"))
     known = every.join(marked.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id")).where(~base_failed())
     rules = learn(known.withColumn("bad", (F.col("_q") <= 0).cast("int")).withColumn("key", F.col("doc_id")), settings)
     out = every.withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))

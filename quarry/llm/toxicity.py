@@ -8,8 +8,11 @@ a bounded sample of labelled rows in one task; what L1 leaves is a few thousand
 weights at most ``2**bits``, which are broadcast for scoring.
 
 Cases: a null text scores as an empty one, which gets the bias alone; without
-any usable label every score is 0.5, ``predicted`` is 1, and the model is not ``trained``; repeated rows each
-get their row; other columns of the input pass through ``score`` untouched.
+any usable label every score is 0.5, ``predicted`` is 1, and the model is not ``trained``; a
+document labelled more than once has its largest label; repeated rows each get their row (and count
+once in training); a score of exactly 0.5 is predicted toxic; very long texts are scored whole, alone in their run, and are
+too long to train on beyond a sixteenth of ``train_bytes``; an empty table gives an empty
+result; other columns of the input pass through ``score`` untouched.
 """
 
 from __future__ import annotations
@@ -30,11 +33,12 @@ _PAIR = [(np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xC2B2AE3D27D4EB4F + 2 * k),
 
 @dataclass(frozen=True)
 class Settings:
-    """``train_rows`` bounds the labelled sample; ``toxic_passes`` is how often an epoch
+    """``train_rows`` and ``train_bytes`` bound the labelled sample; ``toxic_passes`` is how often an epoch
     shows each toxic row (they are the rarer class); the rest are FTRL's own parameters."""
 
     bits: int = 20
     train_rows: int = 12_000
+    train_bytes: int = 64 << 20
     epochs: int = 3
     alpha: float = 2.0
     beta: float = 0.5
@@ -132,17 +136,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
     """Train on at most ``settings.train_rows`` labelled rows that are not held out."""
 
     def train(batches):
-        ids, texts, ys = [], [], []
-        for b in batches:
-            ids += b.column("_order").to_pylist()
-            texts += b.column("text").to_pylist()
-            ys += b.column("y").to_pylist()
-        if not ids:
+        rows, ys = [], []
+        for b in batches:  # in order; only the features of each batch are kept
+            rows += features(b.column("text").to_pylist(), settings.bits)
+            ys += [int(y > 0) for y in b.column("y").to_pylist()]
+        if not rows:
             return
-        order = sorted(range(len(ids)), key=ids.__getitem__)
-        rows = recurring(features([texts[i] for i in order], settings.bits), settings.bits)
-        del texts
-        learner = FTRL(settings).fit(rows, [int(ys[i] > 0) for i in order])
+        learner = FTRL(settings).fit(recurring(rows, settings.bits), ys)
         every = np.arange((1 << settings.bits) + 1)
         w = learner.weights(every)
         keep = every[(w != 0) | (every == 1 << settings.bits)]
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", settings: Sett
         yield pa.RecordBatch.from_pydict({"slot": pa.array(keep, pa.int64()), "weight": pa.array(w[keep], pa.float64())})
 
     small_batches(docs.sparkSession)
-    sample = training_rows(docs, labels, label, settings.train_rows, settings.seed).repartition(1)
+    sample = training_rows(docs, labels, label, settings.train_rows, settings.train_bytes, settings.seed)
     got = sample.mapInArrow(train, "slot long, weight double").collect()
     found = {r.slot: r.weight for r in got}
     bias = found.pop(1 << settings.bits, 0.0)

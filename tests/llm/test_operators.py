@@ -550,7 +550,8 @@ def test_ordinal_grades():
     for i in range(1200):
         g = i % 4
         rows.append((" ".join(rng.choice(["good", "fine"]) if rng.random() < g / 3 else rng.choice(["bad", "poor"]) for _ in range(30)), g))
-    model = quality_classifier.train([t for t, _ in rows[:1000]], [g for _, g in rows[:1000]], quality_classifier.Settings())
+    seen = quality_classifier.sparse_rows([t for t, _ in rows[:1000]], quality_classifier.Settings().bits)
+    model = quality_classifier.train(seen, [g for _, g in rows[:1000]], quality_classifier.Settings())
     assert model.grades == (0, 1, 2, 3) and (np.diff(model.theta) > 0).all()
     mean, tail = model.judge([t for t, _ in rows[1000:]], 2)
     truth = np.array([g for _, g in rows[1000:]])
