@@ -4,17 +4,20 @@ Each input partition is a stream of documents. A document's full windows are
 cut off its front; what remains goes, in order of arrival, to the fill level
 (or a new window) that leaves the smallest sum of squared counts of partially
 filled windows by level. The counts are one array with a place for each level.
-When the stream ends (or ``most_open`` windows are open at once), the fullest
-open windows are topped up with cuts from the emptiest, and what is left at the
-very end is cut at powers of two, which need no padding. So documents are cut
-only where they exceed a window or where the last windows are filled up.
+When the stream ends, the fullest open windows are topped up with cuts from the
+emptiest, and what is left at the very end is cut at powers of two, which need no
+padding. So documents are cut only where they exceed a window or where the last
+windows are filled up. However many windows are open, none is closed early; they
+hold ids in two bytes where the vocabulary allows, at most those of one partition.
 
 No text is shuffled and no partition sees another's windows. Sequence ids are
 the partition's number times 2**33 plus the window's number, unique as they stand.
 
 Cases: a null or empty text is a document of the end id alone; repeated rows
 and null ids are packed like others; an empty table gives an empty result;
-very long texts fill windows of their own; other columns are not read.
+very long texts fill windows of their own; of levels that do alike the fullest is
+taken; other columns are not read. Which rows make a stream depends on how the input
+is split, so sequences (never the tokens they hold) differ between clusters.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ class _Bounded(dict):
 
 
 class _Cores(_Bounded):
-    """Ids of a lower-cased run of letters, by the tokenizer's own model."""
+    """Ids of a lower-cased run of letters (as UTF-8), by the tokenizer's own model."""
 
     def __init__(self, tokenizer, most: int):
         super().__init__(most)
@@ -71,8 +74,10 @@ class _Cores(_Bounded):
             v = self.letters[c] = self.pre.pre_tokenize_str(c)[0][0]
         return v
 
-    def made(self, core: str) -> bytes:
-        plain = core if core.isascii() else "".join(map(self._letter, core))
+    def made(self, core: bytes) -> bytes:
+        plain = core.decode("utf-8")
+        if not plain.isascii():
+            plain = "".join(map(self._letter, plain))
         return array("I", [t.id for t in self.split(plain)]).tobytes()
 
 
@@ -88,7 +93,7 @@ class Encoder(_Bounded):
     #: Letters whose lower case and class do not depend on the Unicode version, then ASCII punctuation.
     SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@[-`{-~]*)")
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -109,7 +114,8 @@ class Encoder(_Bounded):
             tail = self._whole(m[2])
             if len(self.after) < 10_000:
                 self.after[m[2]] = tail
-        return self.cores[m[1].lower()] + tail
+        core = m[1].lower().encode("utf-8")
+        return self.cores[word if core == word else core] + tail  # a word that is its own core shares key and ids
 
     def ids(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, text.encode("utf-8", "replace").split())), dtype="<u4")
@@ -141,10 +147,8 @@ class Packer:
     """The windows of one stream. ``levels[h]`` counts the open windows with ``h`` tokens."""
 
     capacity: int = 2048
-    most_open: int = 4096
     levels: np.ndarray = field(init=False)
     open: dict[int, list[list[Piece]]] = field(init=False, default_factory=dict)
-    n_open: int = field(init=False, default=0)
 
     def __post_init__(self):
         self.levels = np.zeros(self.capacity + 1, dtype=np.int64)
@@ -171,6 +175,8 @@ class Packer:
             piece.ids = piece.ids.copy()  # an open window must not hold the whole of a long document
         size = len(piece.ids)
         if size:
+            if int(piece.ids.max()) < 1 << 16:
+                piece.ids = piece.ids.astype("<u2")
             at = self.level_for(size)
             window = self._take(at) if at else []
             window.append(piece)
@@ -178,24 +184,20 @@ class Packer:
                 done.append(window)
             else:
                 self._put(at + size, window)
-                if self.n_open > self.most_open:
-                    done += self._top_up()
         return done
 
     def _take(self, level: int) -> list[Piece]:
         self.levels[level] -= 1
-        self.n_open -= 1
         return self.open[level].pop()
 
     def _put(self, level: int, window: list[Piece]) -> None:
         self.levels[level] += 1
-        self.n_open += 1
         self.open.setdefault(level, []).append(window)
 
     def _top_up(self) -> list[list[Piece]]:
         """Fill the fullest open windows from the emptiest until one at most is open."""
         left = [(h, w) for h in sorted(self.open, reverse=True) for w in self.open[h]]
-        self.open, self.n_open, done = {}, 0, []
+        self.open, done = {}, []
         self.levels[:] = 0
         i, j = 0, len(left) - 1
         while i < j:
@@ -236,7 +238,7 @@ class Packer:
                         part.append(piece)
                         want -= len(piece.ids)
                     done.append(part)
-        self.open, self.n_open = {}, 0
+        self.open = {}
         return done
 
 
@@ -246,7 +248,7 @@ def rows(windows: list[list[Piece]], first: int) -> pa.RecordBatch:
     for k, window in enumerate(windows):
         at = 0
         for p in window:
-            for name, v in zip(out, (p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.tobytes()), p.doc_tokens, first + k, at)):
+            for name, v in zip(out, (p.doc_id, p.start, len(p.ids), zlib.crc32(p.ids.astype("<u4", copy=False).tobytes()), p.doc_tokens, first + k, at)):
                 out[name].append(v)
             at += len(p.ids)
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
