@@ -187,7 +187,7 @@ def test_packing_round_trip(spark, docs):
 
 def test_packing_takes_the_level_of_least_squares():
     rng = random.Random(0)
-    packer = packing.Packer(64, most_open=20)
+    packer = packing.Packer(64)
     done = []
     for k in range(500):
         size = rng.randint(1, 63)
@@ -202,7 +202,7 @@ def test_packing_takes_the_level_of_least_squares():
                 cost[h] = int((after[1:64] ** 2).sum())
         assert cost[got] == min(cost.values())
         done += packer.add(packing.Piece(k, 0, np.arange(size, dtype="<u4"), size))
-        assert packer.n_open == packer.levels.sum() <= 20
+        assert sum(map(len, packer.open.values())) == packer.levels.sum()
     done += packer.finish()
     sizes = [sum(len(p.ids) for p in w) for w in done]
     assert all(s == 64 or s.bit_count() == 1 for s in sizes) and sizes.count(64) >= len(sizes) - 6
