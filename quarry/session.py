@@ -92,6 +92,15 @@ def spread(df: DataFrame, least: int = 4 << 20, most: int = 64 << 20) -> DataFra
     return df
 
 
+def gather(df: DataFrame, each: int = 8 << 20) -> DataFrame:
+    """``df`` read by fewer tasks where it comes in many files of far less than ``each`` bytes; nothing is shuffled.
+
+    A task and a file for each of thousands of tiny inputs cost more than what they hold.
+    """
+    n = max(df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each)
+    return df.coalesce(n) if len(df.inputFiles()) > 2 * n else df
+
+
 def limited(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``rows`` rows (it is counted); else joined as the planner sees fit."""
     return F.broadcast(df) if df.count() <= rows else df
