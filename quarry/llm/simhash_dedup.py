@@ -116,9 +116,10 @@ def _close(a: Column, b: Column) -> Column:
 
 def links(prints: DataFrame, crowd: int = 16) -> DataFrame:
     """``(u, v)``: links between the distinct fingerprints ``fp``, or stars that connect the same ones."""
+    rows = prints.count()
     cells = _cells(prints)
     met = cells.groupBy("cell").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    met = stage(met, "cells")
+    met = stage(met, "cells", 33 * rows)
     twos = met.where("n = 2").where(_close(F.col("a"), F.col("b"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
     few = met.where(f"n > 2 and n <= {crowd}").select("cell")
     lists = cells.join(few, "cell").groupBy("cell").agg(F.collect_list("fp").alias("fps"))
@@ -136,7 +137,7 @@ def components(docs: DataFrame, crowd: int = 16) -> DataFrame:
     """``(doc_id, key, fp, root)`` for every row of ``docs(doc_id, text)``; ``root`` is a fingerprint that names the component."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(F.col("text")).alias("key"), fingerprint(F.col("text"), docs.sparkSession).alias("fp"))
     own = stage(own, "prints")
-    roots = connected_components(links(stage(own.select("fp").distinct(), "distinct"), crowd)).select(F.col("node").alias("_fp"), "root")
+    roots = connected_components(links(stage(own.select("fp").distinct(), "distinct", own.count()), crowd)).select(F.col("node").alias("_fp"), "root")
     return own.join(roots, F.col("fp") == F.col("_fp"), "left").select("doc_id", "key", "fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -171,7 +172,7 @@ def representatives(docs: DataFrame, width: int = 3, similar: float | None = Non
     # a text may not be in two components, so id and text tell a head
     marked = rows.join(heads, rows.doc_id.eqNullSafe(heads._id) & (rows.key == heads._key), "left")
     is_head = F.col("_key").isNotNull()
-    marked = stage(marked.select("doc_id", "key", (~is_head).alias("out"), (is_head & (F.col("n") > 1)).alias("again")).where("out or again"), "dropped")
+    marked = stage(marked.select("doc_id", "key", (~is_head).alias("out"), (is_head & (F.col("n") > 1)).alias("again")).where("out or again"), "dropped", found.count())
     own = {c: _OWN + c for c in ("doc_id", "key")}
     gone, again = (limited(marked.where(c).select(*[F.col(c).alias(v) for c, v in own.items()])) for c in ("true", "again"))
     docs_ = docs.withColumn(_OWN + "of", text_key(F.col("text")))
