@@ -76,7 +76,9 @@ def main(argv: list[str] | None = None) -> int:
             corpus.index(corpus.spark.createDataFrame([(id_, text)], "id string, text string"))
             show({"status": "indexed", "id": id_})
         else:
-            show({"status": "indexed", "version": corpus.index_files(args.path)})
+            got = corpus.index_files(args.path)
+            show({"status": "indexed" if got["indexed"] else "failed", **got})
+            return 0 if got["indexed"] or not got["failed"] else 1
     elif args.verb == "search":
         show([r.asDict(True) for r in corpus.search(args.query, args.limit).collect()])
     elif args.verb == "chat":

@@ -29,6 +29,19 @@ class HttpChatModel:
     def __init__(self, url: str = "http://localhost:11434", model: str = "gemma3:4b", timeout: float = 120):
         self.url, self.model, self.timeout = url.rstrip("/"), model, timeout
 
+    def models(self) -> list[str]:
+        """The names of the models that the server has."""
+        with urllib.request.urlopen(f"{self.url}/api/tags", timeout=min(self.timeout, 10)) as got:
+            return [m.get("name", "") for m in json.load(got).get("models", [])]
+
+    def probe(self) -> dict:
+        """Whether the server answers, and whether it has this model."""
+        try:
+            names = self.models()
+        except (OSError, ValueError) as e:
+            return {"reachable": False, "model": False, "error": str(e)}
+        return {"reachable": True, "model": any(n == self.model or n.split(":")[0] == self.model for n in names), "models": names}
+
     def complete(self, system: str, message: str, temperature: float = 0.7) -> str:
         turns = [{"role": "system", "content": system}, {"role": "user", "content": message}]
         body = {"model": self.model, "messages": turns, "stream": False, "options": {"temperature": temperature, "top_p": 0.9}}

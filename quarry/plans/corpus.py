@@ -1,18 +1,22 @@
 """A corpus: documents, chunks and vectors as versioned Parquet snapshots, with search and chat over them.
 
-Every change writes the tables that it touches under a new version and then
-moves the pointer to it, by one rename; readers see the version before or after,
-never a mixture, and a job that fails leaves the pointer where it was. Tables
-that a change does not touch are carried over by reference.
+Every table lies in buckets by a hash of the document's id, a folder for each.
+A change writes the buckets that it touches, then publishes a manifest under the
+next version's number, by a rename that fails where that number is taken: then
+another writer was first, and the change is made anew on what it left. Readers see
+one version, never a mixture; a job that fails publishes nothing; buckets that a
+change does not touch are carried over by reference. ``expire`` deletes old versions.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
@@ -21,8 +25,16 @@ from quarry.functions import text as T
 from quarry.operators import catalog, search
 from quarry.operators.chunking import chunk_documents
 from quarry.plans.chat import ChatModel, answer
+from quarry.session import release, stage
 from quarry.sources import files as sources
 
+_BUCKETS = 64  # of each table; part of the layout of a corpus
+_TRIES = 20  # against other writers
+
+
+def _bucket(id_: Column) -> Column:
+    return F.pmod(F.xxhash64(id_), F.lit(_BUCKETS)).cast("int")
+
 
 class Corpus:
     """Verbs over one corpus folder, which may be on any file system that Spark writes to."""
@@ -50,43 +62,104 @@ class Corpus:
         finally:
             stream.close()
 
-    def manifest(self) -> dict:
-        """Version, and the folder of each table."""
-        text = self._read_text(f"{self.path}/CURRENT")
+    def keep_file(self, name: str, data: bytes) -> str:
+        """Put a file's bytes beside the tables, where executors see them too; its path."""
+        fs, at = self._fs(f"{self.path}/files/{name}")
+        stream = fs.create(at, True)
+        stream.write(bytearray(data))
+        stream.close()
+        return str(at.toString())
+
+    def read_file(self, path: str) -> bytes:
+        fs, at = self._fs(path)
+        if not fs.exists(at):
+            raise KeyError("the file is gone")
+        stream = fs.open(at)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def _versions(self) -> list[int]:
+        fs, at = self._fs(f"{self.path}/versions")
+        names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit())
+
+    def manifest(self, version: int | None = None) -> dict:
+        """A version (the newest), and by table the folder of each bucket."""
+        if version is None:
+            version = max(self._versions(), default=0)
+        text = self._read_text(f"{self.path}/versions/{version}.json")
         return json.loads(text) if text else {"version": 0, "tables": {}}
 
-    def table(self, name: str) -> DataFrame:
-        at = self.manifest()["tables"].get(name)
-        if at is None:
+    def table(self, name: str, at: dict | None = None, buckets: Sequence[str] | None = None) -> DataFrame:
+        """A table, as of the manifest ``at``, whole or of some buckets."""
+        folders = (at or self.manifest())["tables"].get(name, {})
+        found = [f"{self.path}/{f}" for k, f in sorted(folders.items()) if buckets is None or k in buckets]
+        if not found:
             return self.spark.createDataFrame([], schemas.ddl(name))
-        return self.spark.read.schema(schemas.ddl(name)).parquet(f"{self.path}/{at}")
-
-    def commit(self, **tables: DataFrame) -> int:
-        """Write the tables given and make them, with all others as they were, the current version."""
-        now = self.manifest()
-        version, known = now["version"] + 1, dict(now["tables"])
-        for name, df in tables.items():
-            known[name] = f"v{version}-{uuid.uuid4().hex[:8]}/{name}"
-            columns = [F.col(c).cast(kind).alias(c) for c, kind in schemas.TABLES[name].items()]
-            df.select(columns).write.parquet(f"{self.path}/{known[name]}")
-        fs, at = self._fs(f"{self.path}/CURRENT.{version}.{uuid.uuid4().hex[:8]}")
+        return self.spark.read.schema(schemas.ddl(name)).parquet(*found)
+
+    def commit(self, ids: DataFrame, change: Callable[[Callable[[str], DataFrame]], dict[str, DataFrame]]) -> int:
+        """Publish what ``change`` makes of the tables, of which it gets and gives the buckets of ``ids(id)``."""
+        touched = [str(r.b) for r in ids.select(_bucket(F.col("id")).alias("b")).distinct().collect()]
+        for _ in range(_TRIES):
+            base = self.manifest()
+            version, known = base["version"] + 1, {k: dict(v) for k, v in base["tables"].items()}
+            folder = f"v{version}-{uuid.uuid4().hex[:8]}"
+            for name, df in change(lambda name: self.table(name, base, touched)).items():
+                columns = [F.col(c).cast(kind).alias(c) for c, kind in schemas.TABLES[name].items()]
+                rows = df.select(*columns, _bucket(F.col(schemas.KEYS[name])).alias("_bucket"))
+                # hashed by id within its bucket: a bucket is written by many tasks if it is large, and adaptive execution joins small ones
+                rows.repartition("_bucket", schemas.KEYS[name]).write.partitionBy("_bucket").parquet(f"{self.path}/{folder}/{name}")
+                fs, at = self._fs(f"{self.path}/{folder}/{name}")
+                there = {f.getPath().getName() for f in fs.listStatus(at)}
+                own = {b: f"{folder}/{name}/_bucket={b}" for b in touched if f"_bucket={b}" in there}
+                known[name] = {k: v for k, v in known.get(name, {}).items() if k not in touched} | own
+            if self._publish(version, known):
+                return version
+            fs, at = self._fs(f"{self.path}/{folder}")
+            fs.delete(at, True)
+        raise RuntimeError(f"other writers were first {_TRIES} times")
+
+    def _publish(self, version: int, tables: dict) -> bool:
+        """Put the manifest in its place; False where that is taken."""
+        jvm = self.spark._jvm
+        fs, at = self._fs(f"{self.path}/versions/.{version}.{uuid.uuid4().hex}")
         stream = fs.create(at, False)
-        stream.write(bytearray(json.dumps({"version": version, "tables": known}).encode()))
+        stream.write(bytearray(json.dumps({"version": version, "tables": tables, "by": at.getName()}).encode()))
         stream.close()
-        _, pointer = self._fs(f"{self.path}/CURRENT")
-        if not self._swap(at, pointer):
-            raise RuntimeError("the current version could not be moved")
-        return version
-
-    def _swap(self, new, pointer) -> bool:
-        """Rename over the pointer."""
-        jvm = self.spark._jvm
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(pointer.toUri() if pointer.toUri().getScheme() else jvm.java.net.URI("file:///"), self.spark._jsparkSession.sessionState().newHadoopConf())
-        overwrite = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-        options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
-        options[0] = overwrite
-        context.rename(new, pointer, options)
-        return True
+        _, place = self._fs(f"{self.path}/versions/{version}.json")
+        uri = place.toUri() if place.toUri().getScheme() else jvm.java.net.URI("file:///")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(uri, self.spark._jsparkSession.sessionState().newHadoopConf())
+        never = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            context.rename(at, place, never)
+        except Py4JJavaError:
+            fs.delete(at, False)
+            if not fs.exists(place):
+                raise
+            return False
+        # where a file system's rename replaces what came between, the name within tells whose it is
+        return self.manifest(version).get("by") == at.getName()
+
+    def expire(self, keep: int = 2) -> int:
+        """Delete all versions but the last ``keep``, and the folders that only they use; how many went.
+
+        Not while another writer is at work: what it has not yet published is in use by no version.
+        """
+        versions = self._versions()
+        kept = [self.manifest(v) for v in versions[-max(1, keep) :]]
+        used = {f.split("/")[0] for m in kept for t in m["tables"].values() for f in t.values()}
+        for v in versions[: -max(1, keep)]:
+            fs, at = self._fs(f"{self.path}/versions/{v}.json")
+            fs.delete(at, False)
+        fs, at = self._fs(self.path)
+        for f in fs.listStatus(at) if versions else []:
+            name = f.getPath().getName()
+            if re.fullmatch(r"v\d+-[0-9a-f]{8}", name) and name not in used:
+                fs.delete(f.getPath(), True)
+        return max(0, len(versions) - len(kept))
 
     def reset(self, force: bool = False) -> None:
         """Delete the corpus."""
@@ -102,24 +175,35 @@ class Corpus:
         bad = docs.where(F.col("id").isNull() | (F.coalesce("id", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")).limit(1).count()
         if bad:
             raise ValueError("a document without id or text")
-        rows = docs.select(F.col("id").cast("string").alias("id"), "text").dropDuplicates(["id"])
+        # of rows that share an id the one with the smallest text counts
+        rows = docs.select(F.col("id").cast("string").alias("id"), "text").groupBy("id").agg(F.min("text").alias("text"))
         chunks = chunk_documents(rows, "text", "id", self.max_tokens, self.overlap).withColumn("page_number", F.lit(None).cast("int"))
         return self._put(rows.withColumns({"source_path": F.lit(None).cast("string"), "doc_type": F.lit(doc_type)}), chunks)
 
-    def index_files(self, path: str, parsers=None) -> int:
-        """Parse and index the files under ``path``; an id is the file's name without extension."""
-        parsed = sources.parse_files(sources.read_files(self.spark, path), True, parsers).where("error is null and text <> ''")
-        id_ = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-        parsed = parsed.withColumn("id", id_)
-        rows = parsed.select("id", "text", F.col("path").alias("source_path"), "doc_type").dropDuplicates(["id"])
-        parts = parsed.join(rows.select("id", F.col("source_path").alias("path")), ["id", "path"], "left_semi")
-        chunks = parts.select(F.col("id").alias("document_id"), F.explode("chunks").alias("c")).select("document_id", "c.*")
+    def index_files(self, path: str, parsers=None) -> dict:
+        """Parse and index the files under ``path``; an id is the file's name without extension.
+
+        What comes back: the ``version``, how many files were ``indexed``, how many ``failed``, and up to a
+        hundred of these with their errors. A file fails that can't be read or holds no text, and so
+        do all but the first, by path, of those that would have the same id.
+        """
+        parsed = stage(sources.parse_files(sources.read_files(self.spark, path), True, parsers), "parsed")
+        parsed = parsed.withColumn("id", F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1))
+        empty = F.when(F.coalesce("text", F.lit("")) == "", F.lit("no text"))
+        parsed = parsed.withColumn("problem", F.coalesce("error", empty))
+        first = parsed.where("problem is null").groupBy("id").agg(F.min("path").alias("first"))
+        parsed = parsed.join(first, "id", "left")
+        parsed = parsed.withColumn("problem", F.coalesce("problem", F.when(F.col("path") != F.col("first"), F.concat(F.lit("has the id of "), "first"))))
+        good, bad = parsed.where("problem is null"), parsed.where("problem is not null")
+        rows = good.select("id", "text", F.col("path").alias("source_path"), "doc_type")
+        chunks = good.select(F.col("id").alias("document_id"), F.explode("chunks").alias("c")).select("document_id", "c.*")
         chunks = chunks.withColumn("chunk_id", T.chunk_id(F.col("document_id"), F.col("chunk_index")))
-        return self._put(rows, chunks)
+        indexed, failed = good.count(), bad.count()
+        version = self._put(rows, chunks) if indexed else self.manifest()["version"]
+        errors = [r.asDict() for r in bad.select("path", F.col("problem").alias("error")).orderBy("path").limit(100).collect()]
+        return {"version": version, "indexed": indexed, "failed": failed, "errors": errors}
 
     def _put(self, rows: DataFrame, chunks: DataFrame) -> int:
-        from quarry.session import stage
-
         now = F.current_timestamp()
         chunks = stage(chunks.withColumn("created_at", now), "chunks")
         vectors = stage(embed_chunks(chunks, self.embedder), "vectors")
@@ -138,34 +222,42 @@ class Corpus:
             now.alias("created_at"),
             now.alias("updated_at"),
         )
+        docs = stage(docs, "documents")
         ids = docs.select("id")
-        return self.commit(
-            documents=catalog.upsert_documents(self.table("documents"), docs),
-            chunks=catalog.delete(self.table("chunks"), ids, "document_id").unionByName(chunks, allowMissingColumns=True),
-            embeddings=catalog.delete(self.table("embeddings"), ids, "document_id").unionByName(vectors),
-        )
+        version = self.commit(ids, lambda table: {
+            "documents": catalog.upsert_documents(table("documents"), docs),
+            "chunks": catalog.delete(table("chunks"), ids, "document_id").unionByName(chunks, allowMissingColumns=True),
+            "embeddings": catalog.delete(table("embeddings"), ids, "document_id").unionByName(vectors),
+        })
+        for t in (chunks, vectors, docs):
+            release(t)
+        return version
 
     def delete(self, *ids: str) -> int:
         gone = self.spark.createDataFrame([(i,) for i in ids], "id string")
-        if self.table("documents").join(gone, "id", "left_semi").count() < len(set(ids)):
-            raise KeyError("no such document")
-        return self.commit(
-            documents=catalog.delete(self.table("documents"), gone, "id"),
-            chunks=catalog.delete(self.table("chunks"), gone, "document_id"),
-            embeddings=catalog.delete(self.table("embeddings"), gone, "document_id"),
-        )
+
+        def without(table) -> dict[str, DataFrame]:
+            if table("documents").join(gone, "id", "left_semi").count() < len(set(ids)):
+                raise KeyError("no such document")
+            return {name: catalog.delete(table(name), gone, key) for name, key in schemas.KEYS.items()}
+
+        return self.commit(gone, without)
 
     def update_chunk(self, chunk_id: str, text: str) -> int:
         """Replace a chunk's text and vector."""
-        old = self.table("chunks").where(F.col("chunk_id") == chunk_id)
-        if not old.head(1):
+        found = self.table("chunks").where(F.col("chunk_id") == chunk_id).select(F.col("document_id").alias("id")).head(1)
+        if not found:
             raise KeyError("no such chunk")
         edits = self.spark.createDataFrame([(chunk_id, text)], "chunk_id string, chunk_text string")
-        new = catalog.update_chunks(old, edits)
-        return self.commit(
-            chunks=catalog.update_chunks(self.table("chunks"), edits),
-            embeddings=catalog.upsert(self.table("embeddings"), embed_chunks(new, self.embedder), "chunk_id"),
-        )
+
+        def edited(table) -> dict[str, DataFrame]:
+            old = table("chunks").where(F.col("chunk_id") == chunk_id)
+            if not old.head(1):
+                raise KeyError("no such chunk")
+            new = embed_chunks(catalog.update_chunks(old, edits), self.embedder)
+            return {"chunks": catalog.update_chunks(table("chunks"), edits), "embeddings": catalog.upsert(table("embeddings"), new, "chunk_id")}
+
+        return self.commit(self.spark.createDataFrame(found, "id string"), edited)
 
     # lookups
 

@@ -29,6 +29,9 @@ TABLES: dict[str, dict[str, str]] = {
     "embeddings": {"chunk_id": "string", "document_id": "string", "embedding": "array<float>"},
 }
 
+#: The column that holds a document's id.
+KEYS = {"documents": "id", "chunks": "document_id", "embeddings": "document_id"}
+
 
 def ddl(table: str) -> str:
     return ", ".join(f"{name} {kind}" for name, kind in TABLES[table].items())

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+import mimetypes
 import os
-import tempfile
 import time
 from collections import Counter
 from collections.abc import Callable
+from html import escape
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import TextIO
-from urllib.parse import parse_qs, unquote, urlsplit
+from urllib.parse import parse_qs, quote, unquote, urlsplit
 
 from quarry.ids import readable_id
+from quarry.operators.metrics import BUCKETS
 from quarry.operators.search import limit_of
 
 
@@ -41,20 +43,19 @@ class Verbs:
         self.corpus.index(self.corpus.spark.createDataFrame([(id_, text)], "id string, text string"))
         return {"status": "indexed", "id": id_}
 
+    def _files(self, path: str) -> dict:
+        got = self.corpus.index_files(path)
+        if not got["indexed"]:
+            raise ValueError(got["errors"][0]["error"] if got["errors"] else "no file is there")
+        return {"status": "indexed", "id": os.path.splitext(os.path.basename(path))[0], **({"errors": got["errors"]} if got["failed"] else {})}
+
     def index_file(self, args: dict) -> dict:
-        (path,) = self.need(args, "file_path")
-        self.corpus.index_files(path)
-        return {"status": "indexed", "id": os.path.splitext(os.path.basename(path))[0]}
+        return self._files(*self.need(args, "file_path"))
 
     def upload(self, args: dict) -> dict:
-        """A file's bytes, parsed by its name's extension."""
+        """A file's bytes, kept in the corpus and parsed by its name's extension."""
         name, data = self.need(args, "name", "data")
-        name = os.path.basename(name)
-        with tempfile.TemporaryDirectory() as folder:
-            with open(os.path.join(folder, name), "wb") as f:
-                f.write(data)
-            self.corpus.index_files(folder)
-        return {"status": "indexed", "id": os.path.splitext(name)[0]}
+        return self._files(self.corpus.keep_file(os.path.basename(name), data))
 
     def search(self, args: dict, most: int | None = None) -> dict:
         (query,) = self.need(args, "query")
@@ -74,6 +75,39 @@ class Verbs:
     def document(self, args: dict) -> dict:
         return self.corpus.document(*self.need(args, "document_id"))
 
+    def text(self, args: dict) -> dict:
+        found = self.corpus.document(*self.need(args, "document_id"))
+        return {"document_id": found["id"], "text": found["original_text"]}
+
+    def file(self, args: dict) -> tuple[str, bytes]:
+        """The file that a document came from, or its text where it came from none."""
+        found = self.corpus.document(*self.need(args, "document_id"))
+        if not found["source_path"]:
+            return "text/plain; charset=utf-8", found["original_text"].encode()
+        kind = mimetypes.guess_type(found["source_path"])[0] or "application/octet-stream"
+        return kind, self.corpus.read_file(found["source_path"])
+
+    def view(self, args: dict) -> tuple[str, bytes]:
+        found = self.corpus.document(*self.need(args, "document_id"))
+        return page(found["id"], f"<pre>{escape(found['original_text'])}</pre>")
+
+    def list_page(self, args: dict) -> tuple[str, bytes]:
+        rows = self.corpus.documents().select("id", "doc_type", "chunk_count").limit(1000).collect()
+        items = "".join(f'<li><a href="/view/{quote(r.id, safe="")}">{escape(r.id)}</a> {escape(r.doc_type or "")} {r.chunk_count}</li>' for r in rows)
+        return page("Documents", f"<ul>{items}</ul>")
+
+    def search_page(self, args: dict) -> tuple[str, bytes]:
+        form = '<form><input name="query"><button>Search</button></form>'
+        found = self.search(args, 50)["results"] if args.get("query") else []
+        return page("Search", form + "".join(f'<h2><a href="/view/{quote(r["id"], safe="")}">{escape(r["id"])}</a></h2><p>{escape(r["text"][:500])}</p>' for r in found))
+
+    def chat_page(self, args: dict) -> tuple[str, bytes]:
+        form = '<form><input name="message"><button>Ask</button></form>'
+        return page("Chat", form + (f"<p>{escape(self.chat(args)['response'])}</p>" if args.get("message") else ""))
+
+    def help_page(self, args: dict) -> tuple[str, bytes]:
+        return page("Interface", "<ul>" + "".join(f"<li>{m} {escape(p)}</li>" for m, p, _ in routes(self)) + "</ul>")
+
     def chunks(self, args: dict) -> dict:
         (id_,) = self.need(args, "document_id")
         self.corpus.document(id_)
@@ -95,6 +129,11 @@ class Verbs:
         return self.corpus.health()
 
 
+def page(title: str, body: str) -> tuple[str, bytes]:
+    links = '<p><a href="/">Search</a> <a href="/documents">Documents</a> <a href="/chat">Chat</a> <a href="/docs">Interface</a></p>'
+    return "text/html; charset=utf-8", f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title>{links}<h1>{escape(title)}</h1>{body}".encode()
+
+
 def routes(verbs: Verbs) -> list[tuple[str, str, Callable[[dict], dict]]]:
     """(method, path, verb); a part in braces is an argument."""
     return [
@@ -109,7 +148,14 @@ def routes(verbs: Verbs) -> list[tuple[str, str, Callable[[dict], dict]]]:
         ("GET", "/api/documents/{document_id}/chunks", verbs.chunks),
         ("GET", "/api/chunks/{chunk_id}", verbs.chunk),
         ("PUT", "/api/chunks/{chunk_id}", verbs.edit),
+        ("GET", "/api/documents/{document_id}/text", verbs.text),
         ("GET", "/api/health", verbs.health),
+        ("GET", "/file/{document_id}", verbs.file),
+        ("GET", "/view/{document_id}", verbs.view),
+        ("GET", "", verbs.search_page),
+        ("GET", "/documents", verbs.list_page),
+        ("GET", "/chat", verbs.chat_page),
+        ("GET", "/docs", verbs.help_page),
     ]
 
 
@@ -127,15 +173,23 @@ def match(pattern: str, path: str) -> dict | None:
 
 
 def serve(corpus, port: int = 8080, model=None) -> ThreadingHTTPServer:
-    """An HTTP server, not yet running; ``/api/metrics`` has the requests counted by route and status."""
-    table, counts, spent = routes(Verbs(corpus, model)), Counter(), Counter()
+    """An HTTP server, not yet running; ``/api/metrics`` has the requests by route and status, with their
+    seconds in cumulative buckets, and the documents, chunks and vectors there are."""
+    table, counts, spent, within = routes(Verbs(corpus, model)), Counter(), Counter(), Counter()
+
+    def metrics() -> dict:
+        def row(route, status, n):
+            buckets = {str(le): within[route, status, le] for le in BUCKETS["http_seconds"]}
+            return {"route": route, "status": status, "count": n, "seconds": round(spent[route, status], 6), "buckets": buckets}
+
+        return {"requests": [row(r, s, n) for (r, s), n in counts.items()], "gauges": {t: corpus.table(t).count() for t in ("documents", "chunks", "embeddings")}}
 
     class Handler(BaseHTTPRequestHandler):
         def answer(self) -> None:
             began, url = time.time(), urlsplit(self.path)
             pattern, status, body = "other", 404, {"error": "no such path"}
             if self.command == "GET" and url.path == "/api/metrics":
-                pattern, status, body = url.path, 200, {"requests": [{"route": r, "status": s, "count": n, "seconds": round(spent[r, s], 6)} for (r, s), n in counts.items()]}
+                pattern, status, body = url.path, 200, metrics()
             for method, p, verb in table:
                 found = match(p, url.path)
                 if found is None:
@@ -163,10 +217,13 @@ def serve(corpus, port: int = 8080, model=None) -> ThreadingHTTPServer:
                     status, body = 500, {"error": str(e)[:500]}
                 break
             counts[pattern, status] += 1
-            spent[pattern, status] += time.time() - began
-            data = json.dumps(body, default=str).encode()
+            took = time.time() - began
+            spent[pattern, status] += took
+            for le in BUCKETS["http_seconds"]:
+                within[pattern, status, le] += took <= le
+            kind, data = body if isinstance(body, tuple) else ("application/json", json.dumps(body, default=str).encode())
             self.send_response(status)
-            self.send_header("Content-Type", "application/json")
+            self.send_header("Content-Type", kind)
             self.send_header("Content-Length", str(len(data)))
             self.end_headers()
             self.wfile.write(data)

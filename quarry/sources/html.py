@@ -20,23 +20,41 @@ class Node:
     tag: str
     inside: list[Node | str] = field(default_factory=list)
 
+    def walk(self, into=lambda node: True):
+        """What is in it, each element before what that holds, as far as ``into`` says; however deep, without recursion."""
+        left: list[Node | str] = list(reversed(self.inside))
+        while left:
+            x = left.pop()
+            yield x
+            if isinstance(x, Node) and into(x):
+                left += reversed(x.inside)
+
     def text(self) -> str:
-        return "".join(x if isinstance(x, str) else x.text() for x in self.inside)
+        return "".join(x for x in self.walk() if isinstance(x, str))
 
     def readable(self) -> str:
-        """Text without scripts and styles; what is not blank is followed by a blank."""
+        """Text without scripts and styles; what is not blank, be it text or an element's, is followed by a blank."""
         if self.tag in ("script", "style"):
             return ""
-        parts = (x if isinstance(x, str) else x.readable() for x in self.inside)
-        return "".join(p + " " for p in parts if p.strip())
+        done: list[str] = []
+        open_ = [(self, iter(self.inside), done)]
+        while True:
+            _, rest, parts = open_[-1]
+            x = next(rest, None)
+            if x is None:
+                open_.pop()
+                if not open_:
+                    return "".join(done)
+                if any(p.strip() for p in parts):
+                    open_[-1][2].extend([*parts, " "])
+            elif isinstance(x, Node):
+                if x.tag not in ("script", "style"):
+                    open_.append((x, iter(x.inside), []))
+            elif x.strip():
+                parts += [x, " "]
 
     def find(self, tag: str) -> Node | None:
-        for x in self.inside:
-            if isinstance(x, Node):
-                got = x if x.tag == tag and x.text() else x.find(tag)
-                if got:
-                    return got
-        return None
+        return next((x for x in self.walk() if isinstance(x, Node) and x.tag == tag and x.text()), None)
 
 
 class _Tree(HTMLParser):
@@ -101,21 +119,17 @@ def sections(root: Node) -> list[str]:
     """Texts from one heading to the next; blocks are flattened and lists itemised."""
     out = [""]
 
-    def walk(node: Node) -> None:
-        for x in node.inside:
-            if isinstance(x, str):
-                continue
-            if x.tag in _HEADINGS:
-                out.append(f"## {x.text()}\n\n")
-            elif x.tag in _FLAT:
-                text = x.text()
-                out[-1] += text + "\n\n" if text.strip() else ""
-            elif x.tag in ("ul", "ol"):
-                items = [i.text().strip() for i in x.inside if isinstance(i, Node) and i.tag == "li"]
-                listed = "\n".join(f"• {t}" for t in items if t)
-                out[-1] += listed + "\n\n" if listed else ""
-            else:
-                walk(x)
-
-    walk(root)
+    whole = {*_HEADINGS, *_FLAT, "ul", "ol"}
+    for x in root.walk(lambda node: node.tag not in whole):
+        if isinstance(x, str):
+            continue
+        if x.tag in _HEADINGS:
+            out.append(f"## {x.text()}\n\n")
+        elif x.tag in _FLAT:
+            text = x.text()
+            out[-1] += text + "\n\n" if text.strip() else ""
+        elif x.tag in ("ul", "ol"):
+            items = [i.text().strip() for i in x.inside if isinstance(i, Node) and i.tag == "li"]
+            listed = "\n".join(f"• {t}" for t in items if t)
+            out[-1] += listed + "\n\n" if listed else ""
     return [s for s in out if s]

@@ -72,12 +72,67 @@ def test_bad_input(spark, corpus):
 
 def test_a_failed_change_leaves_the_version(spark, corpus):
     before = corpus.manifest()
-    broken = corpus.table("documents").withColumn("id", F.raise_error(F.lit("broken")))
-    with pytest.raises(Exception):
-        corpus.commit(documents=broken)
+    broken = lambda table: {"documents": table("documents").withColumn("doc_type", F.raise_error(F.lit("broken")))}
+    with pytest.raises(Exception, match="broken"):
+        corpus.commit(corpus.table("documents").select("id"), broken)
     assert corpus.manifest() == before and corpus.documents().count() == 3
 
 
+def test_writers_do_not_lose_each_others_changes(spark, tmp_path):
+    a, b = (Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16)) for _ in range(2))
+    a.index(docs(spark, ("zero", "to begin with")))
+    publish, waiting = a._publish, [("second", "of the other writer")]
+
+    def late(version, tables):
+        if waiting:  # another writer is done between this one's reading and its publishing
+            b.index(docs(spark, waiting.pop()))
+        return publish(version, tables)
+
+    a._publish = late
+    a.index(docs(spark, ("first", "of this writer")))
+    assert {r.id for r in b.documents().collect()} == {"zero", "first", "second"} and a.manifest()["version"] == 3
+    assert {r.document_id for r in b.table("embeddings").collect()} == {"zero", "first", "second"}
+
+
+def test_writers_in_threads(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16)).index(docs(spark, ("x", "to begin with")))
+    put = lambda i: Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16)).index(docs(spark, (f"d{i}", f"text {i}")))
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(put, range(3)))
+    assert sorted(versions) == [2, 3, 4]
+    assert {r.id for r in Corpus(spark, str(tmp_path / "c")).documents().collect()} == {"x", "d0", "d1", "d2"}
+
+
+def test_a_change_writes_its_buckets_and_old_versions_go(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16))
+    c.index(docs(spark, *[(f"d{i}", f"text {i}") for i in range(40)]))
+    before = c.manifest()["tables"]["chunks"]
+    c.index(docs(spark, ("d7", "another text")))
+    after = c.manifest()["tables"]["chunks"]
+    assert sum(before[k] != after[k] for k in before) == 1 and set(before) == set(after) and len(before) > 10
+    c.delete("d7", "d8")
+    assert c.documents().count() == 38 and c.expire(1) == 2 and c.expire(1) == 0
+    assert c.documents().count() == 38 and c.table("chunks").count() == 38
+    used = {f.split("/")[0] for t in c.manifest()["tables"].values() for f in t.values()}
+    assert {p.name for p in (tmp_path / "c").iterdir()} == used | {"versions"}
+
+
+def test_files_that_fail_are_reported(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("some notes")
+    (tmp_path / "in" / "a.csv").write_text("k,v\na,1\n")
+    (tmp_path / "in" / "broken.xlsx").write_bytes(b"not a workbook")
+    (tmp_path / "in" / "empty.txt").write_text(" \n")
+    c = Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16))
+    got = c.index_files(str(tmp_path / "in"))
+    assert (got["indexed"], got["failed"]) == (1, 3) and c.document("a")["doc_type"] == "csv"
+    assert [e["path"].rsplit("/", 1)[1] for e in got["errors"]] == ["a.txt", "broken.xlsx", "empty.txt"]
+    assert "a.csv" in got["errors"][0]["error"] and got["errors"][2]["error"] == "no text"
+    assert c.index_files(str(tmp_path / "in" / "empty.txt"))["version"] == got["version"]
+
+
 def test_index_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "notes.txt").write_text("some notes on boats")

@@ -50,10 +50,20 @@ def test_http(corpus):
         assert ask("DELETE", "/api/documents/c%20d")[0] == 200 and ask("DELETE", "/api/documents/c%20d")[0] == 404
         request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/files/t.csv", b"k,v\nx,1\n", method="PUT")
         assert json.load(urllib.request.urlopen(request)) == {"status": "indexed", "id": "t"}
-        assert ask("GET", "/api/documents/t/chunks")[1]["chunks"][1]["chunk_type"] == "csv_rows" and ask("DELETE", "/api/documents/t")[0] == 200
+        assert ask("GET", "/api/documents/t/chunks")[1]["chunks"][1]["chunk_type"] == "csv_rows"
+        page = lambda path: urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}{path}").read().decode()
+        assert page("/file/t") == "k,v\nx,1\n" and page("/file/a") == "red apples" and "red apples" in page("/view/a")
+        assert "/view/t" in page("/documents") and "/api/search" in page("/docs") and "red apples" in page("/?query=red%20apples") and "<form>" in page("/chat")
+        assert ask("GET", "/api/documents/a/text")[1] == {"document_id": "a", "text": "red apples"} and ask("GET", "/file/none")[0] == 404
+        request = urllib.request.Request(f"http://127.0.0.1:{server.server_port}/api/files/broken.xlsx", b"no workbook", method="PUT")
+        with pytest.raises(urllib.error.HTTPError):
+            urllib.request.urlopen(request)
+        assert ask("DELETE", "/api/documents/t")[0] == 200
         assert {d["id"] for d in ask("GET", "/api/documents")[1]["documents"]} == {"a", "b"}
         assert ask("GET", "/api/health")[1]["documents"] == 2
         assert ask("GET", "/api/none")[0] == 404 and ask("DELETE", "/api/index")[0] == 405 and ask("POST", "/api/chat", {"message": "x"})[0] == 400
+        told = ask("GET", "/api/metrics")[1]
+        assert told["gauges"]["documents"] == 2 and all(list(r["buckets"].values()) == sorted(r["buckets"].values()) and r["buckets"]["10"] <= r["count"] for r in told["requests"])
         assert {"route": "/api/health", "status": 200}.items() <= next(r for r in ask("GET", "/api/metrics")[1]["requests"] if r["route"] == "/api/health").items()
     finally:
         server.shutdown()

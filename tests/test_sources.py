@@ -174,3 +174,28 @@ def test_stages_can_be_cleared(spark):
     assert staged.count() == 3 and clear_stages(spark) == 1 and clear_stages(spark) == 0
     with pytest.raises(Exception):
         spark.read.parquet(staged._staged_at)
+
+
+def test_deep_html():
+    from quarry.sources import html
+
+    deep = "<title>t</title>" + "<div>" * 10_000 + "in <b>the</b> depth" + "</div>" * 10_000 + "<span>" * 10_000 + "<h2>head</h2><ul><li>one</li></ul>"
+    assert html.to_text(deep) == "Title: t t in the depth head one"
+    assert html.sections(html.parse(deep)) == ["in the depth\n\n", "## head\n\n• one\n\n"]
+
+
+def test_readable_html_against_recursion():
+    import random
+
+    from quarry.sources import html
+
+    def readable(node):
+        if node.tag in ("script", "style"):
+            return ""
+        return "".join(p + " " for p in (x if isinstance(x, str) else readable(x) for x in node.inside) if p.strip())
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        made = "".join(rng.choice(["<p>", "</p>", "<div>", "</div>", "<b>", "</b>", "<script>", "</script>", "<br>", " ", "word ", "x", "\n"]) for _ in range(60))
+        root = html.parse(made)
+        assert root.readable() == readable(root)
