@@ -85,7 +85,23 @@ NOTICES = [
     ("MIT", "Licensed under the MIT License."),
 ]
 
-#: (variant, standard), single words after canonical punctuation.
+#: (identifier, SHA-256 of the canonical form): whole licences whose published texts are too long to state here.
+DIGESTS = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b"),
+    ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.3", "93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"),
+    ("GPL-1.0", "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0", "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68"),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "3f0343dd4f3b064be36e0c6584737c9b7bb5c322721694563f9009e088ce96d1"),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
+#: (variant, standard), words after canonical punctuation.
 SPELLINGS = [
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
@@ -99,6 +115,8 @@ SPELLINGS = [
     ("catalogue", "catalog"),
     ("categorise", "categorize"),
     ("centre", "center"),
+    ("copyright owner", "copyright holder"),
+    ("copyright owners", "copyright holders"),
     ("emphasised", "emphasized"),
     ("favour", "favor"),
     ("favourite", "favorite"),
@@ -113,15 +131,19 @@ SPELLINGS = [
     ("maximise", "maximize"),
     ("modelled", "modeled"),
     ("modelling", "modeling"),
+    ("non commercial", "noncommercial"),
     ("offence", "offense"),
     ("optimise", "optimize"),
     ("organisation", "organization"),
     ("organise", "organize"),
+    ("per cent", "percent"),
     ("practise", "practice"),
     ("programme", "program"),
     ("realise", "realize"),
     ("recognise", "recognize"),
     ("signalling", "signaling"),
+    ("sub license", "sublicense"),
+    ("sub licensing", "sublicensing"),
     ("utilisation", "utilization"),
     ("whilst", "while"),
     ("wilful", "willful"),

@@ -16,7 +16,9 @@ of rounds where the tolerance is 0. Everything is DataFrame operations.
 Cases: a null url, or one without ``://``, has an empty host and path, no rule,
 and the verdict of the empty host (allow, as no link leads there); links to
 hosts without a page pass rank on; hosts that neither direction reaches are
-allowed; repeated rows each get their row; null html has no links.
+allowed; repeated rows each get their row; null html has no links; of rules of equal
+length that fit the last by the alphabet wins; very long html is split at its links whole, in one
+task; a null page id passes through; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -99,7 +101,10 @@ def link_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """``(host, trust, distrust)`` from ``edges(src, dst, n)`` and ``seeds(host, trusted, blocked)``, page counts."""
+    """``(host, trust, distrust)`` from ``edges(src, dst, n)`` and ``seeds(host, trusted, blocked)``, page counts.
+
+    The rank of a host without links to pass it on goes back to the seeds, so trust adds up to 1, and so does distrust.
+    """
     s = settings
     sides = [("trust", "src", "dst", "trusted"), ("distrust", "dst", "src", "blocked")]
     both, start = None, None
@@ -125,7 +130,9 @@ def propagate(edges: DataFrame, seeds: DataFrame, settings: Settings = Settings(
     else:
         if s.tolerance and both.head(1):
             raise RuntimeError(f"ranks did not settle in {s.most_rounds} rounds")
-    per = [F.coalesce(F.sum(F.when(F.col("side") == x, F.col("r"))), F.lit(0.0)).alias(x) for x, *_ in sides]
+    # what hosts without links would pass on goes back to the seeds, which is to say that each side's ranks add up to 1
+    totals = {r.side: r.t for r in rank.groupBy("side").agg(F.sum("r").alias("t")).collect()}
+    per = [F.coalesce(F.sum(F.when(F.col("side") == x, F.col("r"))) / F.lit(totals.get(x) or 1.0), F.lit(0.0)).alias(x) for x, *_ in sides]
     return rank.groupBy("host").agg(*per)
 
 

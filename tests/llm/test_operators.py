@@ -468,7 +468,27 @@ def test_propagation_against_power_iteration(spark):
     t = rank_of(edges, trusted, 0.85, 8)
     d = rank_of({(b, a): n for (a, b), n in edges.items()}, blocked, 0.85, 8)
     for h in {*t, *d}:
-        assert got[h] == pytest.approx((t.get(h, 0), d.get(h, 0)), abs=1e-12)
+        assert got[h] == pytest.approx((t.get(h, 0) / sum(t.values()), d.get(h, 0) / sum(d.values())), abs=1e-12)
+
+
+def test_rank_that_can_not_be_passed_on_returns_to_the_seeds(spark):
+    rng = random.Random(9)
+    edges = {(f"h{a}", f"h{rng.randrange(14)}"): rng.randint(1, 4) for a in range(8) for _ in range(3)}  # h8 to h13 have no links
+    edges = {k: v for k, v in edges.items() if k[0] != k[1]}
+    trusted = {"h1": 3, "h2": 1, "h12": 1}
+    out, seed = Counter(), {h: n / 5 for h, n in trusted.items()}
+    for (a, _), n in edges.items():
+        out[a] += n
+    rank = dict(seed)
+    for _ in range(200):
+        new = {h: p * (0.15 + 0.85 * sum(r for x, r in rank.items() if not out[x])) for h, p in seed.items()}
+        for (a, b), n in edges.items():
+            new[b] = new.get(b, 0) + 0.85 * rank.get(a, 0) * n / out[a]
+        rank = new
+    frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    seeds = spark.createDataFrame([(h, n, 0) for h, n in trusted.items()], "host string, trusted long, blocked long")
+    got = {r.host: r.trust for r in url_filter.propagate(frame, seeds, url_filter.Settings(tolerance=1e-9)).collect()}
+    assert got == pytest.approx(rank, abs=1e-7) and sum(got.values()) == pytest.approx(1)
 
 
 def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
@@ -613,6 +633,34 @@ def test_licences(spark, small):
     assert license_scan.scan(table(spark, "x").limit(0)).count() == 0
 
 
+def test_licences_wrapped_and_spelt_otherwise(spark):
+    import textwrap
+
+    bsd2, bsd3, mit = (dict(TEXTS)[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "MIT"))
+    wraps = ["\n".join(textwrap.fill(part, w) for part in bsd2.split("\n")) for w in range(20, 100)]
+    assert any(line.lower().startswith("copyright") for t in wraps for line in t.split("\n"))
+    notices = ["Copyright (c) 2020, A. Name", "Copyright 1999-2003 by X", "copyright © X", "Copyright: X", "(c) 2001 Y", "Copyright Some One", "  Copyright Example Inc.\nAll rights reserved."]
+    texts = wraps + [f"{n}\n\n{bsd2}" for n in notices]
+    rows = license_scan.scan(table(spark, *texts)).collect()
+    assert {r.license for r in rows} == {"BSD-2-Clause"} and len(rows) == len(texts)
+    other = license_scan.scan(table(spark, bsd3.replace("copyright holder", "copyright owner"), mit.replace("sublicense", "sub-license"), "x " + mit)).collect()
+    assert [r.license for r in sorted(other, key=lambda r: r.doc_id)] == ["BSD-3-Clause", "MIT", None]
+
+
+def test_licences_known_by_digest(spark):
+    """Against the published texts, where the system has them."""
+    import os
+
+    home = "/usr/share/common-licenses"
+    files = {"Apache-2.0": "Apache-2.0", "Artistic-1.0-Perl": "Artistic", "CC0-1.0": "CC0-1.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0"}
+    there = {k: f"{home}/{v}" for k, v in files.items() if os.path.exists(f"{home}/{v}")}
+    if not there:
+        pytest.skip("no licence texts here")
+    texts = [open(v, encoding="utf-8").read() for v in there.values()]
+    rows = license_scan.scan(table(spark, *texts, *[t.upper() for t in texts])).collect()
+    assert [r.license for r in sorted(rows, key=lambda r: r.doc_id)] == [*there, *there]
+
+
 def test_texts_are_normal():
     for _, t in TEXTS:
         assert unicodedata.is_normalized("NFC", t)
