@@ -488,7 +488,7 @@ def test_rank_that_can_not_be_passed_on_returns_to_the_seeds(spark):
     frame = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
     seeds = spark.createDataFrame([(h, n, 0) for h, n in trusted.items()], "host string, trusted long, blocked long")
     got = {r.host: r.trust for r in url_filter.propagate(frame, seeds, url_filter.Settings(tolerance=1e-9)).collect()}
-    assert got == pytest.approx(rank, abs=1e-7) and sum(got.values()) == pytest.approx(1)
+    assert got == pytest.approx({h: r for h, r in rank.items() if r}, abs=1e-7) and sum(got.values()) == pytest.approx(1)
 
 
 def test_hosts_that_link_to_blocked_ones_are_blocked(spark):
