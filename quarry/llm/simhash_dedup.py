@@ -146,6 +146,7 @@ def near_duplicates(docs: DataFrame, crowd: int = 16) -> DataFrame:
     found = stage(components(docs, crowd), "components")
     # members by fingerprint before by component, so that the copies of one text collapse first
     heads = found.groupBy("root", "fp").agg(F.min("doc_id").alias("least")).groupBy("root").agg(F.min("least").alias("component_id"))
+    heads = stage(heads, "heads", found.count())  # so that the join is alone in its stage, where a hot component can be split
     return found.join(heads, "root").select("doc_id", "fp", "component_id")
 
 
