@@ -13,7 +13,7 @@ from quarry.functions import text as T
 from quarry.operators import catalog, metrics, search
 from quarry.operators.chunking import chunk_documents, pack_table, packed_counts, word_windows
 from quarry.plans import chat
-from quarry.session import small_batches, spread
+from quarry.session import limited, small_batches, spread, stage
 from quarry.sources import files, html
 from quarry.streaming import ingest
 
@@ -463,6 +463,69 @@ def get_document(spark, sf_dir):
     return catalog.get_document(_stored(spark, sf_dir), "17").select("id", F.md5(F.col("original_text").cast("binary")).alias("text_md5"))
 
 
+_PARTS = """select doc_id::varchar || case when i = 0 then '' else '_' || i::varchar end as chunk_id, doc_id::varchar as document_id, i::int as chunk_index,
+    substr(text, i::int * 40 + 1, 40) as chunk_text from documents, unnest(range(0, doc_id % 3 + 1)) t(i)"""
+
+
+def _parts(spark, sf_dir):
+    """One to three chunks of each document, of forty characters."""
+    rows = _texts(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("chunk_index"))
+    id_ = F.col("doc_id").cast("string")
+    return rows.select(
+        F.when(F.col("chunk_index") == 0, id_).otherwise(F.concat(id_, F.lit("_"), F.col("chunk_index").cast("string"))).alias("chunk_id"),
+        id_.alias("document_id"), "chunk_index", F.col("text").substr(F.col("chunk_index") * 40 + 1, F.lit(40)).alias("chunk_text"),
+    )
+
+
+@query(
+    f"""with c as ({_PARTS}), e as (select vec_id::varchar as chunk_id from embeddings)
+    select chunk_id, 'no vector' as problem from c where chunk_id not in (select chunk_id from e)
+    union all select chunk_id, 'no chunk' from e where chunk_id not in (select chunk_id from c)"""
+)
+def unmatched_vectors(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    return catalog.unmatched(_parts(spark, sf_dir), vectors)
+
+
+@query(
+    f"""select c.document_id as id, md5(d.text) as text_md5, (hash.v % 1000)::double / 1000 as score, c.chunk_index, c.chunk_index > 0 or d.doc_id % 3 > 0 as is_chunk,
+    md5(c.chunk_text) as chunk_md5, k.k as doc_type, k.k = 'image' as is_image
+    from ({_PARTS}) c join documents d on d.doc_id::varchar = c.document_id,
+      lateral (select (d.doc_id * 37 + c.chunk_index * 11) as v) hash, lateral (select case when d.doc_id % 4 = 0 then 'image' else 'txt' end as k) k
+    where hash.v % 5 = 0"""
+)
+def shaped_results(spark, sf_dir):
+    """Hits of every fifth chunk, joined with what is known of them, in the shape of an answer."""
+    chunks = _parts(spark, sf_dir).withColumns({"chunk_type": F.lit("text"), "page_number": F.lit(None).cast("int")})
+    value = F.col("document_id").cast("long") * 37 + F.col("chunk_index") * 11
+    hits = chunks.where(value % 5 == 0).select("chunk_id", "document_id", ((value % 1000).cast("double") / 1000).alias("score"))
+    docs = _texts(spark, sf_dir).select(
+        F.col("doc_id").cast("string").alias("id"), F.col("text").alias("original_text"), (F.col("doc_id") % 3 + 1).cast("int").alias("chunk_count"),
+        F.lit("p").alias("file_path"), F.lit("s").alias("source_path"), F.when(F.col("doc_id") % 4 == 0, "image").otherwise("txt").alias("doc_type"),
+    )
+    got = search.shaped(hits, chunks, docs)
+    md5 = lambda c: F.md5(F.col(c).cast("binary"))
+    return got.select("id", md5("text").alias("text_md5"), "score", "metadata.chunk_index", "metadata.is_chunk", md5("metadata.matching_chunk").alias("chunk_md5"), "metadata.doc_type", "metadata.is_image")
+
+
+@query(f"select chunk_id, chunk_index, row_number() over (order by chunk_index) as place, md5(chunk_text) as chunk_md5 from ({_PARTS}) where document_id = '17'")
+def document_chunks(spark, sf_dir):
+    """In the order in which they come."""
+    got = catalog.document_chunks(_parts(spark, sf_dir), "17").coalesce(1)
+    return got.select("chunk_id", "chunk_index", (F.monotonically_increasing_id() + 1).alias("place"), F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
+
+
+@query(f"select chunk_id, document_id, md5(chunk_text) as chunk_md5 from ({_PARTS}) where chunk_id = '17_1'")
+def get_chunk(spark, sf_dir):
+    return catalog.get_chunk(_parts(spark, sf_dir), "17_1").select("chunk_id", "document_id", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
+
+
+@query(f"select id, case when id = '17' then '/new/place' end as source_path, case when id = '17' then {_NOW} else updated_at end as updated_at from ({_STORED})")
+def update_source_path(spark, sf_dir):
+    docs = _stored(spark, sf_dir).withColumn("source_path", F.lit(None).cast("string"))
+    return catalog.update_source_path(docs, "17", "/new/place", F.expr(_NOW)).select("id", "source_path", "updated_at")
+
+
 # sources
 
 _TYPE = "case " + " ".join(f"when e in ({', '.join(map(_q, v))}) then '{k}'" for k, v in T.DOC_TYPES.items()) + " else 'unknown' end"
@@ -477,6 +540,20 @@ def detect_doc_type(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.doc_type(path).alias("doc_type"), T.parser_of(path).alias("parser"))
 
 
+@query(
+    f"""with e as (select page_id, lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '(\\.[^./]*)\\z', 1)) as e from pages)
+    select page_id, {_TYPE} <> 'unknown' as supported from e"""
+)
+def supported_pages(spark, sf_dir):
+    return _read(spark, sf_dir, "pages").select("page_id", T.is_supported(F.regexp_replace("url", "[?#].*", "")).alias("supported"))
+
+
+@query("select c_custkey, c_custkey % 4 <> 0 or c_acctbal > 0 as has_data from customer")
+def rows_with_data(spark, sf_dir):
+    cells = F.array(F.when(F.col("c_custkey") % 4 == 0, F.lit(" \t")).otherwise(F.col("c_name")), F.lit(None).cast("string"), F.when(F.col("c_acctbal") > 0, F.col("c_acctbal").cast("string")))
+    return _read(spark, sf_dir, "customer").select("c_custkey", T.row_has_data(cells).alias("has_data"))
+
+
 @query("select page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) as title from pages")
 def html_title(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
@@ -598,8 +675,10 @@ def embed_distinct(spark, sf_dir):
 def prompt_context(spark, sf_dir):
     from pyspark.sql import Window
 
-    scored = _read(spark, sf_dir, "documents").withColumn("score", T.keyword_score(F.col("text"), F.lit(_PHRASE)))
+    docs = _read(spark, sf_dir, "documents")
+    scored = docs.select("lang", "doc_id", T.keyword_score(F.col("text"), F.lit(_PHRASE)).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id"))).where("rank <= 5")
+    ranked = docs.select("doc_id", "text").join(limited(stage(ranked, "ranked")), "doc_id")  # texts join the few that are ranked
     results = ranked.select("lang", "rank", F.col("doc_id").alias("id"), F.round("score", 8).alias("score"), "text")
     return chat.prompts(results, "lang").select("lang", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
 

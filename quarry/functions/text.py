@@ -268,6 +268,11 @@ def doc_type(path: Column) -> Column:
     return out
 
 
+def is_supported(path: Column) -> Column:
+    """Whether a file's extension is that of a known format."""
+    return F.coalesce(doc_type(path) != "unknown", F.lit(False))
+
+
 def parser_of(path: Column) -> Column:
     """The format whose parser reads a file; whatever has none is read as text."""
     kind = doc_type(path)
