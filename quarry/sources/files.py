@@ -12,6 +12,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+import shutil
 import subprocess
 import tempfile
 import zipfile
@@ -27,6 +28,7 @@ from quarry.functions import text as T
 from quarry.operators.units import Chunk, Chunker, fields, pack_rows, tokens, trim
 from quarry.session import small_batches, stage
 from quarry.sources import html as H
+from quarry.sources.pdf import read_pages
 
 Page = tuple[int, str]
 
@@ -287,12 +289,22 @@ def pdftotext(data: bytes) -> list[Page]:
     return [(i, p) for i, p in enumerate(_plain(got.stdout).split("\f"), 1) if p.strip()]
 
 
+def pdf_pages(data: bytes) -> list[Page]:
+    """Pages by the command-line tool where it is installed and reads the file, else by the reader built in."""
+    if shutil.which("pdftotext"):
+        try:
+            return pdftotext(data)
+        except subprocess.SubprocessError:
+            pass  # the other reader's error, if it fails too, is the file's
+    return read_pages(data)
+
+
 class PdfParser:
-    """Pages come from ``extract``, since no PDF reader is built in."""
+    """Pages come from ``extract``."""
 
     extensions = (".pdf",)
 
-    def __init__(self, extract: Callable[[bytes], list[Page]] = pdftotext):
+    def __init__(self, extract: Callable[[bytes], list[Page]] = pdf_pages):
         self.extract = extract
 
     def text(self, data: bytes) -> str:
