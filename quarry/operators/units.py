@@ -11,8 +11,8 @@ lines, other text by windows of words.
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
-from collections.abc import Iterable, Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -125,35 +125,53 @@ class Chunker:
             return [Chunk(text, n, kind)]
         return [part for c in self.pack(UNITS[kind](text), kind) for part in self.fit(c)]
 
-    def overlaps(self, units: list[str], sizes: list[int], kind: str) -> Iterator[list[int]]:
-        """For each unit the places of the units before it that an overlap would repeat."""
+    def overlap_of(self, units: list[str], sizes: list[int], kind: str) -> Callable[[int], list[int]]:
+        """Gives for a unit the places of the units before it that an overlap would repeat.
+
+        Prose repeats the longest run that fits the budget. Code repeats, nearest first, what still fits and every
+        construct, until the budget is used up: runs that fit are found by sums, and what stops a run is a construct
+        to be taken or a unit to be left out.
+        """
         budget = int(self.overlap * SHAPES[kind][1])
-        if kind == "code":
-            wanted = [any(c in u.lower() for c in CONSTRUCTS) for u in units]
-            for i in range(len(units)):
-                places, held = [], 0
-                for j in range(i - 1, -1, -1):
-                    if held >= budget:
-                        break
-                    if wanted[j] or held + sizes[j] <= budget:
-                        places.append(j)
-                        held += sizes[j]
-                yield places[::-1]
-        else:
+        if not budget:
+            return lambda at: []
+        if kind != "code":
             upto = [0, *accumulate(sizes)]
-            for i in range(len(units)):
-                yield list(range(bisect_left(upto, upto[i] - budget, 0, i + 1), i)) if budget else []
+            return lambda at: list(range(bisect_left(upto, upto[at] - budget, 0, at + 1), at))
+        marked = [any(c in u.lower() for c in CONSTRUCTS) for u in units]
+        usable = [i for i, n in enumerate(sizes) if n <= budget or marked[i]]
+        sums = [0, *accumulate(sizes[i] for i in usable)]
+
+        def of(at: int) -> list[int]:
+            runs, end, left = [], bisect_left(usable, at), budget
+            while end > 0 and left > 0:
+                edge = sums[end] - left
+                start = bisect_left(sums, edge, 0, end + 1)
+                if sums[start] == edge:  # the budget is used up exactly, and empty units before that stay out
+                    start = bisect_right(sums, edge, start, end + 1) - 1
+                runs.append(usable[start:end])
+                left, end = sums[start] - edge, start - 1
+                if left > 0 and end >= 0 and marked[usable[end]]:
+                    runs.append([usable[end]])
+                    left -= sizes[usable[end]]
+            return [i for run in reversed(runs) for i in run]
+
+        return of
+
+    def overlaps(self, units: list[str], sizes: list[int], kind: str) -> Iterator[list[int]]:
+        """``overlap_of`` every unit."""
+        return map(self.overlap_of(units, sizes, kind), range(len(units)))
 
     def pack(self, units: list[str], kind: str) -> list[Chunk]:
         growth, _, joint = SHAPES[kind]
         target, sizes = int(self.max_tokens * growth), [tokens(u) for u in units]
-        before = list(self.overlaps(units, sizes, kind))
+        before = self.overlap_of(units, sizes, kind)
         # (tokens, first unit, overlap) of the open chunk; a chunk ends where the next one starts
         spans, held, first, repeated = [], 0, 0, []
         for i, n in enumerate(sizes):
             if held and held + n > target:
                 spans.append((held, first, i, repeated))
-                first, repeated = i, before[i]
+                first, repeated = i, before(i)
                 held = sum(sizes[j] for j in repeated)
             held += n
         if units:

@@ -39,6 +39,21 @@ def test_overlap_is_the_longest_run_that_fits():
     assert list(Chunker(50, 0).overlaps(units, sizes, "text")) == [[], [], [], []]
 
 
+@given(st.lists(st.tuples(st.integers(0, 12), st.booleans()), max_size=25), st.integers(0, 30))
+def test_code_overlap_by_its_rule(parts, overlap):
+    units, sizes = ["class a" if marked else "x = 1" for _, marked in parts], [n for n, _ in parts]
+    budget = int(overlap * 1.2)
+    plain = []
+    for at in range(len(units)):
+        left, places = budget, set()
+        for i in reversed(range(at)):
+            if left > 0 and (sizes[i] <= left or parts[i][1]):
+                places.add(i)
+                left -= sizes[i]
+        plain.append(sorted(places))
+    assert list(Chunker(50, overlap).overlaps(units, sizes, "code")) == plain
+
+
 def test_code_overlap_keeps_constructs():
     units = ["class Big one two three four", "x", "long long long long long", "y"]
     sizes = list(map(U.tokens, units))
