@@ -19,7 +19,7 @@ SPACE = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 TOKEN = f"[^{GAP}]+"
 FIELD = f"[^{SPACE}]+"
 
-# Marks by which texts are told apart.
+# Marks by which texts are told apart, terms that are added, and patterns of what is taken out.
 CODE_MARKS = ["function", "class", "def ", "```", "import ", "#include", "var ", "let ", "const "]
 STRUCTURE_MARKS = ["# ", "## ", "### ", "- ", "* ", "1. ", "2. "]
 WORD_CODE_MARKS = ["function", "class", "def ", "import ", "var ", "const ", "let ", "public ", "private "]
@@ -32,6 +32,28 @@ PHONE = r"\d{3}[-.]?\d{3}[-.]?\d{4}"
 TRADE_WORDS = ["painting", "services", "cleaning", "construction", "repair", "company"]
 TRADE_QUERY = "(?i)(painting|services?|cleaning|construction|repair)"
 NAME_QUERY = f"^[A-Z][a-z]+[{GAP}]+[A-Z][a-z]+\\z"
+TRADE_TERMS = " business company service provider "
+PHONE_TERMS = " phone contact number "
+NAME_TERMS = " person owner operator name "
+CARD_MARKS = ["###", "**", "+ ", "\t+", "Phone:", "Email:"]
+CARD_PLAIN = [
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"\*([^*]+)\*", "$1"),
+    (f"#{{1,6}}[{GAP}]*", ""),
+    (f"\\t\\+[{GAP}]*", " "),
+    (f"\\A[{GAP}]*[+\\-*][{GAP}]*", " "),
+]
+CARD_RUN = f"({TOKEN}(?:[{GAP}]+{TOKEN})*)"
+CARD_PHONE = f"(?i)phone:[{GAP}]*{CARD_RUN}"
+CARD_EMAIL = f"(?i)email:[{GAP}]*{CARD_RUN}"
+CARD_FIRM = f"\\*\\*([^*]+)\\*\\*[{GAP}]*[^\\n]*(?:Phone|Email|Services):"
+CARD_SERVICES = f"(?i)services?:[{GAP}]*([^\\n]+)"
+PAGE_LETTER_GAP = f"(?<=\\b[a-zA-Z])[{GAP}]+(?=[a-zA-Z]\\b)"
+PAGE_SHORT_WORD = f"\\b([a-zA-Z]{{1,2}})[{GAP}]+([A-Z][a-zA-Z]*)\\b"
+PAGE_RUN_TOGETHER = "([a-z])([A-Z])"
+PAGE_UNPRINTED = r"[^\x20-\x7E\p{L}\p{N}]+"
+LAYOUT_LETTERS = f"\\b([a-zA-Z])[{GAP}]([a-zA-Z])[{GAP}]([a-zA-Z])[{GAP}]([a-zA-Z]+)\\b"
+LAYOUT_UNPRINTED = rf"[^{SPACE}\p{{L}}\p{{N}}\p{{P}}\p{{S}}]+"
 DOC_TYPES = {
     "pdf": [".pdf"],
     "docx": [".docx"],
@@ -187,22 +209,14 @@ def _matches(text: Column, pattern: str, group: int = 1) -> Column:
 
 def enhance(text: Column) -> Column:
     """Plain text of marked-up cards, with phone, email, company and service terms put in front."""
-    # The marks that call for this, and the patterns of what is taken out.
-    marked = _any(text, ["###", "**", "+ ", "\t+", "Phone:", "Email:"])
+    marked = _any(text, CARD_MARKS)
     plain = text
-    for pattern, by in (
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"\*([^*]+)\*", "$1"),
-        (f"#{{1,6}}[{GAP}]*", ""),
-        (f"\\t\\+[{GAP}]*", " "),
-        (f"\\A[{GAP}]*[+\\-*][{GAP}]*", " "),
-    ):
+    for pattern, by in CARD_PLAIN:
         plain = F.regexp_replace(plain, F.lit(pattern), F.lit(by))
-    run = f"{TOKEN}(?:[{GAP}]+{TOKEN})*"
-    phones = F.transform(_matches(text, f"(?i)phone:[{GAP}]*({run})"), lambda x: F.concat(F.lit("phone "), x))
-    emails = F.transform(_matches(text, f"(?i)email:[{GAP}]*({run})"), lambda x: F.concat(F.lit("email "), x))
-    firms = _matches(text, f"\\*\\*([^*]+)\\*\\*[{GAP}]*[^\\n]*(?:Phone|Email|Services):")
-    services = F.flatten(F.transform(_matches(text, f"(?i)services?:[{GAP}]*([^\\n]+)"), lambda x: _kept(F.split(x, ","))))
+    phones = F.transform(_matches(text, CARD_PHONE), lambda x: F.concat(F.lit("phone "), x))
+    emails = F.transform(_matches(text, CARD_EMAIL), lambda x: F.concat(F.lit("email "), x))
+    firms = _matches(text, CARD_FIRM)
+    services = F.flatten(F.transform(_matches(text, CARD_SERVICES), lambda x: _kept(F.split(x, ","))))
     terms = F.concat(phones, emails, firms, services)
     shown = let(F.struct(terms.alias("t")), lambda s: F.when(F.size(s["t"]) > 0, F.concat(F.array_join(s["t"], " "), F.lit(" "), plain)).otherwise(plain))
     return F.when(marked, shown).otherwise(text)
@@ -224,9 +238,9 @@ def preprocess_query(query: Column) -> Column:
     """A query as it is embedded: short ones are doubled, and kinds of them get words added."""
 
     def widened(q: Column) -> Column:
-        trade = F.when(q.rlike(TRADE_QUERY), F.concat(F.lit(" business company service provider "), q)).otherwise("")
-        phone = F.when(q.rlike(PHONE), F.concat(F.lit(" phone contact number "), q)).otherwise("")
-        name = F.when(q.rlike(NAME_QUERY), F.concat(F.lit(" person owner operator name "), q)).otherwise("")
+        trade = F.when(q.rlike(TRADE_QUERY), F.concat(F.lit(TRADE_TERMS), q)).otherwise("")
+        phone = F.when(q.rlike(PHONE), F.concat(F.lit(PHONE_TERMS), q)).otherwise("")
+        name = F.when(q.rlike(NAME_QUERY), F.concat(F.lit(NAME_TERMS), q)).otherwise("")
         short = ~q.contains("?") & (F.size(fields(q)) < 10)
         return F.when(short, F.concat(q, F.lit(" "), q, trade, phone, name)).otherwise(q)
 
@@ -323,18 +337,18 @@ def clean_page(text: Column) -> Column:
     """Page text for search: invisible characters out, words that were spaced apart joined, single-spaced."""
     out = F.regexp_replace(text, F.lit(_INVISIBLE), F.lit(""))
     # a gap goes where it stands between two letters that are each a word
-    out = F.regexp_replace(out, F.lit(f"(?<=\\b[a-zA-Z])[{GAP}]+(?=[a-zA-Z]\\b)"), F.lit(""))
+    out = F.regexp_replace(out, F.lit(PAGE_LETTER_GAP), F.lit(""))
     for _ in range(5):
-        out = F.regexp_replace(out, F.lit(f"\\b([a-zA-Z]{{1,2}})[{GAP}]+([A-Z][a-zA-Z]*)\\b"), F.lit("$1$2"))
-    out = collapse(F.regexp_replace(out, F.lit("([a-z])([A-Z])"), F.lit("$1 $2")))
-    return trim(F.regexp_replace(F.regexp_replace(out, F.lit(r"[^\x20-\x7E\p{L}\p{N}]+"), F.lit("")), F.lit(f"[{GAP}]+"), F.lit(" ")))
+        out = F.regexp_replace(out, F.lit(PAGE_SHORT_WORD), F.lit("$1$2"))
+    out = collapse(F.regexp_replace(out, F.lit(PAGE_RUN_TOGETHER), F.lit("$1 $2")))
+    return trim(F.regexp_replace(F.regexp_replace(out, F.lit(PAGE_UNPRINTED), F.lit("")), F.lit(f"[{GAP}]+"), F.lit(" ")))
 
 
 def clean_layout(text: Column) -> Column:
     """Page text that keeps its lines: invisible characters out, runs of three spaced letters and more joined."""
     out = F.regexp_replace(text, F.lit(_INVISIBLE), F.lit(""))
-    out = F.regexp_replace(out, F.lit(f"\\b([a-zA-Z])[{GAP}]([a-zA-Z])[{GAP}]([a-zA-Z])[{GAP}]([a-zA-Z]+)\\b"), F.lit("$1$2$3$4"))
-    out = F.regexp_replace(out, F.lit(rf"[^{SPACE}\p{{L}}\p{{N}}\p{{P}}\p{{S}}]+"), F.lit(""))
+    out = F.regexp_replace(out, F.lit(LAYOUT_LETTERS), F.lit("$1$2$3$4"))
+    out = F.regexp_replace(out, F.lit(LAYOUT_UNPRINTED), F.lit(""))
     return F.regexp_replace(trim(out), F.lit("\\n{3,}"), F.lit("\n\n"))
 
 
