@@ -35,7 +35,7 @@ EXTRA = ("n_lines", "n_upper", "n_marks")
 
 
 def _count(text: Column, chars: str) -> Column:
-    """How many of the characters of a class there are. Runs of others go at once, which takes a sixth of ``translate``'s time."""
+    """How many of the characters of a class there are. Runs of others are taken out at once, faster than ``translate`` goes by characters."""
     return F.length(F.regexp_replace(text, F.lit(f"[^{chars}]+"), F.lit("")))
 
 
