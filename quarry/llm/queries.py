@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann_search, license_scan, mixing, packing, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
+from quarry.llm import ann_search, license_scan, mixing, packing, phrases, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
 from quarry.llm.labelled import held_out
 from quarry.session import spread
 
@@ -65,6 +65,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "g.expected_grade", "g.tail_prob", (F.col("g.tail_prob") >= 0.5).alias("kept"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(_read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,9 +88,10 @@ QUERIES = {
         op8_toxicity,
         op9_mixing,
         op10_quality_classifier,
+        op11_phrases,
         pipeline,
     )
 }
 
 #: SQL for what SQL can express. Iterative, learnt, and hashed results are held against brute force in tests.
-ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle(), "op9_mixing": mixing.oracle()}
+ORACLE_SQL: dict[str, str] = {"op6_license_scan": license_scan.oracle(), "op9_mixing": mixing.oracle(), "op11_phrases": phrases.oracle()}
