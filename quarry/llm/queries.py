@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import ann_search, license_scan, mixing, packing, phrases, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
+from quarry.llm import ann_search, license_scan, main_text, mixing, packing, phrases, quality_classifier, quality_rules, sharding, simhash_dedup, toxicity, url_filter
 from quarry.llm.labelled import held_out
 from quarry.session import spread
 
@@ -69,6 +69,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.mine(_read(spark, sf_dir, "documents"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(_read(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +93,7 @@ QUERIES = {
         op9_mixing,
         op10_quality_classifier,
         op11_phrases,
+        op12_main_text,
         pipeline,
     )
 }
