@@ -3,11 +3,14 @@
 The postings of the asked items' terms are dealt by ranges of (term, impact), so that each term's list lies in order of
 impact, a long one over several tasks. An impact is what one term adds to one document's score; it does not depend on the item.
 
-1. The head of each list, ``top`` entries, gives every item documents with partial sums; the ``top``-th of these is a lower bound.
+1. The head of each list, ``top`` entries, gives every item documents with partial sums. Those of the best of them are
+   looked up in the lists; the ``top``-th exact score is a lower bound.
 2. The bound by the item's number of terms is a threshold for all its lists: a document below it in every list can't reach the
-   bound. Each list sends what reaches the threshold. Sums of that are better lower bounds; with, for each list that
-   sent nothing of a document, the most that it may hold below the threshold, they are upper bounds as well.
-3. Documents whose upper bound reaches the new bound are looked up in the lists, and ranked by their exact scores.
+   bound. Each list sends what reaches the lowest threshold of the items that ask for its term, once for all of them, to where the
+   document's entries meet; there each item sums what reaches its own threshold. With, for each list that sent
+   nothing of a document, the most that it may hold below the threshold, these sums are upper bounds as well; documents that can't reach the
+   lower bound end here, and the sums of the others raise it.
+3. Documents whose upper bound reaches the raised bound are looked up in the lists, and ranked by their exact scores.
 
 Bounds are compared so that equal scores stay, and nothing is cut off: results are those of scoring all documents.
 Items are worked off in blocks of bounded numbers of terms, whose vocabulary and thresholds the workers get.
@@ -39,10 +42,12 @@ _IMPACT_BITS = 36  # an impact is below a million times a weight, and weights be
 
 @dataclass(frozen=True)
 class Settings:
-    """``top`` documents an item; ``block_terms``: terms of the items that are worked off at once."""
+    """``top`` documents an item; ``block_terms``: terms of the items that are worked off at once; ``tried``: documents of the
+    heads, in multiples of ``top``, whose exact scores give an item's first bound."""
 
     top: int = 50
     block_terms: int = 300_000
+    tried: int = 4
 
 
 def item_terms(items: DataFrame) -> DataFrame:
@@ -86,7 +91,7 @@ def postings(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
 
 
 def weighted(raw: DataFrame) -> DataFrame:
-    """``(tid, impact, row, doc_id)`` with impacts above 0, of staged ``postings``."""
+    """``(tid, impact, row)`` with impacts above 0, of staged ``postings``."""
     whole = raw.where("tid < 0").agg(F.sum("n"), F.sum("tf")).first()
     docs, terms = int(whole[0] or 0), int(whole[1] or 0)
     held = raw.where("tid >= 0")
@@ -95,7 +100,7 @@ def weighted(raw: DataFrame) -> DataFrame:
     by_term = held.join(limited(weights), "tid")
     m = f"(100 - 50 + ((50 * n * {docs}L) div {max(1, terms)}L))"
     impact = F.expr(f"w * ((1000000000L * tf) div (1000 * tf + 20 * {m}))")
-    return by_term.select("tid", impact.alias("impact"), "row", "doc_id").where("impact > 0")
+    return by_term.select("tid", impact.alias("impact"), "row").where("impact > 0")
 
 
 def _heads(lists: DataFrame, top: int) -> DataFrame:
@@ -120,32 +125,71 @@ def _heads(lists: DataFrame, top: int) -> DataFrame:
     return own.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= top).drop("_k")
 
 
-def _sent(lists: DataFrame, item: np.ndarray, tid: np.ndarray, least: np.ndarray, cap: np.ndarray) -> DataFrame:
-    """``(item, row, doc_id, impact, cap)``: what each list has at or above the threshold of each item that holds its term."""
-    order = np.lexsort((least, tid))
-    told = lists.sparkSession.sparkContext.broadcast((item[order], (tid[order] << _IMPACT_BITS) + least[order], cap[order]))
+@dataclass
+class _Asked:
+    """The terms of a block's items, with each item's threshold and what a list may hold below it, by term and threshold."""
+
+    items: np.ndarray
+    keys: np.ndarray  # term and threshold in one number, ascending
+    caps: np.ndarray
+    bound: np.ndarray  # by item: the score to reach
+    may: np.ndarray  # by item: the sum of its caps
+
+
+def _sums(lists: DataFrame, asked: _Asked, n_terms: int) -> DataFrame:
+    """``(item, row, s, seen)``: sums of what reaches the thresholds, and of the caps of their lists, where the bound is in reach."""
+    least = np.full(n_terms, np.iinfo(np.int64).max)
+    np.minimum.at(least, asked.keys >> _IMPACT_BITS, asked.keys & ((1 << _IMPACT_BITS) - 1))
+    context = lists.sparkSession.sparkContext
+    told, lowest = context.broadcast(asked), context.broadcast(least)
 
     def reaching(batches):
-        items, keys, caps = told.value
         for batch in batches:
-            t = batch.column("tid").to_numpy() << _IMPACT_BITS
-            start = np.searchsorted(keys, t, "left")
-            n = np.searchsorted(keys, t + batch.column("impact").to_numpy(), "right") - start
-            keep = np.flatnonzero(n > 0)
-            for k in range(0, len(keep), 4096):
-                part = keep[k : k + 4096]
-                size = n[part]
-                at = np.repeat(start[part] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-                who = pa.array(np.repeat(part, size))
-                yield pa.record_batch({
-                    "item": pa.array(items[at], pa.int64()),
-                    "row": pc.take(batch.column("row"), who),
-                    "doc_id": pc.take(batch.column("doc_id"), who),
-                    "impact": pc.take(batch.column("impact"), who),
-                    "cap": pa.array(caps[at], pa.int64()),
-                })
-
-    return lists.mapInArrow(reaching, "item long, row long, doc_id long, impact long, cap long")
+            yield batch.filter(pa.array(batch.column("impact").to_numpy() >= lowest.value[batch.column("tid").to_numpy()]))
+
+    def summed(tid, impact, row):
+        own = told.value
+        n, each = len(own.bound), max(1, 2_000_000 // len(own.bound))
+        starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        for k in range(0, len(starts), each):  # some documents at once, all items of each
+            rows = starts[k : k + each]
+            upto = starts[k + each] if k + each < len(starts) else len(row)
+            t, i = tid[rows[0] : upto], impact[rows[0] : upto]
+            local = np.repeat(np.arange(len(rows)), np.diff(np.append(rows, upto)))
+            start = np.searchsorted(own.keys, t << _IMPACT_BITS, "left")
+            size = np.searchsorted(own.keys, (t << _IMPACT_BITS) + i, "right") - start
+            at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            pair = np.repeat(local, size) * n + own.items[at]
+            s = np.bincount(pair, weights=np.repeat(i, size), minlength=len(rows) * n).astype(np.int64)  # far below 2**53
+            seen = np.bincount(pair, weights=own.caps[at], minlength=len(rows) * n).astype(np.int64)
+            of = np.arange(len(rows) * n) % n
+            good = np.flatnonzero((s > 0) & (s + own.may[of] - seen >= own.bound[of]))
+            if len(good):
+                yield pa.record_batch({"item": pa.array(good % n, pa.int64()), "row": pa.array(row[rows[good // n]], pa.int64()), "s": pa.array(s[good]), "seen": pa.array(seen[good])})
+
+    def met(batches):
+        held: list[np.ndarray] = []  # the last document so far, which may go on
+        for batch in batches:
+            new = [batch.column(c).to_numpy() for c in ("tid", "impact", "row")]
+            new = [np.concatenate(x) for x in zip(held, new)] if held else new
+            if len(new[2]):
+                cut = int(np.searchsorted(new[2], new[2][-1]))
+                held = [x[cut:] for x in new]
+                if cut:
+                    yield from summed(*(x[:cut] for x in new))
+        if held and len(held[2]):
+            yield from summed(*held)
+        give_back()
+
+    n = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = lists.mapInArrow(reaching, lists.schema).repartition(n, "row").sortWithinPartitions("row")
+    return sent.mapInArrow(met, "item long, row long, s long, seen long")
+
+
+def _exact(lists: DataFrame, likely: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(item, row, s)``: the exact scores of the pairs ``likely(item, row)``."""
+    found = lists.join(limited(likely), "row").join(F.broadcast(asked), ["item", "tid"])
+    return found.groupBy("item", "row").agg(F.sum("impact").alias("s"))
 
 
 def _kth(sums: DataFrame, top: int, n_items: int) -> np.ndarray:
@@ -158,9 +202,9 @@ def _kth(sums: DataFrame, top: int, n_items: int) -> np.ndarray:
     return out
 
 
-def _block(docs: DataFrame, pairs: list, id_type: DataType, top: int) -> DataFrame:
+def _block(docs: DataFrame, pairs: list, id_type: DataType, own: Settings) -> DataFrame:
     """``(item_id, rank, doc_id, score)`` for the items of ``pairs(item_id, term)``."""
-    spark = docs.sparkSession
+    spark, top = docs.sparkSession, own.top
     ids = list(dict.fromkeys(p.item_id for p in pairs))
     words = list(dict.fromkeys(p.term for p in pairs))
     item_at, word_at = {x: k for k, x in enumerate(ids)}, {x: k for k, x in enumerate(words)}
@@ -177,24 +221,27 @@ def _block(docs: DataFrame, pairs: list, id_type: DataType, top: int) -> DataFra
     for r in heads.groupBy("tid").agg(F.max("impact").alias("m")).collect():  # one for each term of the block
         most[r.tid] = r.m
     first = heads.join(F.broadcast(asked), "tid").groupBy("item", "row").agg(F.sum("impact").alias("s"))
+    best = Window.partitionBy("item").orderBy(F.desc("s"), "row")
+    tried = first.withColumn("_k", F.row_number().over(best)).where(F.col("_k") <= own.tried * top).select("item", "row")
+    bound = np.maximum(1, _kth(_exact(lists, stage(tried, "tried"), asked), top, len(ids)))
     lists_of = np.maximum(1, np.bincount(item[most[tid] > 0], minlength=len(ids)))  # those that hold anything
-    least = np.maximum(1, -(-_kth(first, top, len(ids)) // lists_of))
-    cap = np.minimum(least[item] - 1, most[tid])
-
-    sent = _sent(lists, item, tid, least[item], cap)
-    sums = stage(sent.groupBy("item", "row", "doc_id").agg(F.sum("impact").alias("s"), F.sum("cap").alias("seen")), "sums")
-    bound = np.maximum(1, _kth(sums, top, len(ids)))
+    least = np.maximum(1, -(-bound // lists_of))[item]
+    cap = np.minimum(least - 1, most[tid])
+    order = np.lexsort((least, tid))
     may = np.bincount(item, weights=cap, minlength=len(ids)).astype(np.int64)
+
+    sums = stage(_sums(lists, _Asked(item[order], (tid[order] << _IMPACT_BITS) + least[order], cap[order], bound, may), len(words)), "sums")
+    bound = np.maximum(bound, _kth(sums, top, len(ids)))
     bounds = spark.createDataFrame(pa.table({"item": np.arange(len(ids)), "bound": bound, "may": may}).to_pandas())
     likely = sums.join(F.broadcast(bounds), "item").where(F.col("s") + F.col("may") - F.col("seen") >= F.col("bound"))
     likely = stage(likely.select("item", "row"), "candidates")
 
-    exact = lists.join(limited(likely), "row").join(F.broadcast(asked), ["item", "tid"])
-    scored = exact.groupBy("item", "row", "doc_id").agg(F.sum("impact").alias("score"))
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row")
+    named = raw.where("tid >= 0").select("row", "doc_id").join(limited(likely.select("row").distinct()), "row", "left_semi").distinct()
+    scored = _exact(lists, likely, asked).join(named, "row")
+    order = Window.partitionBy("item").orderBy(F.desc("s"), F.asc_nulls_last("doc_id"), "row")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     names = spark.createDataFrame(list(enumerate(ids)), StructType([StructField("item", LongType()), StructField("item_id", id_type)]))
-    return ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", "score")
+    return ranked.join(F.broadcast(names), "item").select("item_id", "rank", "doc_id", F.col("s").alias("score"))
 
 
 def search(docs: DataFrame, items: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -208,7 +255,7 @@ def search(docs: DataFrame, items: DataFrame, settings: Settings | None = None)
     for k in range(blocks):
         pairs = asked.where(at == k).orderBy("item_id", "term").collect()  # about ``block_terms``
         if pairs:
-            out.append(_block(docs, pairs, items.schema["item_id"].dataType, own.top))
+            out.append(_block(docs, pairs, items.schema["item_id"].dataType, own))
     if not out:
         return spark.createDataFrame([], f"item_id {items.schema['item_id'].dataType.simpleString()}, rank int, doc_id long, score long")
     return reduce(DataFrame.unionByName, out)
