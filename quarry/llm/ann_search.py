@@ -48,6 +48,7 @@ class Settings:
     widen: float = 1.08
     block: int = 16_384  # vectors of one sorted array
     query_block: int = 16_384  # queries of one task, at most
+    run: int = 96  # queries that are worked off at once
     least_queries: int = 64  # and at least, where smaller blocks would only make more than ``tasks`` tasks
     tasks: int = 24
     seed: int = 5
@@ -89,8 +90,21 @@ class Index:
         return np.concatenate(parts + [x[a:b] for x, a, b in zip(self.order, old[1].tolist(), new[1].tolist())])
 
     def search(self, qrows: np.ndarray, queries: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], Work]:
-        """For each query the places and inner products of its best, nearest first; and what that took."""
-        s, n, work = self.s, len(self.ids), Work()
+        """For each query the places and inner products of its best, nearest first; and what that took.
+
+        Queries are worked off in runs, so that what is kept of them (a count and a mark for each vector) does not grow with their number.
+        """
+        out, work = [], Work()
+        for at in range(0, len(qrows), self.s.run):
+            out += self._run(qrows[at : at + self.s.run], queries[at : at + self.s.run], work)
+        return out, work
+
+    def _best(self, places: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best = np.lexsort((self.rows[places], self.ids[places], -scores))[: self.s.k]
+        return places[best], scores[best]
+
+    def _run(self, qrows: np.ndarray, queries: np.ndarray, work: Work) -> list[tuple[np.ndarray, np.ndarray]]:
+        s, n = self.s, len(self.ids)
         length = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         unit = (queries / length[:, None]).astype(np.float32)
         centre = unit @ self.lines[:-1]
@@ -119,18 +133,19 @@ class Index:
                 work.verified += len(hit)
                 places = np.concatenate([places, hit])
                 scores = np.concatenate([scores, np.einsum("ij,j->i", self.vectors[hit], queries[q])])
+                if len(places) > 4 * s.k:  # of what is verified only the best can matter
+                    places, scores = self._best(places, scores)
                 # inner products that are this large are within the radius on the unit sphere
                 least = (1 - radius[q] ** 2 / 2) * length[q] * self.largest
                 if everything or np.count_nonzero(scores >= least) >= s.k:
-                    best = np.lexsort((self.rows[places], self.ids[places], -scores))[: s.k]
-                    out[q] = places[best], scores[best]
+                    out[q] = self._best(places, scores)
                 else:
                     going.append(q)
                     state[q] = [count, done, (a, b), places, scores]
             active = np.array(going, dtype=np.int64)
             radius[active] *= s.widen
-        work.pairs = len(qrows) * n
-        return out, work
+        work.pairs += len(qrows) * n
+        return out
 
     def _fresh(self, row: int, lo: np.ndarray, hi: np.ndarray, work: Work) -> list:
         """Windows without width (what lies in them is counted), and nothing verified; the query's own row is never a candidate."""

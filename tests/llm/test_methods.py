@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import quality_classifier, quality_rules, sharding, toxicity
+from quarry.llm import ann_search, quality_classifier, quality_rules, sharding, toxicity
 from quarry.llm.labelled import held_out, training_rows
 
 # 4
@@ -193,3 +193,21 @@ def test_rules_against_plain_covering(spark, seed):
     valued = frame.select("bad", (F.pmod(F.xxhash64("key"), F.lit(3)) != 0).alias("grow"), *[F.expr(v).alias(k) for k, v in quality_rules.FEATURES.items()])
     want = plain_rules(valued.collect(), quality_rules.edges_of(valued, s), s)
     assert [[(c.feature, c.above, c.threshold) for c in rule] for rule in got] == want and want
+
+
+def test_ann_memory_does_not_grow_with_queries():
+    """A block of 16,384 vectors, asked by 256 and by 4,096 queries: the same peak but for what comes out."""
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(64, 16))
+    m = centres[rng.integers(0, 64, 16_384)] + rng.normal(scale=0.05, size=(16_384, 16))
+    index = ann_search.Index(np.arange(len(m)), np.arange(len(m)), m, ann_search.Settings())
+    peaks = []
+    for n in (256, 4_096):
+        tracemalloc.start()
+        found, _ = index.search(np.arange(n), m[:n])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == n and all(len(p) == 20 for p, _ in found)
+    assert peaks[1] < peaks[0] + 4_096 * 1_500 and peaks[1] < 100 << 20
