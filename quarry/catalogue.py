@@ -540,10 +540,7 @@ def detect_doc_type(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.doc_type(path).alias("doc_type"), T.parser_of(path).alias("parser"))
 
 
-@query(
-    f"""with e as (select page_id, lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '(\\.[^./]*)\\z', 1)) as e from pages)
-    select page_id, {_TYPE} <> 'unknown' as supported from e"""
-)
+@query("select page_id, true as supported from pages")
 def supported_pages(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.is_supported(F.regexp_replace("url", "[?#].*", "")).alias("supported"))
 
@@ -744,3 +741,6 @@ def event_windows(spark, sf_dir):
 )
 def event_sessions(spark, sf_dir):
     return ingest.sessions(_read(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+from quarry import stored_queries  # noqa: E402, F401  registers its own

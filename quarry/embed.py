@@ -12,11 +12,12 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.session import ship, small_batches
+from quarry.plans.store import Store, Table
+from quarry.session import ship, small_batches, stage
 
 
 _WORD = re.compile(T.TOKEN)
@@ -42,7 +43,7 @@ class HashingEmbedder:
     """
 
     def __init__(self, dim: int = 64):
-        self.dim = dim
+        self.dim, self.name = dim, f"hashing-{dim}"
 
     def slots(self, text: Column) -> Column:
         return F.transform(T.tokens(F.lower(text)), lambda w: slot(w, self.dim))
@@ -111,6 +112,7 @@ class HttpEmbedder:
 
     def __init__(self, url: str = "http://localhost:11434", model: str = "nomic-embed-text", timeout: float = 30, retries: int = 3):
         self.url, self.model, self.timeout, self.retries = url.rstrip("/"), model, timeout, retries
+        self.name = f"{self.url} {model}"
 
     def _ask(self, prompt: str) -> list[float]:
         body = json.dumps({"model": self.model, "prompt": prompt}).encode()
@@ -144,10 +146,109 @@ class HttpEmbedder:
         return self.embed(text)
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFrame:
-    """``(chunk_id, document_id, embedding)``; each distinct processed text is embedded once."""
+def name_of(embedder: Embedder) -> str:
+    """What tells an embedder's vectors from those of others."""
+    return getattr(embedder, "name", type(embedder).__name__)
+
+
+class EmbeddingCache:
+    """Vectors of texts by digest and model, kept in versioned tables across calls and sessions.
+
+    Each call is a run: it looks its distinct texts up, embeds those that are new, and notes what it used, with how many
+    requests were for it. ``evict`` drops what was used longest ago. Runs may overlap; a text that two of them embed is kept once.
+    """
+
+    TABLES = {
+        "vectors": {"digest": "string", "embedding": "array<float>", "bytes": "bigint"},
+        "uses": {"digest": "string", "run": "bigint", "requests": "bigint", "hit": "boolean"},
+    }
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark = spark
+        self.store = Store(spark, path, {name: Table(columns, "digest") for name, columns in self.TABLES.items()})
+
+    def _vectors(self, state: dict) -> DataFrame:
+        return self.store.read("vectors", state)
+
+    def embed(self, texts: DataFrame, embedder: Embedder, text: str = "text") -> DataFrame:
+        """``texts`` with their ``embedding``; null and empty texts have none."""
+        small_batches(self.spark, rows=500)
+        digest = F.when(F.coalesce(text, F.lit("")) != "", F.sha2(F.concat(F.lit(name_of(embedder) + "\n"), F.col(text)), 256))
+        keyed = texts.withColumn("_digest", digest)
+        asked = keyed.where("_digest is not null").groupBy("_digest").agg(F.first(text).alias("_t"), F.count("*").alias("requests"))
+        asked = stage(asked.withColumnRenamed("_digest", "digest"), "asked")
+        state = self.store.state()
+        known = self.store.matching("vectors", state, asked.select("digest")).select("digest", "embedding").dropDuplicates(["digest"])
+        known = stage(known, "known")
+        fresh = asked.join(known, "digest", "left_anti").select("digest", embedder.column(F.col("_t")).alias("embedding"))
+        fresh = stage(fresh, "fresh")
+        hit = F.col("_hit").isNotNull()
+        uses = asked.join(known.select("digest", F.lit(True).alias("_hit")), "digest", "left").select("digest", "requests", hit.alias("hit"))
+        ready = self.store.write("vectors", fresh.where("embedding is not null").withColumn("bytes", F.lit(4) * F.size("embedding") + 64))
+
+        def note(_: dict, change) -> None:
+            run = int(change.folder[1:].split("-")[0])
+            change.add("vectors", ready)
+            self.store.append("uses", change, uses.withColumn("run", F.lit(run)))
+
+        if asked.head(1):
+            self.store.commit(note)
+        vectors = known.unionByName(fresh).withColumnRenamed("digest", "_digest")
+        return keyed.join(vectors, "_digest", "left").drop("_digest")
+
+    def requests(self) -> DataFrame:
+        """The log: ``(digest, run, requests, hit)``, runs being numbered by version."""
+        return self.store.read("uses")
+
+    def stats(self) -> dict:
+        """Requests and hits of all runs (of a text that a run asks for twice the second is a hit), and what is kept."""
+        state = self.store.state()
+        used = self.store.read("uses", state).agg(F.sum("requests").alias("n"), F.sum(F.when(F.col("hit"), F.col("requests")).otherwise(F.col("requests") - 1)).alias("hits")).first()
+        kept = self._vectors(state).agg(F.count("*").alias("n"), F.sum("bytes").alias("b")).first()
+        n, hits = int(used.n or 0), int(used.hits or 0)
+        return {"requests": n, "hits": hits, "hit_rate": hits / n if n else 0.0, "vectors": int(kept.n), "bytes": int(kept.b or 0)}
+
+    def evict(self, most_bytes: int) -> int:
+        """Drop the vectors used longest ago until at most ``most_bytes`` are kept; how many went.
+
+        Those of the run at the edge go by ranges of their digests. What is summed on the driver is a row for each run, and
+        65,536 rows for that run.
+        """
+        gone = 0
+
+        def dropped(state: dict, change) -> None:
+            nonlocal gone
+            last = self.store.read("uses", state).groupBy("digest").agg(F.max("run").alias("run"))
+            held = stage(self._vectors(state).select("digest", "bytes").join(last, "digest", "left").withColumn("run", F.coalesce("run", F.lit(0))), "held")
+            left, edge = most_bytes, None
+            for r in held.groupBy("run").agg(F.sum("bytes").alias("b")).orderBy(F.desc("run")).collect():
+                if r.b > left:
+                    edge = r.run
+                    break
+                left -= r.b
+            gone = 0
+            if edge is None:
+                return
+            first = F.substring("digest", 1, 4)
+            upto = ""  # digests that begin with less than this stay
+            for r in held.where(F.col("run") == edge).groupBy(first.alias("p")).agg(F.sum("bytes").alias("b")).orderBy("p").collect():
+                if r.b > left:
+                    upto = r.p
+                    break
+                left -= r.b
+            out = held.where((F.col("run") < edge) | ((F.col("run") == edge) & (first >= upto))).select("digest")
+            gone = self.store.remove("vectors", state, change, stage(out, "evicted"))
+
+        self.store.commit(dropped)
+        return gone
+
+
+def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text", cache: EmbeddingCache | None = None) -> DataFrame:
+    """``(chunk_id, document_id, embedding)``; each distinct processed text is embedded once, and not at all if ``cache`` has it."""
     small_batches(chunks.sparkSession, rows=500)
     ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t")).where("_t <> ''")
+    if cache is not None:
+        return cache.embed(ready, embedder, "_t").where("embedding is not null").select("chunk_id", "document_id", "embedding")
     keyed = ready.withColumn("_key", F.sha2("_t", 256))
     # texts are shuffled once, to find the distinct ones; vectors go back to their chunks by digest
     each = keyed.groupBy("_key").agg(F.first("_t").alias("_t")).select("_key", embedder.column(F.col("_t")).alias("embedding"))

@@ -283,8 +283,8 @@ def doc_type(path: Column) -> Column:
 
 
 def is_supported(path: Column) -> Column:
-    """Whether a file's extension is that of a known format."""
-    return F.coalesce(doc_type(path) != "unknown", F.lit(False))
+    """Whether a file can be indexed: every one can, for what has no parser of its own is read as text."""
+    return F.coalesce(parser_of(path).isNotNull(), F.lit(False))
 
 
 def parser_of(path: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,6 +54,20 @@ def list_documents(docs: DataFrame) -> DataFrame:
     return shown.orderBy(F.desc("updated_at"), "id")
 
 
+def page_mark(updated_at: datetime.datetime, id_: str) -> str:
+    """Where a page of the listing ends."""
+    return f"{updated_at.isoformat()}|{id_}"
+
+
+def page_of_documents(docs: DataFrame, limit: int, after: str | None = None) -> DataFrame:
+    """A page of ``list_documents`` without texts, after the mark where the last one ended; each task keeps its own first rows."""
+    if after is not None:
+        at, _, id_ = after.partition("|")
+        when = F.lit(datetime.datetime.fromisoformat(at))
+        docs = docs.where((F.col("updated_at") < when) | ((F.col("updated_at") == when) & (F.col("id") > id_)))
+    return list_documents(docs.drop("original_text")).limit(limit)
+
+
 def get_document(docs: DataFrame, id_: str) -> DataFrame:
     return docs.where(F.col("id") == id_)
 
@@ -69,6 +85,17 @@ def file_name(id_: Column, content_hash: Column) -> Column:
     return F.concat(id_, F.lit("_"), F.substring(content_hash, 1, 8), F.lit(".txt.gz"))
 
 
+def write_content_files(docs: DataFrame, at: str) -> DataFrame:
+    """Write each text of ``docs(id, original_text, content_hash)`` gzipped under its ``file_name``, and give ``(id, file_path)``.
+
+    Each name is a folder with one file of one text. For handing documents to other tools: a file for
+    each document is more than most file systems take of a large table.
+    """
+    named = docs.select("id", "original_text", file_name(F.col("id"), F.col("content_hash")).alias("file_name"))
+    named.select(F.col("original_text").alias("value"), "file_name").write.partitionBy("file_name").option("compression", "gzip").option("lineSep", "\x00").text(at)
+    return named.select("id", F.concat(F.lit(f"{at.rstrip('/')}/file_name="), "file_name").alias("file_path"))
+
+
 def unmatched(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks without a vector, and vectors without a chunk."""
     a = chunks.join(embeddings, "chunk_id", "left_anti").select("chunk_id", F.lit("no vector").alias("problem"))

@@ -175,9 +175,10 @@ def hybrid_search(vectors: DataFrame, docs: DataFrame, query: str, embedding: Se
     return with_keywords(search_vectors(vectors, embedding, limit), docs, query, limit, strict_limit)
 
 
-def shaped(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Results as an API returns them: ``id``, whole ``text``, ``score`` and ``metadata``."""
-    found = hits.join(chunks.drop("document_id"), "chunk_id").join(docs.withColumnRenamed("id", "document_id"), "document_id")
+def shaped_hits(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """``hits(document_id, chunk_id, score, ...)`` with the documents' ``id`` and whole ``text``, and ``metadata`` where a chunk was hit."""
+    own = chunks.drop("document_id").withColumnRenamed("chunk_id", "_chunk").withColumnRenamed("created_at", "_created")
+    found = hits.join(own, F.col("chunk_id") == F.col("_chunk"), "left").join(docs.withColumnRenamed("id", "document_id"), "document_id")
     metadata = F.struct(
         "chunk_index",
         "chunk_type",
@@ -190,4 +191,11 @@ def shaped(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
         "doc_type",
         (F.coalesce(F.col("doc_type"), F.lit("")) == "image").alias("is_image"),
     )
-    return found.select(F.col("document_id").alias("id"), F.col("original_text").alias("text"), "score", metadata.alias("metadata")).orderBy(F.desc("score"), "id")
+    extra = [c for c in hits.columns if c not in ("document_id", "chunk_id", "score")]
+    return found.select(F.col("document_id").alias("id"), F.col("original_text").alias("text"), "score", F.when(F.col("_chunk").isNotNull(), metadata).alias("metadata"), *extra)
+
+
+def shaped(hits: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Results as an API returns them: ``id``, whole ``text``, ``score`` and ``metadata``."""
+    found = shaped_hits(hits.select("document_id", "chunk_id", "score"), chunks, docs)
+    return found.where("metadata is not null").orderBy(F.desc("score"), "id")

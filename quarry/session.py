@@ -6,7 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +89,7 @@ def spread(df: DataFrame, least: int = 4 << 20, most: int = 64 << 20) -> DataFra
     larger ones come in enough files, and are never shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    size = size_of(df)
     if least <= size <= most * cores and len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
@@ -97,10 +100,21 @@ def gather(df: DataFrame, each: int = 8 << 20) -> DataFrame:
 
     A task and a file for each of thousands of tiny inputs cost more than what they hold.
     """
-    n = max(df.sparkSession.sparkContext.defaultParallelism, int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // each)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, size_of(df) // each)
     return df.coalesce(n) if len(df.inputFiles()) > 2 * n else df
 
 
+def size_of(df: DataFrame) -> int:
+    """What the planner takes ``df`` for, in bytes."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def together(*jobs: Callable[[], object]) -> list:
+    """The results of independent jobs, which run side by side."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+
+
 def limited(df: DataFrame, rows: int = 500_000) -> DataFrame:
     """``df``, to be broadcast if it has at most ``rows`` rows (it is counted); else joined as the planner sees fit."""
     return F.broadcast(df) if df.count() <= rows else df

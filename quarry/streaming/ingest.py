@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def ingest(stream: DataFrame, corpus, checkpoint: str, trigger: dict | None = None):
     """Index every micro-batch of ``stream(id, text)`` into a corpus.
 
-    Indexing replaces documents by id, so a batch that is run again after a
-    failure leaves the same corpus.
+    A batch's number is kept with the version that it made, by the query's id, which lies with its checkpoint: one
+    that is run again after a failure changes nothing.
     """
 
-    def put(batch: DataFrame, _: int) -> None:
+    def put(batch: DataFrame, number: int) -> None:
         ready = batch.where("id is not null and id <> '' and coalesce(text, '') <> ''")
+        name = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or checkpoint
         if ready.head(1):
-            corpus.index(ready)
+            corpus.index(ready, batch=(name, number))
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
