@@ -25,8 +25,10 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("chat")
     a.add_argument("message")
     a.add_argument("--limit", type=int, default=5)
-    for name, alias in (("documents", "docs"), ("health", None)):
-        sub.add_parser(name, aliases=[alias] if alias else [])
+    sub.add_parser("health")
+    a = sub.add_parser("documents", aliases=["docs"], help="list documents, last updated first")
+    a.add_argument("--limit", type=int, default=100)
+    a.add_argument("--after", help="where the page before ended")
     a = sub.add_parser("delete", aliases=["rm"])
     a.add_argument("id", nargs="+")
     a = sub.add_parser("chunks")
@@ -86,7 +88,10 @@ def main(argv: list[str] | None = None) -> int:
 
         show(corpus.chat(args.message, HttpChatModel(settings.model.endpoint, settings.model.chat_model), args.limit))
     elif args.verb in ("documents", "docs"):
-        show([r.asDict() for r in corpus.documents().drop("original_text").collect()])
+        rows, after = corpus.page(args.limit, args.after)
+        show(rows)
+        if after:
+            print(f"more with --after {after!r}", file=sys.stderr)
     elif args.verb in ("delete", "rm"):
         show({"version": corpus.delete(*args.id)})
     elif args.verb == "chunks":

@@ -464,16 +464,18 @@ def get_document(spark, sf_dir):
 
 
 _PARTS = """select doc_id::varchar || case when i = 0 then '' else '_' || i::varchar end as chunk_id, doc_id::varchar as document_id, i::int as chunk_index,
-    substr(text, i::int * 40 + 1, 40) as chunk_text from documents, unnest(range(0, doc_id % 3 + 1)) t(i)"""
+    substr(text, i::int * size + 1, size) as chunk_text
+    from (select *, greatest(1, (length(text) + doc_id % 3) // (doc_id % 3 + 1))::int as size from documents), unnest(range(0, doc_id % 3 + 1)) t(i)"""
 
 
 def _parts(spark, sf_dir):
-    """One to three chunks of each document, of forty characters."""
+    """One to three chunks of each document, of like length; together they are its text."""
     rows = _texts(spark, sf_dir).select("doc_id", "text", F.explode(F.sequence(F.lit(0), (F.col("doc_id") % 3).cast("int"))).alias("chunk_index"))
-    id_ = F.col("doc_id").cast("string")
+    id_, parts = F.col("doc_id").cast("string"), F.col("doc_id") % 3 + 1
+    size = F.greatest(F.lit(1), F.floor((F.length("text") + parts - 1) / parts)).cast("int")
     return rows.select(
         F.when(F.col("chunk_index") == 0, id_).otherwise(F.concat(id_, F.lit("_"), F.col("chunk_index").cast("string"))).alias("chunk_id"),
-        id_.alias("document_id"), "chunk_index", F.col("text").substr(F.col("chunk_index") * 40 + 1, F.lit(40)).alias("chunk_text"),
+        id_.alias("document_id"), "chunk_index", F.col("text").substr(F.col("chunk_index") * size + 1, size).alias("chunk_text"),
     )
 
 

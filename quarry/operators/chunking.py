@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from itertools import batched
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.units import Chunk, Chunker, fields, pack_rows, tokens, trim
-from quarry.session import small_batches
+from quarry.operators.units import Chunk, Chunker, fields, tokens, trim
+from quarry.session import small_batches, stage
 
 CHUNK = "array<struct<chunk_index:int,chunk_text:string,start_pos:int,end_pos:int,token_count:int,chunk_type:string>>"
 _ARROW = pa.list_(
@@ -114,21 +113,119 @@ def packed_counts(text: Column, max_tokens: int = 256, overlap: int = 38) -> Col
     return T.let(F.struct(units.alias("n")), fold)
 
 
-def pack_table(rows: DataFrame, table: str, order: str, text: str, budget: int) -> DataFrame:
-    """Rendered rows of each ``table``, in ``order``, gathered into chunks of up to ``budget`` tokens.
+def _held_after(sizes: np.ndarray, states: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """What an open chunk holds after rows of ``sizes`` tokens, and how many were begun, for each of several beginnings.
 
-    Each task streams over the sorted rows of its tables and holds one chunk.
+    A state is 0 where no chunk is open, else one more than its tokens, of which all beyond the budget count alike.
     """
+    states, begun = states.copy(), np.zeros(len(states), dtype=np.int64)
+    for k, n in enumerate(sizes.tolist()):
+        over = (states > 0) & (states - 1 + n > budget)
+        begun += over
+        states = np.minimum(np.where(over | (states == 0), n, states - 1 + n), budget + 1) + 1
+        if (states == states[0]).all():  # from here on they can't differ
+            held, more = int(states[0]) - 1, 0
+            for m in sizes[k + 1 :].tolist():
+                more, held = (more + 1, m) if held + m > budget else (more, held + m)
+            return np.full(len(states), min(held, budget + 1) + 1), begun + more
+    return states, begun
 
-    def pack(batches):
-        every = ((t, row) for b in batches for t, row in zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
-        for some in batched(pack_rows(every, budget), 1000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*some), (pa.string(), pa.int32(), pa.string(), pa.int32()))],
-                names=["table_id", "chunk_index", "chunk_text", "token_count"],
-            )
 
-    small_batches(rows.sparkSession)
+def pack_table(rows: DataFrame, table: str, order: str, text: str, budget: int) -> DataFrame:
+    """Rendered rows of each ``table``, in ``order``, gathered into chunks of up to ``budget`` tokens: ``(table_id, chunk_index, chunk_text, token_count)``.
+
+    A table may be far larger than a task: rows are dealt by ranges of (table, order). Where a table goes on from one range to
+    the next, what its open chunk would hold at the end is worked out for everything that it may hold at the beginning (a
+    number for each token of the budget); these, a row for each range, are chained on the driver, and then each range is packed
+    from what it really begins with. Chunks that cross ranges are joined from their pieces.
+    """
+    spark = rows.sparkSession
+    small_batches(spark)
     slim = rows.select(F.col(table).cast("string").alias("t"), F.col(text).alias("row"), F.col(order).cast("long").alias("o"))
-    dealt = slim.repartition("t").sortWithinPartitions("t", "o").select("t", "row")
-    return dealt.mapInArrow(pack, "table_id string, chunk_index int, chunk_text string, token_count int")
+    slim = slim.withColumn("n", F.coalesce(T.token_count(F.col("row")), F.lit(0)))
+    placed = slim.repartitionByRange("t", "o").sortWithinPartitions("t", "o").withColumn("m", F.monotonically_increasing_id())
+    placed = stage(placed.select("t", "row", "n", "m"), "rows")
+    p = F.shiftright("m", 33).cast("int")
+    ranges = int(placed.agg(F.max(p)).first()[0] or 0) + 1
+    in_order = lambda df: df.repartitionById(ranges, p).sortWithinPartitions("m")
+    every = np.arange(budget + 3)
+
+    def segments(batches):
+        """Runs ``(range, table, batch)`` of rows of one range and table."""
+        for b in batches:
+            own, of = b.column("t").to_pylist(), (b.column("m").to_numpy() >> 33).tolist()
+            cuts = [0, *[k for k in range(1, len(own)) if own[k] != own[k - 1] or of[k] != of[k - 1]], len(own)]
+            for k, e in zip(cuts, cuts[1:]):
+                if k < e:
+                    yield of[k], own[k], b.slice(k, e - k)
+
+    def edges(batches):
+        now = None
+        for at, t, b in segments(batches):
+            sizes = b.column("n").to_numpy()
+            if now is None or now["p"] != at:
+                if now is not None:
+                    yield made(now)
+                now = {"p": at, "first": t, "whole": True, "out": every, "begun": np.zeros(len(every), np.int64), "last": t}
+            elif t != now["last"]:
+                now |= {"whole": False, "last": t, "state": np.zeros(1, np.int64), "index": np.zeros(1, np.int64)}
+            if now["whole"]:
+                now["out"], more = _held_after(sizes, now["out"], budget)
+                now["begun"] = now["begun"] + more
+            else:
+                now["state"], more = _held_after(sizes, now["state"], budget)
+                now["index"] = now["index"] + more
+        if now is not None:
+            yield made(now)
+
+    def made(e: dict) -> pa.RecordBatch:
+        ends = (e["out"], e["begun"]) if e["whole"] else (e["state"], e["index"])
+        row = {"p": e["p"], "first": e["first"], "last": e["last"], "whole": e["whole"], "state": ends[0].tolist(), "begun": ends[1].tolist()}
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+        return pa.record_batch({k: pa.array([v], t) for (k, v), t in zip(row.items(), kinds)})
+
+    found = in_order(placed.select("t", "n", "m")).mapInArrow(edges, "p int, first string, last string, whole boolean, state array<long>, begun array<long>")
+    begins: dict[int, tuple[int, int]] = {}
+    before, state, index = object(), 0, 0
+    for e in found.orderBy("p").collect():  # a row for each range
+        begins[e.p] = (state, index) if e["first"] == before else (0, 0)
+        k = begins[e.p][0] if e.whole else 0
+        state, index, before = e.state[k], e.begun[k] + (begins[e.p][1] if e.whole else 0), e["last"]
+
+    def pack(batches):
+        at, t, held, index, part, first, seam = None, None, 0, 0, [], 0, False
+        out: list[tuple] = []
+
+        def close(open_end: bool) -> None:
+            if part:
+                out.append((t, index, "".join(part), held, first, seam or open_end))
+
+        for now, own, b in segments(batches):
+            if now != at or own != t:
+                close(now != at)
+                s, index = begins[now] if now != at else (0, 0)
+                at, t, part, held, seam = now, own, [], max(0, s - 1), s > 0
+            for row, n, m in zip(b.column("row").to_pylist(), b.column("n").to_pylist(), b.column("m").to_pylist()):
+                if (part or seam) and held + n > budget:
+                    close(False)
+                    index, held, part, seam = index + 1, 0, [], False
+                if not part:
+                    first = m
+                part.append(row or "")
+                held += n
+            if len(out) >= 1000:
+                yield from pieces(out)
+                out = []
+        close(True)
+        yield from pieces(out)
+
+    def pieces(out: list[tuple]):
+        if out:
+            kinds = {"table_id": pa.string(), "chunk_index": pa.int32(), "chunk_text": pa.string(), "held": pa.int64(), "m": pa.int64(), "seam": pa.bool_()}
+            yield pa.record_batch({k: pa.array(v, kind) for (k, kind), v in zip(kinds.items(), zip(*out))})
+
+    packed = stage(in_order(placed).mapInArrow(pack, "table_id string, chunk_index int, chunk_text string, held long, m long, seam boolean"), "packed")
+    parts = F.array_sort(F.collect_list(F.struct("m", "chunk_text")))
+    joined = packed.where("seam").groupBy("table_id", "chunk_index").agg(F.array_join(F.transform(parts, lambda x: x["chunk_text"]), "").alias("chunk_text"))
+    whole = packed.where("not seam").select("table_id", "chunk_index", "chunk_text").unionByName(joined)
+    return whole.withColumn("token_count", T.token_count(F.col("chunk_text")))

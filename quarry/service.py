@@ -69,8 +69,9 @@ class Verbs:
         return self.corpus.chat(message, self.model, limit_of(int(args.get("limit") or 0), 20, 5))
 
     def documents(self, args: dict) -> dict:
-        rows = self.corpus.documents().drop("original_text").collect()
-        return {"documents": [r.asDict() for r in rows]}
+        """A page of the listing, and where the next one begins."""
+        rows, after = self.corpus.page(limit_of(int(args.get("limit") or 0), 1000, 100), args.get("after"))
+        return {"documents": rows, "next": after}
 
     def document(self, args: dict) -> dict:
         return self.corpus.document(*self.need(args, "document_id"))
@@ -92,9 +93,10 @@ class Verbs:
         return page(found["id"], f"<pre>{escape(found['original_text'])}</pre>")
 
     def list_page(self, args: dict) -> tuple[str, bytes]:
-        rows = self.corpus.documents().select("id", "doc_type", "chunk_count").limit(1000).collect()
-        items = "".join(f'<li><a href="/view/{quote(r.id, safe="")}">{escape(r.id)}</a> {escape(r.doc_type or "")} {r.chunk_count}</li>' for r in rows)
-        return page("Documents", f"<ul>{items}</ul>")
+        rows, after = self.corpus.page(100, args.get("after"))
+        items = "".join(f'<li><a href="/view/{quote(r["id"], safe="")}">{escape(r["id"])}</a> {escape(r["doc_type"] or "")} {r["chunk_count"]}</li>' for r in rows)
+        more = f'<p><a href="/documents?after={quote(after, safe="")}">More</a></p>' if after else ""
+        return page("Documents", f"<ul>{items}</ul>{more}")
 
     def search_page(self, args: dict) -> tuple[str, bytes]:
         form = '<form><input name="query"><button>Search</button></form>'

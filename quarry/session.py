@@ -112,7 +112,8 @@ def size_of(df: DataFrame) -> int:
 def together(*jobs: Callable[[], object]) -> list:
     """The results of independent jobs, which run side by side."""
     with ThreadPoolExecutor(max(1, len(jobs))) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(j)) for j in jobs]]
+        wrap = inheritable_thread_target(SparkSession.getActiveSession())
+        return [f.result() for f in [pool.submit(wrap(j)) for j in jobs]]
 
 
 def limited(df: DataFrame, rows: int = 500_000) -> DataFrame:

@@ -10,13 +10,16 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from quarry.catalogue import _PHRASE, _first_vector, _fields, _q, _read, _texts, _vectors, query
+from quarry.catalogue import _PHRASE, _cut, _fields, _first_vector, _q, _read, _texts, _trim, _vectors, query
 from quarry.embed import EmbeddingCache, HashingEmbedder
+from quarry.functions import text as T
 from quarry.ids import number_of, numbered_id, numbered_sql
 from quarry.operators import catalog
 from quarry.operators.vector_index import VectorIndex
 from quarry.plans.corpus import Corpus
-from quarry.session import shared_dir
+from quarry.operators.pages import page_row_chunks
+from quarry.session import shared_dir, small_batches
+from quarry.sources import large
 
 
 def _once(spark: SparkSession, kind: str, sf_dir: str, make):
@@ -111,6 +114,37 @@ def readable_ids(spark, sf_dir):
     return made.withColumn("back", number_of(F.col("id")))
 
 
+@query("select doc_id, md5(coalesce(text, '')) as text_md5, coalesce(lang, '') as lang, 3 as fields from documents")
+def csv_records(spark, sf_dir):
+    """All documents, written as one CSV file and read again by ranges of it; line ends and quotes within texts are quoted."""
+
+    def make(at: str):
+        docs = _read(spark, sf_dir, "documents").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("doc_id", "lang", "text")])
+        docs.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", '""').csv(at)
+        return at
+
+    rows = large.csv_records(spark, _once(spark, "csv", sf_dir, make)).where("record > 1 and error is null")
+    cell = lambda k: F.get("fields", F.lit(k))
+    return rows.select(cell(0).cast("long").alias("doc_id"), F.md5(cell(2).cast("binary")).alias("text_md5"), cell(1).alias("lang"), F.size("fields").alias("fields"))
+
+
+_TURN_CONTEXT = f"array_to_string(list_transform(string_split({_trim('before')}, '. ')[-2:], lambda x: x), '. ')"
+
+
+@query(
+    f"""with p as (select conv_id::varchar as document_id, turn::bigint as page_number, text from conversations where {_trim("coalesce(text, '')")} <> ''),
+    l as (select *, lag(text) over (partition by document_id order by page_number) as before from p),
+    c as (select *, {_TURN_CONTEXT} as context from l)
+    select document_id, page_number, md5(case when before is null or context = '' then text
+      else '(Previous context: ' || case when strlen(context) > 200 then ({_cut("context", 200)}) || '...' else context end || ') ' || text end) as chunk_md5 from c"""
+)
+def page_rows(spark, sf_dir):
+    """Turns as pages of a book for each conversation: a page's chunk begins with the end of the page before."""
+    pages = _read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("document_id"), F.col("turn").alias("page_number"), "text")
+    made = page_row_chunks(pages)
+    return made.select("document_id", "page_number", F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
+
+
 _TERMS = _fields(f"lower({_q(_PHRASE)})")
 _SCORE = f"""(len(list_filter({_TERMS}, lambda w: contains(lower(text), w))) / len({_TERMS})
     + case when contains(lower(text), array_to_string({_TERMS}, ' ')) then 0.3 else 0.0 end)"""
@@ -153,6 +187,19 @@ def vector_topk_pruned(spark, sf_dir):
     return index.search(first, 10).select("document_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), {_q(T.TOKEN)})) as w from documents),
+    n as (select doc_id, (('0x' || substr(md5(w), 1, 8))::bigint % 64)::int as slot, count(*) as n from w group by all)
+    select doc_id, slot, round(n / sqrt(sum(n * n) over (partition by doc_id)), 4) as value from n"""
+)
+def hashing_vectors(spark, sf_dir):
+    """All components of the hashed vectors that are not zero."""
+    small_batches(spark)
+    vectors = _texts(spark, sf_dir).select("doc_id", HashingEmbedder(64).column(F.col("text")).alias("v"))
+    parts = vectors.select("doc_id", F.posexplode("v").alias("slot", "value")).where("value <> 0")
+    return parts.select("doc_id", "slot", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 _AT = "timestamp '2024-01-01 00:00:00' + to_seconds((doc_id % 500)::bigint)"
 
 

@@ -42,7 +42,7 @@ def size(path):
 def test_against_a_dict(spark, tmp_path):
     """Rounds of changes, with compaction and expiry between them, beside a plain dict; old versions stay readable."""
     store, plain, rng, old = Store(spark, str(tmp_path / "s"), KINDS), {}, random.Random(2), {}
-    for step in range(9):
+    for step in range(7):
         if step % 4 == 3:
             gone = rng.sample(sorted(plain), 3)
             drop(store, spark, *gone, "never there")
@@ -276,3 +276,26 @@ def test_pages_of_the_listing(spark, tmp_path):
         if after is None:
             break
     assert seen == [r.id for r in c.documents().collect()] and seen[:2] == ["d3", "e"] and "original_text" not in rows_[0]
+
+
+def test_content_files(spark, tmp_path):
+    from quarry.functions import text as T
+    from quarry.operators import catalog
+
+    texts = {"a": "one\ntwo", "b c": "é \r\n x", "d": ""}
+    docs = spark.createDataFrame(list(texts.items()), "id string, original_text string").withColumn("content_hash", T.content_hash(F.col("original_text")))
+    made = catalog.write_content_files(docs, str(tmp_path / "out")).collect()
+    assert {r.file_path.rsplit("/", 1)[1] for r in made} == {f"file_name={r.id}_{r.content_hash[:8]}.txt.gz" for r in docs.collect()}
+    read = spark.read.option("lineSep", "\x00").text(str(tmp_path / "out")).collect()
+    assert {(r.file_name.split("_")[0], r.value) for r in read} == set(texts.items())
+
+
+def test_source_path(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"), HashingEmbedder(16), keywords=False)
+    c.index(spark.createDataFrame([("a", "one company"), ("b", "two")], "id string, text string"))
+    c.update_source_path("a", "/new/place")
+    assert {r.id: r.source_path for r in c.documents().collect()} == {"a": "/new/place", "b": None}
+    with pytest.raises(KeyError):
+        c.update_source_path("none", "x")
+    assert "postings" not in c.manifest()["tables"] and c.search_words("company").first().document_id == "a"
+    assert {r.operation for r in c.metrics().collect()} == {"index"}
