@@ -3,13 +3,13 @@
 The canonical form is lower-cased, has no copyright lines, single spaces for
 whatever is neither letter nor digit, and one spelling of equivalent words; the
 digest is its SHA-256. The table of known digests is fixed and small, so it is
-broadcast. It knows as whole texts MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause and
+broadcast. It knows as whole texts MIT, ISC, 0BSD, BSD-2-Clause, BSD-3-Clause, Unlicense, BSL-1.0 and
 Zlib; by the digest of the published text Apache-2.0, Artistic-1.0-Perl, CC0-1.0,
 GFDL-1.3, GPL-1.0 to 3.0, LGPL-2.0 to 3.0, MPL-1.1 and 2.0; and 8 notice lines. Other
 licences, and copies with other phrases than ``SPELLINGS`` equates (say, another
 address of the publisher), have no ``license``. A text that is not a licence as a whole may still hold
 lines that are notices; lines with ``licen`` in any case, as every known notice
-has, get the same form and are looked up likewise.
+has, get the same form, and their distinct digests are joined likewise.
 
 Cases: a null text has a null digest and no licence; an empty text, or one of
 copyright lines and punctuation alone, has the digest of the empty form, which is
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.licenses import DIGESTS, NOTICES, SPELLINGS, TEXTS
+from quarry.session import limited, stage
 
 #: Copyright lines, lower-cased: the word with a sign, a year, "by" or a place to fill in after it, or a sign that begins a notice.
 #: The word alone also begins lines of prose ("copyright holders and contributors").
@@ -64,22 +65,15 @@ def scan(docs: DataFrame, texts: list[tuple[str, str]] = TEXTS + NOTICES, notice
     """``(doc_id, digest, license, notices)``: the licence that a text is, and those its lines name (joined by commas)."""
     spark = docs.sparkSession
     table = known(spark, texts, digests).select(F.col("digest").alias("_digest"), "license")
-    by_digest = {r.digest: r.license for r in known(spark, notices).collect()}
-
-    def licence_of(own: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for d in sorted(by_digest):
-            out = F.when(own == d, by_digest[d]).otherwise(out)
-        return out
-
-    def named(line: Column) -> Column:
-        return F.get(F.transform(F.array(digest(line)), licence_of), 0)
-
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike("(?i)licen"))
-    found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, named), lambda x: x.isNotNull())))
-    own = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.when(F.col("text").rlike("(?i)licen"), F.array_join(found, ",")).otherwise("").alias("notices"))
-    out = own.join(F.broadcast(table), F.col("digest") == F.col("_digest"), "left")
-    return out.select("doc_id", "digest", "license", F.when(F.col("digest").isNotNull(), F.col("notices")).otherwise("").alias("notices"))
+    marks = F.when(F.col("text").rlike("(?i)licen"), F.array_distinct(F.transform(lines, digest)))
+    # texts become digests once; what follows joins these
+    own = stage(docs.select(F.monotonically_increasing_id().alias("_k"), "doc_id", digest(F.col("text")).alias("digest"), marks.alias("_marks")), "digests")
+    notice = known(spark, notices).select(F.col("digest").alias("_mark"), F.col("license").alias("_name"))
+    held = own.select("_k", F.explode("_marks").alias("_mark")).join(F.broadcast(notice), "_mark")
+    named = held.groupBy("_k").agg(F.array_join(F.array_sort(F.collect_set("_name")), ",").alias("notices"))
+    out = own.join(F.broadcast(table), F.col("digest") == F.col("_digest"), "left").join(limited(named), "_k", "left")
+    return out.select("doc_id", "digest", "license", F.coalesce("notices", F.lit("")).alias("notices"))
 
 
 def _quoted(s: str) -> str:
