@@ -112,7 +112,8 @@ def size_of(df: DataFrame) -> int:
 def together(*jobs: Callable[[], object]) -> list:
     """The results of independent jobs, which run side by side."""
     with ThreadPoolExecutor(max(1, len(jobs))) as pool:
-        wrap = inheritable_thread_target(SparkSession.getActiveSession())
+        session = SparkSession.getActiveSession()
+        wrap = inheritable_thread_target(session) if session is not None else lambda j: j
         return [f.result() for f in [pool.submit(wrap(j)) for j in jobs]]
 
 

@@ -116,7 +116,7 @@ def test_a_change_adds_files_and_old_versions_go(spark, tmp_path):
     assert c.documents().count() == 38 and c.expire(1) == 2 and c.expire(1) == 0
     assert c.documents().count() == 38 and c.table("chunks").count() == 38
     used = {p.split("/")[0] for t in c.manifest()["tables"].values() for f, e in t.items() for p in (f, *(g for g, _ in e.get("gone", [])))}
-    assert {p.name for p in (tmp_path / "c").iterdir()} == used | {"versions"}
+    assert {p.name for p in (tmp_path / "c").iterdir()} == used | {"versions", "metrics"}
 
 
 def test_files_that_fail_are_reported(spark, tmp_path):
