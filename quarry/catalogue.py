@@ -542,9 +542,15 @@ def detect_doc_type(spark, sf_dir):
     return _read(spark, sf_dir, "pages").select("page_id", T.doc_type(path).alias("doc_type"), T.parser_of(path).alias("parser"))
 
 
-@query("select page_id, true as supported from pages")
+@query(
+    f"""with e as (select page_id, lower(regexp_extract(regexp_replace(url, '[?#].*', ''), '(\\.[^./]*)\\z', 1)) as e from pages), k as (select page_id, {_TYPE} as k from e)
+    select page_id, k <> 'unknown' as known, k in ({", ".join(map(_q, T.PARSED))}) as own_parser, k in ({", ".join(map(_q, T.PARSED))}) or {"txt" in T.PARSED} as supported from k"""
+)
 def supported_pages(spark, sf_dir):
-    return _read(spark, sf_dir, "pages").select("page_id", T.is_supported(F.regexp_replace("url", "[?#].*", "")).alias("supported"))
+    """Whether a page's format is known, has a parser of its own, and can be indexed (as text, where it has none)."""
+    path = F.regexp_replace("url", "[?#].*", "")
+    own = T.doc_type(path).isin(*T.PARSED)
+    return _read(spark, sf_dir, "pages").select("page_id", T.is_known(path).alias("known"), own.alias("own_parser"), T.is_supported(path).alias("supported"))
 
 
 @query("select c_custkey, c_custkey % 4 <> 0 or c_acctbal > 0 as has_data from customer")
