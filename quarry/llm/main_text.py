@@ -139,7 +139,7 @@ class Features:
         for i, block in enumerate(found):
             out[i, :a] = self.path(block.path)
             text = block.text
-            words = text[:200].split(" ")  # of a feature, not of what is extracted
+            words = text.split(" ")
             slots += [2 * self.word_slots * i + self.word(w) for w in words]
             size = len(text)
             stops = text.count(".") + text.count(",") + text.count("?") + text.count("!")
@@ -316,7 +316,7 @@ def _plain(rng: random.Random) -> tuple[str, ...]:
 
 def interrupted(found: list[Block], labels: list[int], rng: random.Random) -> tuple[list[Block], list[int]]:
     """A marked page with other parts put between the blocks of its article, and one beside it."""
-    texts, out, marks = [b.text[:1500] for b in found], [], []
+    texts, out, marks = [b.text for b in found], [], []
     for b, y in zip(found, labels):
         if y and rng.random() < 0.25:
             top = next(k for k, f in enumerate(b.path) if f[0] in ("article", "main") or "articlebody" in f[1:])
@@ -378,7 +378,7 @@ def lesson(pages: list[str], own: Settings) -> list[tuple[list[Block], list[int]
         if found:
             labels = taught(found)
             out += [(found, labels), interrupted(found, labels, rng)] if labels is not None else []
-            texts.append([b.text[:1500] for b in found])
+            texts.append([b.text for b in found])
     return out + [layout(texts[k % len(texts)], rng) for k in range(own.layouts) if texts]
 
 

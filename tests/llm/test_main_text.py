@@ -97,6 +97,18 @@ def test_held_out_layouts(spark, small, model):
     assert (y == z).mean() > 0.95
 
 
+def test_every_word_of_a_block_counts():
+    """Blocks that differ only after thousands of characters have different features; so have those of lessons."""
+    make = main_text.Features(16, 8)
+    same = "one two " * 2_000
+    a, b = (main_text.Block((("p",),), same + end, 0) for end in ("words", "texts"))
+    v = make.page([a, b])[:, 16:24]
+    assert abs(v[0] - v[1]).max() > 0
+    page = f"<article><p>{same}words</p></article><div class='ad'><p>{same}words</p></div>"
+    found = main_text.lesson([page], main_text.Settings(layouts=40))
+    assert any(block.text == f"{same}words" for blocks_, _ in found[2:] for block in blocks_)
+
+
 def test_a_page_without_article(spark, model):
     html = """<html><body><div id="cookie-notice"><p>We use cookies. Accept all</p></div><div class="navbar"><ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul></div>
     <div class="post-content"><h1>The river rose</h1><p>The river rose by two metres in one night, and the town woke to water in the streets.</p>
