@@ -20,6 +20,7 @@ from quarry.session import small_batches
 
 _SAMPLE = 20_000
 _MOST_PIVOTS = 2048
+_CELLS = 1 << 19  # products of vectors and pivots held at a time
 _SLACK = 1e-6  # for rounding, on distances of at most 2
 
 
@@ -35,8 +36,13 @@ def _units(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _nearest(m: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest pivot, and the distance to it."""
-    near = np.concatenate([(m[k : k + 4096] @ pivots.T - 0.5 * np.einsum("ij,ij->i", pivots, pivots)).argmax(axis=1) for k in range(0, len(m), 4096)] or [np.zeros(0, np.int64)])
-    return near, np.sqrt(np.square(m - pivots[near]).sum(axis=1))
+    near, d, half = np.zeros(len(m), np.int64), np.zeros(len(m)), 0.5 * np.einsum("ij,ij->i", pivots, pivots)
+    step = max(1, _CELLS // max(1, pivots.size // pivots.shape[1], pivots.shape[1]))
+    for k in range(0, len(m), step):
+        part = m[k : k + step]
+        near[k : k + step] = at = (part @ pivots.T - half).argmax(axis=1)
+        d[k : k + step] = np.sqrt(np.square(part - pivots[at]).sum(axis=1))
+    return near, d
 
 
 class VectorIndex:
@@ -56,6 +62,7 @@ class VectorIndex:
         def found(batches):
             parts = [_units(b.column("embedding"), dim)[1] for b in batches]
             m = np.concatenate(parts) if parts else np.zeros((0, dim))
+            del parts
             at = m[np.random.default_rng(seed).permutation(len(m))[:k]]
             for _ in range(4 if len(at) else 0):
                 near, _d = _nearest(m, at)

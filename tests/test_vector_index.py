@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import search
-from quarry.operators.vector_index import VectorIndex
+from quarry.operators.vector_index import VectorIndex, _nearest
 
 SCHEMA = "chunk_id long, document_id long, embedding array<float>"
 
@@ -46,6 +48,20 @@ def test_random_and_odd_vectors(spark, tmp_path, pivots):
     assert index.search([0.0] * 5, 3).count() == 0
 
 
+def test_memory_does_not_grow_with_pivots():
+    """Products are held for a bounded number of vectors and pivots at a time, and give the same groups."""
+    rng = np.random.default_rng(6)
+    m, pivots = rng.normal(size=(8192, 16)), rng.normal(size=(2048, 16))
+    tracemalloc.start()
+    near, d = _nearest(m, pivots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20
+    some = slice(0, 8192, 97)
+    every = np.sqrt(np.square(m[some, None] - pivots[None]).sum(axis=2))
+    assert (near[some] == every.argmin(axis=1)).all() and np.allclose(d[some], every.min(axis=1))
+
+
 def test_empty(spark, tmp_path):
     index = VectorIndex(spark, str(tmp_path / "v")).build(spark.createDataFrame([], SCHEMA), 5)
     assert index.search([1.0] * 5, 3).count() == 0 and index.read == (0, 0)
