@@ -116,11 +116,11 @@ def readable_ids(spark, sf_dir):
 
 @query("select doc_id, md5(coalesce(text, '')) as text_md5, coalesce(lang, '') as lang, 3 as fields from documents")
 def csv_records(spark, sf_dir):
-    """All documents, written as one CSV file and read again by ranges of it; line ends and quotes within texts are quoted."""
+    """All documents, written as CSV files, one by each task, and read again by ranges of them; line ends and quotes within texts are quoted."""
 
     def make(at: str):
         docs = _read(spark, sf_dir, "documents").select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("doc_id", "lang", "text")])
-        docs.coalesce(1).write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", '""').csv(at)
+        docs.write.option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", '""').csv(at)
         return at
 
     rows = large.csv_records(spark, _once(spark, "csv", sf_dir, make)).where("record > 1 and error is null")

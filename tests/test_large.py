@@ -9,6 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.catalogue import QUERIES
 from quarry.operators.chunking import pack_table
 from quarry.operators.units import pack_rows
 from quarry.sources.files import CsvParser
@@ -47,6 +48,15 @@ def test_records_of_ranges(spark, tmp_path, end, size):
         assert made == [(i, c.text, c.token_count, c.kind) for i, (c, _) in enumerate(parser.chunks(data))]
 
 
+def test_documents_are_written_by_all_tasks(spark, small, tmp_path):
+    """No task holds the whole table: as many CSV files as the input has parts, with the same rows as one."""
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = sorted(map(tuple, QUERIES["csv_records"](spark, str(tmp_path)).collect()))
+    files = spark.read.format("binaryFile").load(spark.sparkContext._quarry_made["csv", str(tmp_path)]).count()
+    assert files == 3 and rows == sorted(map(tuple, QUERIES["csv_records"](spark, small).collect())) and len(rows) == docs.count()
+
+
 def test_records_with_errors(spark, tmp_path):
     (tmp_path / "a.csv").write_text('a,b\n1,2\n\n3\n"4"x,5\n6,7')
     got = sorted((r.record, r.fields, bool(r.error)) for r in csv_records(spark, str(tmp_path)).collect())
