@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.plans.store import Store, Table
-from quarry.session import ship, small_batches, stage
+from quarry.session import limited, ship, small_batches, stage
 
 
 _WORD = re.compile(T.TOKEN)
@@ -175,13 +175,18 @@ class EmbeddingCache:
         small_batches(self.spark, rows=500)
         digest = F.when(F.coalesce(text, F.lit("")) != "", F.sha2(F.concat(F.lit(name_of(embedder) + "\n"), F.col(text)), 256))
         keyed = texts.withColumn("_digest", digest)
-        asked = keyed.where("_digest is not null").groupBy("_digest").agg(F.first(text).alias("_t"), F.count("*").alias("requests"))
-        asked = stage(asked.withColumnRenamed("_digest", "digest"), "asked")
+        # what is asked is known by digests; of texts only those that are new are moved, once
+        asked = keyed.where("_digest is not null").groupBy(F.col("_digest").alias("digest")).agg(F.count("*").alias("requests"))
+        asked = stage(asked, "asked")
         state = self.store.state()
         known = self.store.matching("vectors", state, asked.select("digest")).select("digest", "embedding").dropDuplicates(["digest"])
         known = stage(known, "known")
-        fresh = asked.join(known, "digest", "left_anti").select("digest", embedder.column(F.col("_t")).alias("embedding"))
-        fresh = stage(fresh, "fresh")
+        rows = keyed.where("_digest is not null").select(F.col("_digest").alias("digest"), F.col(text).alias("_t"))
+        if known.head(1):
+            new = asked.join(known, "digest", "left_anti").select("digest")
+            rows = rows.join(limited(stage(new, "new")), "digest", "left_semi")
+        each = rows.groupBy("digest").agg(F.first("_t").alias("_t"))
+        fresh = stage(each.select("digest", embedder.column(F.col("_t")).alias("embedding")), "fresh")
         hit = F.col("_hit").isNotNull()
         uses = asked.join(known.select("digest", F.lit(True).alias("_hit")), "digest", "left").select("digest", "requests", hit.alias("hit"))
         ready = self.store.write("vectors", fresh.where("embedding is not null").withColumn("bytes", F.lit(4) * F.size("embedding") + 64))
