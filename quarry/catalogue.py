@@ -666,8 +666,8 @@ def embed_distinct(spark, sf_dir):
     """Every chunk gets its vector, though each distinct text is embedded once."""
     docs = _texts(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("chunk_text"))
     vectors = embed_chunks(docs, HashingEmbedder(64)).where("size(embedding) = 64")
-    joined = vectors.join(docs, "chunk_id")
-    return joined.agg(F.count("*").alias("chunks"), F.count_distinct("chunk_text").alias("texts"))
+    joined = vectors.join(docs.select("chunk_id", F.sha2("chunk_text", 256).alias("digest")), "chunk_id")
+    return joined.agg(F.count("*").alias("chunks"), F.count_distinct("digest").alias("texts"))
 
 
 # prompts

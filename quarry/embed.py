@@ -21,6 +21,8 @@ from quarry.session import limited, ship, small_batches, stage
 
 
 _WORD = re.compile(T.TOKEN)
+_WORD_BYTES = re.compile(T.TOKEN.encode())
+_KEPT_WORDS = 200_000
 
 
 class Embedder(Protocol):
@@ -36,10 +38,26 @@ def slot(token: Column, dim: int) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("bigint"), F.lit(dim))
 
 
+class _Places(dict):
+    """Words' places in a hashed vector, as ``slot`` has them; at most ``_KEPT_WORDS`` are kept."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        self[word] = at = int(hashlib.md5(word).hexdigest()[:8], 16) % self.dim
+        return at
+
+    def __reduce__(self):
+        return _Places, (self.dim,)
+
+
 class HashingEmbedder:
     """Counts of lower-cased words, hashed into ``dim`` places and scaled to length 1.
 
-    Words are found and hashed inside the JVM; the places are counted in one Arrow pass.
+    Texts cross once, as bytes; a worker keeps the places of the words that it has met, up to a bound.
     """
 
     def __init__(self, dim: int = 64):
@@ -49,18 +67,20 @@ class HashingEmbedder:
         return F.transform(T.tokens(F.lower(text)), lambda w: slot(w, self.dim))
 
     def column(self, text: Column) -> Column:
-        dim = self.dim
+        dim, places = self.dim, _Places(self.dim)
 
         @F.arrow_udf("array<float>")
-        def counted(slots: pa.Array) -> pa.Array:
-            n = slots.value_lengths().fill_null(0).to_numpy()
-            flat = slots.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            m = np.bincount(np.repeat(np.arange(len(n)), n) * dim + flat, minlength=len(n) * dim).reshape(len(n), dim)
+        def counted(texts: pa.Array) -> pa.Array:
+            m = np.zeros((len(texts), dim))
+            for k, t in enumerate(texts):
+                words = re.findall(_WORD_BYTES, t.as_buffer())
+                if words:
+                    m[k] = np.bincount([places[w] for w in words], minlength=dim)
             m = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).astype(np.float32)
-            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * dim)
+            offsets = pa.array(np.arange(len(m) + 1, dtype=np.int32) * dim)
             return pa.ListArray.from_arrays(offsets, pa.array(m.ravel(), pa.float32()))
 
-        return counted(self.slots(F.coalesce(text, F.lit(""))))
+        return counted(F.lower(F.coalesce(text, F.lit(""))).cast("binary"))
 
     def query(self, text: str) -> list[float]:
         counts = np.zeros(self.dim)
@@ -251,11 +271,11 @@ class EmbeddingCache:
 def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text", cache: EmbeddingCache | None = None) -> DataFrame:
     """``(chunk_id, document_id, embedding)``; each distinct processed text is embedded once, and not at all if ``cache`` has it."""
     small_batches(chunks.sparkSession, rows=500)
-    ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t")).where("_t <> ''")
+    ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t"))
     if cache is not None:
-        return cache.embed(ready, embedder, "_t").where("embedding is not null").select("chunk_id", "document_id", "embedding")
-    keyed = ready.withColumn("_key", F.sha2("_t", 256))
-    # texts are shuffled once, to find the distinct ones; vectors go back to their chunks by digest
+        return cache.embed(ready.where("_t <> ''"), embedder, "_t").where("embedding is not null").select("chunk_id", "document_id", "embedding")
+    # texts are processed once, and shuffled once, to find the distinct ones; vectors go back to their chunks by digest
+    keyed = stage(ready.withColumn("_key", F.sha2("_t", 256)), "keyed").where("_t <> ''")
     each = keyed.groupBy("_key").agg(F.first("_t").alias("_t")).select("_key", embedder.column(F.col("_t")).alias("embedding"))
     return keyed.select("chunk_id", "document_id", "_key").join(each, "_key").select("chunk_id", "document_id", "embedding")
 
