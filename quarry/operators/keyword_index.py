@@ -1,8 +1,8 @@
 """Keyword search by an inverted index, with the same answers as a scan of all texts.
 
 A query's terms hold no white space, so a text holds a term exactly if one of its words does. Two tables
-answer that: the words' n-grams of one to three characters, and the documents of each word. A term's own n-grams lead to the
-words that hold all of them, of which those that really hold the term lead to documents. Texts are read for one purpose
+answer that: the distinct words, each once, and the documents of each word. The words are scanned for a term's n-grams of up to three
+characters (or these are looked up in a table of them); words that really hold the term lead to documents. Texts are read for one purpose
 only, to look for the whole phrase where a document holds every one of several terms.
 """
 
@@ -42,6 +42,12 @@ def grams_of(words: DataFrame) -> DataFrame:
     return words.select("word").distinct().select(F.explode(_grams(F.col("word"))).alias("gram"), "word")
 
 
+def words_with(words: DataFrame, grams: list[str]) -> DataFrame:
+    """``(gram, word)`` of the words of ``words(word)`` that hold some of ``grams``, by a scan of them."""
+    held = F.filter(F.array(*[F.lit(g) for g in grams]), lambda g: F.col("word").contains(g))
+    return words.select(F.explode(held).alias("gram"), "word")
+
+
 def terms_of(spark, query: str) -> list[str]:
     """A query's terms, as the scan has them."""
     return list(spark.range(1).select(T.fields(F.lower(F.lit(query)))).first()[0])

@@ -23,8 +23,8 @@ from quarry.functions import text as T
 from quarry.operators import catalog, keyword_index, search
 from quarry.operators.chunking import chunk_documents
 from quarry.plans.chat import ChatModel, answer
-from quarry.plans.store import Change, Store, Table
-from quarry.session import release, stage, together
+from quarry.plans.store import HASH, Change, Store, Table
+from quarry.session import limited, release, stage, together
 from quarry.sources import files as sources
 
 TABLES = {name: Table(columns, schemas.KEYS[name]) for name, columns in schemas.TABLES.items()}
@@ -74,7 +74,7 @@ class Corpus:
 
     def compact(self, most_parts: int = 8, most_gone: float = 0.2) -> dict[str, int]:
         """Merge what many changes have left in pieces; how many files, by table. It may run beside other writers."""
-        merges = {"postings": _netted, "grams": lambda rows: rows.distinct()}
+        merges = {"postings": lambda rows: _netted(rows, HASH), "words": lambda rows: rows.distinct()}
         return {name: self.store.compact(name, most_parts, most_gone, merges.get(name)) for name in TABLES}
 
     def expire(self, keep: int = 2) -> int:
@@ -129,7 +129,7 @@ class Corpus:
         if bad:
             raise ValueError("a document without id or text")
         # of rows that share an id the one with the smallest text counts
-        rows = docs.select(F.col("id").cast("string").alias("id"), "text").groupBy("id").agg(F.min("text").alias("text"))
+        rows = _smallest(docs.select(F.col("id").cast("string").alias("id"), "text"))
         chunks = chunk_documents(rows, "text", "id", self.max_tokens, self.overlap).withColumn("page_number", F.lit(None).cast("int"))
         return self._put(rows.withColumns({"source_path": F.lit(None).cast("string"), "doc_type": F.lit(doc_type)}), chunks, batch=batch)
 
@@ -203,12 +203,15 @@ class Corpus:
         """Keep the keyword index: words that came into documents and words that left them; both tables are ``(id, text)``."""
         if not self.keywords:
             return
-        words = self._words(old, -1)
-        if new is not None:
-            words = words.unionByName(self._words(new, 1))
-        turned = stage(words.groupBy("word", "document_id").agg(F.sum("n").cast("int").alias("n")).where("n <> 0"), "turned")
-        grams = keyword_index.grams_of(turned.where("n > 0"))
-        both = [lambda: self.store.append("postings", change, turned), lambda: self.store.append("grams", change, grams)]
+        if new is None:
+            turned = self._words(old, -1)
+        elif old.head(1):
+            turned = _netted(self._words(old, -1).unionByName(self._words(new, 1)))
+        else:  # nothing to take back: a document's words are distinct as they are
+            turned = self._words(new, 1)
+        turned = stage(turned, "turned")
+        words = turned.where("n > 0").select("word").distinct()
+        both = [lambda: self.store.append("postings", change, turned), lambda: self.store.append("words", change, words)]
         together(*both[: 1 if new is None else 2])
 
     def _put(self, rows: DataFrame, chunks: DataFrame, batch: tuple[str, int] | None = None, files: DataFrame | None = None) -> int:
@@ -219,7 +222,7 @@ class Corpus:
         vectors = stage(embed_chunks(chunks, self.embedder, cache=self.cache), "vectors")
         if catalog.unmatched(chunks, vectors).head(1):
             raise ValueError("a chunk has no vector")
-        counts = chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count"))
+        counts = limited(stage(chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count")), "counts"))
         docs = rows.join(counts, rows.id == counts.document_id, "left").select(
             "id",
             F.col("text").alias("original_text"),
@@ -243,7 +246,9 @@ class Corpus:
 
         def put(state: dict, change: Change) -> None:
             old = stage(self.store.matching("documents", state, picked).select("id", F.col("original_text").alias("text"), F.col("created_at").alias("_first")), "old")
-            dated = docs.join(old.select("id", "_first"), "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
+            dated = docs
+            if old.head(1):
+                dated = docs.join(limited(old.select("id", "_first")), "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
             together(
                 *[lambda name=name: self.store.remove(name, state, change, picked) for name in _OF_DOCUMENTS],
                 lambda: self.store.append("documents", change, dated),
@@ -372,7 +377,7 @@ class Corpus:
             self.spark,
             query,
             limit,
-            lambda grams: self.store.read("grams", state, grams),
+            lambda grams: keyword_index.words_with(self.store.read("words", state), grams),
             lambda words: _live(self.store.matching("postings", state, words)),
             lambda ids: self.store.matching("documents", state, ids).select(F.col("id").alias("document_id"), F.col("original_text").alias("text")),
         )
@@ -404,9 +409,19 @@ class Corpus:
         return answer(message, model, lambda q: self.search(q, search.limit_of(limit, 20, 5)))
 
 
-def _netted(postings: DataFrame) -> DataFrame:
+def _smallest(docs: DataFrame) -> DataFrame:
+    """``docs(id, text)`` with the smallest text of each id; only texts of ids that come twice are shuffled."""
+    twice = stage(docs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id"), "twice")
+    if not twice.head(1):
+        return docs
+    twice = limited(twice)
+    again = docs.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
+    return docs.join(twice, "id", "left_anti").unionByName(again)
+
+
+def _netted(postings: DataFrame, *more: str) -> DataFrame:
     """Words' coming and going summed up. A sum below 0 stays: what it takes back lies in parts that were not read."""
-    return postings.groupBy("word", "document_id").agg(F.sum("n").cast("int").alias("n")).where("n <> 0")
+    return postings.groupBy(*more, "word", "document_id").agg(F.sum("n").cast("int").alias("n")).where("n <> 0")
 
 
 def _live(postings: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ _SENT_ROWS = 2_000_000  # places of gone rows that are broadcast
 _KEYS_KNOWN = 20_000  # keys of a change for which files are picked
 _FEW = 500  # keys that are looked for by a list
 _FILE = r"([^/]+/[^/]+/[^/]+)$"  # folder of the version, table, file
-_HASH = "_hash"
+HASH = "_hash"
 _ONE_FILE = 16 << 20  # bytes that are not worth more than a task
 
 
@@ -210,21 +210,22 @@ class Store:
 
     # rows
 
-    def write(self, table: str, rows: DataFrame, folder: str | None = None, level: int = 0) -> dict:
+    def write(self, table: str, rows: DataFrame, folder: str | None = None, level: int = 0, merge: Callable[[DataFrame], DataFrame] | None = None) -> dict:
         """New files of ``rows``, and what a state holds of each; to be added by a change.
 
         Each file has a range of hashes, drawn from a sample: ``rows`` is computed twice, unless it is so small that it is one file.
+        ``merge`` is applied to the ranges; where it groups by ``HASH`` and the key, rows are shuffled once for both.
         """
         kind = self.tables[table]
         folder = folder or f"p0-{uuid.uuid4().hex[:8]}"
         columns = [F.col(c).cast(t).alias(c) for c, t in kind.columns.items()]
-        placed = rows.select(*columns).withColumn(_HASH, F.crc32(F.coalesce(F.col(kind.key).cast("string"), F.lit("")).cast("binary")))
+        placed = rows.select(*columns).withColumn(HASH, F.crc32(F.coalesce(F.col(kind.key).cast("string"), F.lit("")).cast("binary")))
         at = f"{self.path}/{folder}/{table}"
-        dealt = placed.coalesce(1) if size_of(rows) <= _ONE_FILE else placed.repartitionByRange(_HASH)
-        writer = dealt.sortWithinPartitions(_HASH).write
+        dealt = placed.coalesce(1) if size_of(rows) <= _ONE_FILE else placed.repartitionByRange(HASH)
+        writer = (merge(dealt) if merge else dealt).sortWithinPartitions(HASH).write.option("compression", "zstd")
         writer.option(f"parquet.bloom.filter.enabled#{kind.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(at)
-        read = self.spark.read.schema(f"{_HASH} bigint").parquet(at)
-        known = read.groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count("*").alias("n"), F.min(_HASH).alias("lo"), F.max(_HASH).alias("hi"))
+        read = self.spark.read.schema(f"{HASH} bigint").parquet(at)
+        known = read.groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count("*").alias("n"), F.min(HASH).alias("lo"), F.max(HASH).alias("hi"))
         return {re.search(_FILE, r.f)[1]: {"rows": r.n, "bytes": r.s, "lo": r.lo, "hi": r.hi, "level": level} for r in known.collect()}  # a row for each file
 
     def entries(self, table: str, state: dict, keys: Iterable[str] | None = None) -> dict:
@@ -314,7 +315,7 @@ class Store:
     def compact(self, table: str, most_parts: int = 8, most_gone: float = 0.2, merge: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Merge the levels of a table that more than ``most_parts`` changes have added to, or of whose rows over ``most_gone`` are gone.
 
-        What is merged goes one level up from the highest of them. ``merge`` is applied to the rows on the way. How many files were merged.
+        What is merged goes one level up from the highest of them. ``merge`` is applied to the rows on the way, as by ``write``. How many files were merged.
         """
 
         def due(state: dict) -> tuple[dict, int]:
@@ -332,7 +333,7 @@ class Store:
             files, level = due(state)
             if files:
                 rows = self._scan(table, files)
-                change.add(table, self.write(table, merge(rows) if merge else rows, change.folder, level))
+                change.add(table, self.write(table, rows, change.folder, level, merge))
                 change.drop(table, files)
 
         found, _ = due(self.state())

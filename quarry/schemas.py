@@ -29,13 +29,13 @@ TABLES: dict[str, dict[str, str]] = {
     "embeddings": {"chunk_id": "string", "document_id": "string", "embedding": "array<float>"},
     # the keyword index: ``n`` is 1 for a word that came into a document and -1 for one that left it
     "postings": {"word": "string", "document_id": "string", "n": "int"},
-    "grams": {"gram": "string", "word": "string"},
+    "words": {"word": "string"},
     # the files that were indexed, as they were then
     "files": {"path": "string", "length": "bigint", "modified_at": "timestamp", "content_hash": "string", "document_id": "string"},
 }
 
 #: The column by which a table's rows are placed; of the first three it holds a document's id.
-KEYS = {"documents": "id", "chunks": "document_id", "embeddings": "document_id", "postings": "word", "grams": "gram", "files": "path"}
+KEYS = {"documents": "id", "chunks": "document_id", "embeddings": "document_id", "postings": "word", "words": "word", "files": "path"}
 
 
 def ddl(table: str) -> str:
