@@ -377,7 +377,8 @@ class Corpus:
             self.spark,
             query,
             limit,
-            lambda grams: keyword_index.words_with(self.store.read("words", state), grams),
+            # a folder that was begun with a table of n-grams lacks the words of that time
+            lambda grams: keyword_index.words_with(self.store.read("postings" if "grams" in state["tables"] else "words", state), grams),
             lambda words: _live(self.store.matching("postings", state, words)),
             lambda ids: self.store.matching("documents", state, ids).select(F.col("id").alias("document_id"), F.col("original_text").alias("text")),
         )
