@@ -60,6 +60,8 @@ class HashingEmbedder:
     Texts cross once, as bytes; a worker keeps the places of the words that it has met, up to a bound.
     """
 
+    in_place = True  # to make a vector again costs less than to find its text among others
+
     def __init__(self, dim: int = 64):
         self.dim, self.name = dim, f"hashing-{dim}"
 
@@ -73,7 +75,9 @@ class HashingEmbedder:
         def counted(texts: pa.Array) -> pa.Array:
             m = np.zeros((len(texts), dim))
             for k, t in enumerate(texts):
-                words = re.findall(_WORD_BYTES, t.as_buffer())
+                raw = t.as_py()
+                # bytes are split at the pattern's characters and at one more
+                words = raw.split() if b"\v" not in raw else re.findall(_WORD_BYTES, raw)
                 if words:
                     m[k] = np.bincount([places[w] for w in words], minlength=dim)
             m = (m / np.maximum(np.linalg.norm(m, axis=1), 1e-300)[:, None]).astype(np.float32)
@@ -280,6 +284,14 @@ def embed_chunks(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text"
     return keyed.select("chunk_id", "document_id", "_key").join(each, "_key").select("chunk_id", "document_id", "embedding")
 
 
+def embed_in_place(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFrame:
+    """``(chunk_id, document_id, embedding)`` by an embedder that is not worth a search for equal texts; of texts without words to embed it is null."""
+    small_batches(chunks.sparkSession, rows=500)
+    ready = chunks.select("chunk_id", "document_id", T.preprocess(F.col(text)).alias("_t"))
+    made = ready.select("chunk_id", "document_id", (F.octet_length("_t") == 0).alias("_blank"), embedder.column(F.col("_t")).alias("embedding"))
+    return made.select("chunk_id", "document_id", F.when(~F.col("_blank"), F.col("embedding")).alias("embedding"))
+
+
 def embed_query(spark, embedder: Embedder, query: str) -> list[float]:
     """The vector of a query; a model server gets it widened as documents are."""
     ship(spark)

@@ -37,20 +37,41 @@ def chunks_of(text: Column, max_tokens: int = 256, overlap: int = 38, keep_short
     With ``keep_short`` a text within ``max_tokens`` is its own only chunk,
     untouched and of type ``text``. Null and blank texts have no chunks.
     """
+    return _split(text, max_tokens, overlap, keep_short)["chunks"]
+
+
+def _split(text: Column, max_tokens: int, overlap: int, keep_short: bool) -> Column:
+    """``(tokens, chunks)`` of a text: how many tokens it has, and its chunks."""
     chunker = Chunker(max_tokens, overlap)
 
-    def chunked(t: str | None) -> list[Chunk]:
-        if keep_short and t and tokens(t) <= max_tokens:
+    def chunked(t: str | None, n: int) -> list[Chunk]:
+        if keep_short and t and n <= max_tokens:
             return [Chunk(t, len(fields(t)), "text")] if trim(t) else []
         return chunker.chunk(t)
 
-    @F.arrow_udf(CHUNK)
+    @F.arrow_udf(f"struct<tokens:int,chunks:{CHUNK}>")
     def split(texts: pa.Array) -> pa.Array:
-        return pa.array([as_rows(chunked(t)) for t in texts.to_pylist()], type=_ARROW)
+        found = texts.to_pylist()
+        sizes = [tokens(t or "") for t in found]
+        chunks = pa.array([as_rows(chunked(t, n)) for t, n in zip(found, sizes)], type=_ARROW)
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), chunks], names=["tokens", "chunks"])
 
     return split(text)
 
 
+def with_chunks(docs: DataFrame, text: str = "text", max_tokens: int = 256, overlap: int = 38) -> DataFrame:
+    """``docs`` with ``tokens``, ``chunk_count`` and the ``chunks`` of each text as an array."""
+    small_batches(docs.sparkSession)
+    slim = docs.withColumn("_s", _split(F.col(text), max_tokens, overlap, True))
+    return slim.select(*docs.columns, F.col("_s.tokens").alias("tokens"), F.size("_s.chunks").alias("chunk_count"), F.col("_s.chunks").alias("chunks"))
+
+
+def chunk_rows(docs: DataFrame, id_: str = "id") -> DataFrame:
+    """A row for each chunk of ``docs(id, chunks)``."""
+    rows = docs.select(F.col(id_).alias("document_id"), F.explode("chunks").alias("c")).select("document_id", "c.*")
+    return rows.select(T.chunk_id(F.col("document_id"), F.col("chunk_index")).alias("chunk_id"), "*")
+
+
 def chunk_documents(docs: DataFrame, text: str = "text", id_: str = "doc_id", max_tokens: int = 256, overlap: int = 38, keep_short: bool = True) -> DataFrame:
     """A row for each chunk of each document; see ``chunks_of``."""
     small_batches(docs.sparkSession)

@@ -23,7 +23,9 @@ _GRAM = 3
 
 def words_of(docs: DataFrame, document: str = "id", text: str = "text") -> DataFrame:
     """``(word, document_id)``: each document's distinct lower-cased words; null texts have none."""
-    return docs.select(F.explode(F.array_distinct(T.fields(F.lower(F.col(text))))).alias("word"), F.col(document).alias("document_id"))
+    # as ``T.fields``, but that the empty word is left out when words are distinct rows
+    words = F.array_distinct(F.split(F.lower(F.col(text)), T.SPACE_RUN))
+    return docs.select(F.explode(words).alias("word"), F.col(document).alias("document_id")).where("word <> ''")
 
 
 def _grams(word: Column) -> Column:

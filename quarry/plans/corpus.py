@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quarry import schemas
-from quarry.embed import Embedder, EmbeddingCache, HashingEmbedder, checked, embed_chunks, embed_query
+from quarry.embed import Embedder, EmbeddingCache, HashingEmbedder, checked, embed_chunks, embed_in_place, embed_query
 from quarry.functions import text as T
 from quarry.operators import catalog, keyword_index, search
-from quarry.operators.chunking import chunk_documents
+from quarry.operators.chunking import chunk_rows, with_chunks
 from quarry.plans.chat import ChatModel, answer
 from quarry.plans.store import HASH, Change, Store, Table
 from quarry.session import limited, release, stage, together
@@ -125,13 +125,14 @@ class Corpus:
         """
         if batch and self.manifest()["notes"].get("batches", {}).get(batch[0], -1) >= batch[1]:
             return self.manifest()["version"]
-        bad = docs.where(F.col("id").isNull() | (F.coalesce("id", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")).limit(1).count()
-        if bad:
-            raise ValueError("a document without id or text")
         # of rows that share an id the one with the smallest text counts
         rows = _smallest(docs.select(F.col("id").cast("string").alias("id"), "text"))
-        chunks = chunk_documents(rows, "text", "id", self.max_tokens, self.overlap).withColumn("page_number", F.lit(None).cast("int"))
-        return self._put(rows.withColumns({"source_path": F.lit(None).cast("string"), "doc_type": F.lit(doc_type)}), chunks, batch=batch)
+        # texts are read and split once; documents and chunks are both taken from here
+        rows = stage(with_chunks(rows, "text", self.max_tokens, self.overlap), "texts")
+        chunks = chunk_rows(rows).withColumn("page_number", F.lit(None).cast("int"))
+        version = self._put(rows.drop("chunks").withColumns({"source_path": F.lit(None).cast("string"), "doc_type": F.lit(doc_type)}), chunks, batch=batch)
+        release(rows)
+        return version
 
     def index_files(self, path: str, parsers=None, changed_only: bool = False, retire: bool = False) -> dict:
         """Parse and index the files under ``path``; an id is the file's name without extension.
@@ -209,21 +210,32 @@ class Corpus:
             turned = _netted(self._words(old, -1).unionByName(self._words(new, 1)))
         else:  # nothing to take back: a document's words are distinct as they are
             turned = self._words(new, 1)
-        turned = stage(turned, "turned")
-        words = turned.where("n > 0").select("word").distinct()
-        both = [lambda: self.store.append("postings", change, turned), lambda: self.store.append("words", change, words)]
-        together(*both[: 1 if new is None else 2])
+        turned = self.store.append("postings", change, turned)
+        if new is not None:
+            self.store.append("words", change, turned.where("n > 0").select("word").distinct())
 
     def _put(self, rows: DataFrame, chunks: DataFrame, batch: tuple[str, int] | None = None, files: DataFrame | None = None) -> int:
+        """Publish documents ``rows(id, text, source_path, doc_type)``, which may have their ``tokens`` and ``chunk_count``, and their chunks.
+
+        Both are read several times, and come from what is staged.
+        """
         now, began = F.current_timestamp(), time.time()
         # counted while the tables are written, in no pass of their own
         of_chunks, of_docs = Observation(), Observation()
-        chunks = stage(chunks.withColumn("created_at", now).observe(of_chunks, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("chunk_tokens")), "chunks")
-        vectors = stage(embed_chunks(chunks, self.embedder, cache=self.cache), "vectors")
-        if catalog.unmatched(chunks, vectors).head(1):
+        chunks = chunks.withColumn("created_at", now)
+        counted = chunks.observe(of_chunks, F.count(F.lit(1)).alias("chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("chunk_tokens"))
+        if self.cache is None and getattr(self.embedder, "in_place", False):
+            vectors = stage(embed_in_place(counted, self.embedder), "vectors")
+            lacking = vectors.where("embedding is null")
+        else:
+            vectors = stage(embed_chunks(counted, self.embedder, cache=self.cache), "vectors")
+            lacking = catalog.unmatched(chunks, vectors)
+        if lacking.head(1):
             raise ValueError("a chunk has no vector")
-        counts = limited(stage(chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count")), "counts"))
-        docs = rows.join(counts, rows.id == counts.document_id, "left").select(
+        if "chunk_count" not in rows.columns:
+            counts = stage(chunks.groupBy("document_id").agg(F.count("*").cast("int").alias("chunk_count")), "counts")
+            rows = stage(rows.join(limited(counts), rows.id == counts.document_id, "left").drop("document_id"), "documents")
+        docs = rows.select(
             "id",
             F.col("text").alias("original_text"),
             T.content_hash(F.col("text")).alias("content_hash"),
@@ -233,12 +245,11 @@ class Corpus:
             F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"),
             now.alias("created_at"),
             now.alias("updated_at"),
+            (F.col("tokens") if "tokens" in rows.columns else T.token_count(F.col("text"))).alias("_tokens"),
         )
-        text = F.col("original_text")
-        sums = {"bytes": F.octet_length(text), "tokens": T.token_count(text)}
-        docs = docs.observe(of_docs, F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()])
-        docs = stage(docs, "documents")
-        ids = docs.select("id")
+        sums = {"bytes": F.octet_length("original_text"), "tokens": F.col("_tokens")}
+        docs = docs.observe(of_docs, F.count(F.lit(1)).alias("documents"), *[F.coalesce(F.sum(c), F.lit(0)).alias(k) for k, c in sums.items()]).drop("_tokens")
+        ids = rows.select("id")
         # what does not depend on the state is written once, however often the change must be made
         ready = dict(zip(("chunks", "embeddings"), together(lambda: self.store.write("chunks", chunks), lambda: self.store.write("embeddings", vectors))))
         known = self.store.known(ids)
@@ -251,8 +262,8 @@ class Corpus:
                 dated = docs.join(limited(old.select("id", "_first")), "id", "left").withColumn("created_at", F.coalesce("_first", "created_at")).drop("_first")
             together(
                 *[lambda name=name: self.store.remove(name, state, change, picked) for name in _OF_DOCUMENTS],
-                lambda: self.store.append("documents", change, dated),
-                lambda: self._turn_words(change, docs.select("id", F.col("original_text").alias("text")), old),
+                lambda: self.store.append("documents", change, dated, docs),
+                lambda: self._turn_words(change, rows.select("id", "text"), old),
             )
             for name, entries in ready.items():
                 change.add(name, entries)
@@ -263,7 +274,7 @@ class Corpus:
                 change.note("batches", *batch)
 
         version = self.store.commit(put)
-        for t in (chunks, vectors, docs):
+        for t in (vectors, rows):
             release(t)
         self.record("index", version=version, seconds=time.time() - began, **of_docs.get, **of_chunks.get)
         return version
@@ -411,11 +422,14 @@ class Corpus:
 
 
 def _smallest(docs: DataFrame) -> DataFrame:
-    """``docs(id, text)`` with the smallest text of each id; only texts of ids that come twice are shuffled."""
-    twice = stage(docs.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id"), "twice")
-    if not twice.head(1):
+    """``docs(id, text)`` with the smallest text of each id; only texts of ids that come twice are shuffled. None may be without id or text."""
+    bad = (F.coalesce("id", F.lit("")) == "") | (F.coalesce("text", F.lit("")) == "")
+    odd = stage(docs.groupBy("id").agg(F.count("*").alias("_n"), F.max(bad).alias("_bad")).where("_n > 1 or _bad"), "odd")
+    if odd.where("_bad").head(1):
+        raise ValueError("a document without id or text")
+    if not odd.head(1):
         return docs
-    twice = limited(twice)
+    twice = limited(odd.select("id"))
     again = docs.join(twice, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     return docs.join(twice, "id", "left_anti").unionByName(again)
 

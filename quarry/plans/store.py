@@ -6,7 +6,7 @@ there is written again. What each version adds, marks as gone and drops is one s
 version leaves the whole list of files beside its record, so that reading the newest state takes few records.
 
 Readers leave out the rows marked as gone; files without such rows are read as they are. Of each file the range of hashes is known, so a
-lookup opens only files that may hold the key; within these, statistics of the hash and Bloom filters of the key skip the rest.
+lookup opens only files that may hold the key; within these, which are in the order of hashes, statistics of the hash skip the rest.
 ``compact`` merges what many changes left into files of narrow ranges, level by level: a row is written
 again once for each level, of which there are as many as the table's size has digits, in a sense.
 
@@ -38,6 +38,12 @@ _FEW = 500  # keys that are looked for by a list
 _FILE = r"([^/]+/[^/]+/[^/]+)$"  # folder of the version, table, file
 HASH = "_hash"
 _ONE_FILE = 16 << 20  # bytes that are not worth more than a task
+_MOST_FILE = 64 << 20  # bytes from which a table is dealt over more files than shuffles have partitions
+_MOST_TIMES = 4  # by how many times more at most, since what the planner takes a join for may be far too much
+
+
+def _hash(key) -> int:
+    return zlib.crc32(str(key).encode())
 
 
 @dataclass(frozen=True)
@@ -210,20 +216,30 @@ class Store:
 
     # rows
 
-    def write(self, table: str, rows: DataFrame, folder: str | None = None, level: int = 0, merge: Callable[[DataFrame], DataFrame] | None = None) -> dict:
+    def write(
+        self, table: str, rows: DataFrame, folder: str | None = None, level: int = 0, merge: Callable[[DataFrame], DataFrame] | None = None, like: DataFrame | None = None
+    ) -> dict:
         """New files of ``rows``, and what a state holds of each; to be added by a change.
 
-        Each file has a range of hashes, drawn from a sample: ``rows`` is computed twice, unless it is so small that it is one file.
-        ``merge`` is applied to the ranges; where it groups by ``HASH`` and the key, rows are shuffled once for both.
+        Each file has a range of hashes. As these are spread evenly, ranges are equal parts of all that there are, and ``rows`` is computed once.
+        ``merge`` is applied to ranges drawn from a sample; where it groups by ``HASH`` and the key, rows are shuffled once for both.
+        ``like``: a table of about that size, where ``rows`` come from a join.
         """
         kind = self.tables[table]
         folder = folder or f"p0-{uuid.uuid4().hex[:8]}"
         columns = [F.col(c).cast(t).alias(c) for c, t in kind.columns.items()]
         placed = rows.select(*columns).withColumn(HASH, F.crc32(F.coalesce(F.col(kind.key).cast("string"), F.lit("")).cast("binary")))
         at = f"{self.path}/{folder}/{table}"
-        dealt = placed.coalesce(1) if size_of(rows) <= _ONE_FILE else placed.repartitionByRange(HASH)
-        writer = (merge(dealt) if merge else dealt).sortWithinPartitions(HASH).write.option("compression", "zstd")
-        writer.option(f"parquet.bloom.filter.enabled#{kind.key}", "true").option("parquet.bloom.filter.adaptive.enabled", "true").parquet(at)
+        size = size_of(rows if like is None else like)
+        if size <= _ONE_FILE:
+            dealt = placed.repartition(1)
+        elif merge:
+            dealt = placed.repartitionByRange(HASH)
+        else:
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            n = max(min(parts, size // max(1, _ONE_FILE) + 1), min(_MOST_TIMES * parts, size // _MOST_FILE + 1))
+            dealt = placed.repartitionById(n, F.shiftright(F.col(HASH) * n, 32).cast("int"))
+        (merge(dealt) if merge else dealt).sortWithinPartitions(HASH).write.option("compression", "zstd").parquet(at)
         read = self.spark.read.schema(f"{HASH} bigint").parquet(at)
         known = read.groupBy(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_size").alias("s")).agg(F.count("*").alias("n"), F.min(HASH).alias("lo"), F.max(HASH).alias("hi"))
         return {re.search(_FILE, r.f)[1]: {"rows": r.n, "bytes": r.s, "lo": r.lo, "hi": r.hi, "level": level} for r in known.collect()}  # a row for each file
@@ -233,7 +249,7 @@ class Store:
         files = state["tables"].get(table, {})
         if keys is None:
             return files
-        asked = sorted({zlib.crc32(str(k).encode()) for k in keys})
+        asked = sorted({_hash(k) for k in keys})
 
         def may(e: dict) -> bool:
             at = bisect_left(asked, e["lo"])
@@ -241,14 +257,17 @@ class Store:
 
         return {f: e for f, e in files.items() if may(e)}
 
-    def _scan(self, table: str, files: dict, places: bool = False) -> DataFrame:
-        """The rows of some files that are not gone; with ``places``, where each lies."""
+    def _scan(self, table: str, files: dict, places: bool = False, asked: list[str] | None = None) -> DataFrame:
+        """The rows of some files that are not gone, or of these the ones of a few keys; with ``places``, where each lies."""
         kind = self.tables[table]
         columns = list(kind.columns)
-        at = [F.regexp_extract("_metadata.file_path", _FILE, 1).alias("_file"), F.col("_metadata.row_index").alias("_row")]
+        at = [F.substring_index("_metadata.file_path", "/", -3).alias("_file"), F.col("_metadata.row_index").alias("_row")]
 
         def read(some: list[str], with_places: bool) -> DataFrame:
-            return self.spark.read.schema(kind.ddl).parquet(*[f"{self.path}/{f}" for f in some]).select(*columns, *(at if with_places else []))
+            rows = self.spark.read.schema(f"{kind.ddl}, {HASH} bigint").parquet(*[f"{self.path}/{f}" for f in some])
+            if asked is not None:  # rows are in the order of their hashes, so pages of others are skipped
+                rows = rows.where(F.col(HASH).isin(sorted({_hash(k) for k in asked})) & F.col(kind.key).isin(asked))
+            return rows.select(*columns, *(at if with_places else []))
 
         whole = sorted(f for f, e in files.items() if not e.get("gone"))
         holed = sorted(f for f, e in files.items() if e.get("gone"))
@@ -260,7 +279,8 @@ class Store:
             left = read(holed, True).join(F.broadcast(gone) if n <= _SENT_ROWS else gone, ["_file", "_row"], "left_anti")
             parts.append(left if places else left.select(*columns))
         if not parts:
-            return self.spark.createDataFrame([], kind.ddl + (", _file string, _row long" if places else ""))
+            kinds = kind.columns | ({"_file": "string", "_row": "bigint"} if places else {})
+            return self.spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in kinds.items()])  # no Python worker is begun for this
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def read(self, table: str, state: dict | None = None, keys: Iterable[str] | None = None) -> DataFrame:
@@ -274,11 +294,11 @@ class Store:
     def _picked(self, table: str, state: dict, keys: list[str], places: bool) -> DataFrame:
         """The rows of a list of keys."""
         kind = self.tables[table]
-        found = self._scan(table, self.entries(table, state, keys), places)
-        if len(keys) > _FEW:
-            asked = self.spark.createDataFrame([(k,) for k in keys], "_asked string")
-            return found.join(F.broadcast(asked), F.col(kind.key) == F.col("_asked"), "left_semi")
-        return found.where(F.col(kind.key).isin(keys))
+        files = self.entries(table, state, keys)
+        if len(keys) <= _FEW:
+            return self._scan(table, files, places, keys)
+        asked = self.spark.createDataFrame([(k,) for k in keys], "_asked string")
+        return self._scan(table, files, places).join(F.broadcast(asked), F.col(kind.key) == F.col("_asked"), "left_semi")
 
     def known(self, keys: DataFrame) -> list[str] | None:
         """The keys in the one column of ``keys``, if there are few enough to pick files by them."""
@@ -309,8 +329,11 @@ class Store:
             change.gone(table, at, {r["_file"]: r.n for r in rows})
         return sum(r.n for r in rows)
 
-    def append(self, table: str, change: Change, rows: DataFrame) -> None:
-        change.add(table, self.write(table, rows, change.folder))
+    def append(self, table: str, change: Change, rows: DataFrame, like: DataFrame | None = None) -> DataFrame:
+        """Add ``rows`` in new files; the rows as they are there."""
+        entries = self.write(table, rows, change.folder, like=like)
+        change.add(table, entries)
+        return self._scan(table, entries)
 
     def compact(self, table: str, most_parts: int = 8, most_gone: float = 0.2, merge: Callable[[DataFrame], DataFrame] | None = None) -> int:
         """Merge the levels of a table that more than ``most_parts`` changes have added to, or of whose rows over ``most_gone`` are gone.

@@ -34,46 +34,54 @@ _CHANGED = """select doc_id::varchar as id, case when doc_id % 10 = 3 then coale
     from documents where doc_id % 10 <> 7 and coalesce(text, '') <> ''"""
 
 
-def _corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, int, int]:
-    """A corpus of all documents after two changes, and its versions before and after compaction."""
+def _corpus(spark: SparkSession, sf_dir: str) -> tuple[Corpus, int]:
+    """A corpus of all documents after two changes, and its version then."""
 
     def make(at: str):
         corpus = Corpus(spark, at, HashingEmbedder(16))
         docs = _texts(spark, sf_dir).where("coalesce(text, '') <> ''").select(F.col("doc_id").cast("string").alias("id"), "text", "doc_id")
         corpus.index(docs.select("id", "text"))
         corpus.index(docs.where("doc_id % 10 = 3").select("id", F.concat("text", F.lit(" and more of it")).alias("text")))
-        before = corpus.delete_all(docs.where("doc_id % 10 = 7").select("id"))
-        corpus.compact(most_parts=1)
-        return corpus, before, corpus.manifest()["version"]
+        return corpus, corpus.delete_all(docs.where("doc_id % 10 = 7").select("id"))
 
     return _once(spark, "corpus", sf_dir, make)
 
 
+def _compacted(spark: SparkSession, sf_dir: str) -> tuple[Corpus, int]:
+    """The same corpus and its version after compaction; only for those who ask for it."""
+    corpus = _corpus(spark, sf_dir)[0]
+
+    def make(_: str):
+        corpus.compact(most_parts=1)
+        return corpus, corpus.manifest()["version"]
+
+    return _once(spark, "compacted", sf_dir, make)
+
+
 _STATE = f"select id, sha256(text) as content_hash, strlen(text)::int as bytes from ({_CHANGED})"
 
 
-def _state(spark, sf_dir, version):
-    corpus = _corpus(spark, sf_dir)
-    docs = corpus[0].table("documents", corpus[0].manifest(corpus[version]))
+def _state(corpus: Corpus, version: int):
+    docs = corpus.table("documents", corpus.manifest(version))
     return docs.select("id", "content_hash", F.octet_length("original_text").alias("bytes"))
 
 
 @query(_STATE)
 def stored_changes(spark, sf_dir):
     """Documents read from base files, added files and marks of gone rows."""
-    return _state(spark, sf_dir, 1)
+    return _state(*_corpus(spark, sf_dir))
 
 
 @query(_STATE)
 def stored_compacted(spark, sf_dir):
     """The same after compaction."""
-    return _state(spark, sf_dir, 2)
+    return _state(*_compacted(spark, sf_dir))
 
 
 @query(f"select id as document_id, true as embedded, strlen(text)::bigint >= 1 as chunked from ({_CHANGED})")
 def stored_parts(spark, sf_dir):
     """The documents that chunks and vectors belong to; each chunk has its vector."""
-    corpus, before, _ = _corpus(spark, sf_dir)
+    corpus, before = _corpus(spark, sf_dir)
     at = corpus.manifest(before)
     chunks, vectors = corpus.table("chunks", at), corpus.table("embeddings", at)
     both = chunks.select("document_id", "chunk_id").join(vectors.select("document_id", "chunk_id", F.lit(True).alias("v")), ["document_id", "chunk_id"], "full")
