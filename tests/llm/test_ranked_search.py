@@ -8,6 +8,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import ranked_search
 from quarry.llm.queries import ORACLE_SQL, QUERIES
@@ -96,3 +97,16 @@ def test_prunes(spark):
     finally:
         ranked_search.stage = own
     assert sorted(r.doc_id for r in got) == [5000, 5001, 5002, 5003, 5004] and looked[0] < 50
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark):
+    """Copies of a text are candidates of every item that it answers: millions of rows, which take a few MB as files."""
+    from quarry.session import limited, stage
+
+    few, many = (stage(spark.range(n).select((F.col("id") % 7).alias("item"), F.col("id").alias("row")), "candidates") for n in (10, 1000))
+    lists = stage(spark.range(3000).select(F.col("id").alias("row"), F.lit(1).alias("impact")), "lists")
+    for how in ("inner", "left_semi", "left_anti", "left"):
+        plan = lambda t: lists.join(limited(t, 500), "row", how)._jdf.queryExecution().executedPlan().toString()  # noqa: B023, E731
+        assert "BroadcastHashJoin" in plan(few)
+        assert "Broadcast" not in plan(many) and "SortMergeJoin" in plan(many)
+    assert lists.join(limited(many, 500), "row").count() == 1000
