@@ -96,6 +96,36 @@ def write_content_files(docs: DataFrame, at: str) -> DataFrame:
     return named.select("id", F.concat(F.lit(f"{at.rstrip('/')}/file_name="), "file_name").alias("file_path"))
 
 
+def _bare(words: Column) -> Column:
+    return F.transform(words, lambda w: F.rtrim(w, F.lit(".!?")))
+
+
+def joined_chunks(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(document_id, text)`` of ``docs(id, original_text, chunk_count)``: the words of all ``chunks`` in their order, those that overlaps repeat once.
+
+    Units lose blanks and the mark at a sentence's end, so what lies between words is taken from the document, as is what follows the last
+    chunk (text after the last sentence mark is in no unit). Each chunk goes on where those before it end, or begins within the last of
+    their words: at the last place where all its words follow each other in the text. A document whose chunks are not all there, or of
+    which one is not found so, has no row.
+    """
+    parts = chunks.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", T.tokens(F.col("chunk_text")).alias("w")))).alias("parts"))
+    both = docs.join(parts, docs["id"] == parts["document_id"]).where(F.size("parts") == F.col("chunk_count"))
+    both = both.select("document_id", "original_text", "parts", T.tokens(F.col("original_text")).alias("own")).withColumn("bare", _bare(F.col("own")))
+
+    def follow(held: Column, part: Column) -> Column:
+        w, n = part["w"], F.size(part["w"])
+        places = F.sequence(F.greatest(F.size(held) - n, F.lit(0)), F.size(held))
+        fits = F.filter(places, lambda at: F.slice(F.col("bare"), at + 1, n) == _bare(w))
+        return F.when(held.isNotNull() & (F.size(fits) > 0), F.concat(F.slice(held, F.lit(1), F.array_max(fits)), w))
+
+    words = F.aggregate("parts", F.array().cast("array<string>"), follow)
+    found = both.withColumn("words", words).where("words is not null")
+    whole = F.zip_with("own", "words", lambda a, b: F.when(b.isNull(), a).when(F.startswith(a, b), F.concat(b, F.substr(a, F.length(b) + 1))).otherwise(b))
+    between = F.split("original_text", T.TOKEN)
+    text = F.array_join(F.zip_with(between, whole, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return found.select("document_id", text.alias("text"))
+
+
 def unmatched(chunks: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Chunks without a vector, and vectors without a chunk."""
     a = chunks.join(embeddings, "chunk_id", "left_anti").select("chunk_id", F.lit("no vector").alias("problem"))

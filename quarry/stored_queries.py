@@ -96,11 +96,10 @@ def stored_lookup(spark, sf_dir):
 
 @query(f"select id as document_id, md5(text) as text_md5 from ({_CHANGED}) where id = '18'")
 def stored_chunks(spark, sf_dir):
-    """A document's chunks, joined: its text, for one that is a single chunk or whose chunks follow each other."""
-    chunks = _corpus(spark, sf_dir)[0].chunks("18").where("chunk_index = 0")
-    docs = _corpus(spark, sf_dir)[0].table("documents", keys=["18"])
-    found = docs.join(chunks, docs.id == chunks.document_id).where(F.col("original_text").contains(F.substring("chunk_text", 1, 20)))
-    return found.select("document_id", F.md5(F.col("original_text").cast("binary")).alias("text_md5"))
+    """A document's chunks, all of them, joined in their order: its text."""
+    corpus, _ = _corpus(spark, sf_dir)
+    joined = catalog.joined_chunks(corpus.table("documents", keys=["18"]), corpus.chunks("18"))
+    return joined.select("document_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.catalogue import QUERIES
 from quarry.embed import HashingEmbedder
 from quarry.functions import text as T
+from quarry.operators import catalog
 from quarry.plans.corpus import Corpus
 from quarry.plans.store import Store, Table
 
@@ -73,3 +74,29 @@ def test_only_what_asks_for_compaction_gets_it(spark, small):
     assert corpus.manifest()["version"] == before == 3
     assert QUERIES["stored_compacted"](spark, small).count() == QUERIES["stored_changes"](spark, small).count()
     assert corpus.manifest()["version"] > before and not any(e.get("gone") for e in corpus.manifest()["tables"]["documents"].values())
+
+
+def test_all_chunks_are_joined(spark, tmp_path):
+    c = Corpus(spark, str(tmp_path / "c"), HashingEmbedder(8), max_tokens=40, overlap=8)
+    sentence = lambda k, n: " ".join(f"w{k}x{i}" for i in range(n))
+    texts = {
+        "one": "a  single\tchunk. ",
+        "many": "\n ".join(sentence(k, 6 + k % 5) + ".!?"[k % 3] for k in range(30)) + "\n",
+        "same": "is it. " * 90,
+        "windows": sentence(1, 300),
+        "after": " ".join(sentence(k, 7) + "." for k in range(20)) + " what follows",
+    }
+    c.index(spark.createDataFrame(list(texts.items()), "id string, text string"))
+    docs, chunks = c.table("documents"), c.table("chunks")
+    joined = lambda some: {r.document_id: r.text for r in catalog.joined_chunks(docs, some).collect()}
+    assert chunks.where("chunk_index = 3").count() == 4 and joined(chunks) == texts
+    assert set(joined(chunks.where("not (document_id = 'many' and chunk_index = 2)"))) == set(texts) - {"many"}
+    other = F.when((F.col("document_id") == "many") & (F.col("chunk_index") == 2), F.replace("chunk_text", F.lit("w"), F.lit("v"))).otherwise(F.col("chunk_text"))
+    assert set(joined(chunks.withColumn("chunk_text", other))) == set(texts) - {"many"}
+
+
+def test_the_query_joins_more_than_the_first_chunk(spark, small, monkeypatch):
+    own = Corpus.chunks
+    assert QUERIES["stored_chunks"](spark, small).count() == 1
+    monkeypatch.setattr(Corpus, "chunks", lambda self, id_: own(self, id_).where("chunk_index <> 1"))
+    assert QUERIES["stored_chunks"](spark, small).count() == 0
