@@ -154,9 +154,10 @@ def representatives(docs: DataFrame, width: int = 3, similar: float | None = Non
     """The rows of ``docs`` with one left of each component: that with the smallest id (rows without an id come last).
 
     Components are those of ``components``. With ``similar`` they are those of
-    ``jaccard_dedup.components``: all texts linked whose shingles of ``width``
-    words have at least that Jaccard similarity, since fingerprints of such texts
-    may lie further apart than any radius that a grid could serve. Of rows that share
+    ``jaccard_dedup.components``: texts are linked by fingerprints of ``width`` words,
+    and all texts too whose shingles have at least that Jaccard similarity, since
+    fingerprints of such texts may lie further apart than any radius that a grid could
+    serve (and those of texts that repeat a passage nearer than their sets). Of rows that share
     id and text one stays; of rows that share an id alone each stands for its own
     component. Other columns stay as they are.
     """
@@ -164,7 +165,7 @@ def representatives(docs: DataFrame, width: int = 3, similar: float | None = Non
 
     if similar is None and width != 3:
         raise ValueError("fingerprint links are those of three words")
-    found = stage(components(docs) if similar is None else jaccard_dedup.components(docs, width, similar), "components")
+    found = stage(components(docs) if similar is None else jaccard_dedup.components(docs, width, similar, prints=True), "components")
     # by fingerprint (or set) first: a component may hold a third of all rows, but few different texts
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("key").alias("c"))
     heads = found.groupBy("root", "fp").agg(F.min(order).alias("o")).groupBy("root").agg(F.min("o").alias("o"))

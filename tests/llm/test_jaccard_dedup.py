@@ -101,3 +101,13 @@ def test_tables_without_rows_or_ids(spark):
     frame = spark.createDataFrame([(None, "a b c d e f"), (None, "A b c d e f")], "doc_id long, text string")
     assert simhash_dedup.representatives(frame, 5, 0.8).count() == 1
     assert simhash_dedup.representatives(frame.limit(0), 5, 0.8).count() == 0
+
+
+def test_links_by_fingerprints_count_too(spark):
+    """Texts that repeat one passage have one fingerprint, though most of their distinct shingles are their own."""
+    passage = " ".join(f"p{i}" for i in range(21)) + " "
+    rows = [(k, passage * 60 + " ".join(f"{c}{i}" for i in range(25))) for k, c in enumerate("abc", 1)] + [(4, " ".join(f"d{i}" for i in range(40)))]
+    assert heads(rows) == {1, 2, 3, 4}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len({r.fp for r in simhash_dedup.components(frame).where("doc_id < 4").collect()}) == 1
+    assert sorted(r.doc_id for r in simhash_dedup.representatives(frame, 5, 0.8).collect()) == [1, 4]
